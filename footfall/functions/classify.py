@@ -27,11 +27,6 @@ def install_type(previous_count: Column) -> Column:
     return F.when(previous_count > 0, v.REINSTALL).otherwise(v.FRESH_INSTALL)
 
 
-def web_user_type(activity_day: Column, first_day: Column) -> Column:
-    """New on the first day, else returning, also when either day is missing."""
-    return F.when(activity_day == first_day, v.WEB_NEW_USER).otherwise(v.WEB_RETURNING_USER)
-
-
 def _other(event: Column, screen: Column) -> Column:
     # concat is NULL when a part is, and callers rely on that
     return F.concat(F.lit(v.OTHER_PREFIX), event, F.lit(" - "), screen)

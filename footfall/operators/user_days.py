@@ -128,7 +128,13 @@ def null_if_absent(daily: DataFrame, columns: Sequence[str]) -> DataFrame:
     return daily.withColumns({c: F.when(F.max(c).over(everywhere) > 0, F.col(c)) for c in columns})
 
 
+def column_presence(daily: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column, as (``name``, ``present``), whether somebody appears in it on some day."""
+    most = daily.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in columns))
+    return most.unpivot([], list(columns), "name", "most").select("name", (F.col("most") > 0).alias("present"))
+
+
 def present_columns(daily: DataFrame, columns: Sequence[str]) -> list[str]:
-    """The columns somebody appears in on some day. Runs a job that returns one row."""
-    row = daily.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in columns)).first()
-    return [c for c in columns if row[c] > 0]
+    """The columns somebody appears in. Runs a job that returns a row per column."""
+    present = {row["name"] for row in column_presence(daily, columns).where("present").collect()}
+    return [c for c in columns if c in present]

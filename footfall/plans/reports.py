@@ -78,25 +78,26 @@ def with_missing(daily: DataFrame, columns: Sequence[str], missing: Missing) ->
     return daily, list(columns)
 
 
+def overview_counts(events: DataFrame) -> DataFrame:
+    """Distinct users per ``event_date``: all, new, returning and by install type."""
+    kind = F.col("user_type")
+    conditions = {
+        "total_users": F.lit(True),
+        "new_users": kind != v.RETURNING_USER,
+        "returning_users": kind == v.RETURNING_USER,
+        "fresh_installs": kind == v.FRESH_INSTALL,
+        "reinstalls": kind == v.REINSTALL,
+        "users_with_custom_event": F.col("custom_event") == 1,
+    }
+    return count_users(extracts.classified_user_days(events), "event_date", "user_pseudo_id", conditions)
+
+
 def overview(events: DataFrame, filters: FilterSpec = NO_FILTERS) -> DataFrame:
     """Active, new and returning users per day. A range needs both its ends."""
     spec = filters.only()
     if spec.start and spec.end:
         events = between_event_days(events, "event_date", spec.start, spec.end)
-    kind = F.col("user_type")
-    daily = count_users(
-        extracts.classified_user_days(events),
-        "event_date",
-        "user_pseudo_id",
-        {
-            "total_users": F.lit(True),
-            "new_users": kind != v.RETURNING_USER,
-            "returning_users": kind == v.RETURNING_USER,
-            "fresh_installs": kind == v.FRESH_INSTALL,
-            "reinstalls": kind == v.REINSTALL,
-            "users_with_custom_event": F.col("custom_event") == 1,
-        },
-    )
+    daily = overview_counts(events)
     counts = {c: F.col(c) for c in daily.columns if c != "event_date"}
     return newest_first(daily, parse_day(F.col("event_date")), counts)
 

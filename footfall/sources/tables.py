@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -58,8 +58,13 @@ class Tables:
 
 
 def run_sql(tables: Tables, text: str) -> DataFrame:
-    """A SQL text over the tables, as a lazy DataFrame."""
-    return tables.register().events.sparkSession.sql(text)
+    """A SQL text as a lazy DataFrame; ``{events}`` and the like stand for the tables.
+
+    Leaves no views behind. For plain names call ``register`` and use ``spark.sql``.
+    """
+    session = tables.events.sparkSession
+    given = {field.name: getattr(tables, field.name) for field in fields(tables)}
+    return session.sql(text, **{name: table for name, table in given.items() if f"{{{name}}}" in text})
 
 
 def share_extract(extract: DataFrame) -> DataFrame:
