@@ -47,14 +47,12 @@ def property_int(key: str, strict: bool = False) -> Column:
 def explode_params(events: DataFrame, only_where: Column | None = None) -> DataFrame:
     """One row per (event, parameter) as ``param``; events without any vanish.
 
-    With ``only_where``, other events keep just their first parameter: enough
-    to keep the event itself, without multiplying rows nobody reads.
+    With ``only_where``, all other events keep a single empty ``param``: that
+    keeps the event itself without multiplying rows nobody reads.
     """
-    params = F.col(EVENT_PARAMS)
-    if only_where is not None:
-        pairs = F.arrays_zip(
-            F.col(f"{EVENT_PARAMS}.key").alias("key"),
-            F.col(f"{EVENT_PARAMS}.value.int_value").alias("int_value"),
-        )
-        params = F.when(only_where, pairs).otherwise(F.slice(pairs, 1, 1))
-    return events.withColumn("param", F.explode(params))
+    if only_where is None:
+        return events.withColumn("param", F.explode(EVENT_PARAMS))
+    keys = F.col(f"{EVENT_PARAMS}.key")
+    pairs = F.arrays_zip(keys.alias("key"), F.col(f"{EVENT_PARAMS}.value.int_value").alias("int_value"))
+    empty = F.expr("array(named_struct('key', CAST(NULL AS STRING), 'int_value', CAST(NULL AS BIGINT)))")
+    return events.withColumn("param", F.explode(F.when(only_where, pairs).when(F.size(keys) > 0, empty)))
