@@ -213,10 +213,14 @@ def new_user(raw: DataFrame) -> DataFrame:
     )
 
 
+def tables_of(raw: DataFrame) -> Tables:
+    """The three input tables over the plain event rows."""
+    return Tables(nested_events(raw), web_user_data(raw), new_user(raw))
+
+
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The three input tables over a test-data folder."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return Tables(nested_events(raw), web_user_data(raw), new_user(raw))
+    return tables_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def write_tables(given: Tables, path: str) -> None:

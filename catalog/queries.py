@@ -26,7 +26,7 @@ from footfall.plans import reports as r
 from footfall.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-REGISTERED: dict[str, Query] = {}
+BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 TIEBREAK = ["event_id"]
 EARLY, LATE = dt.date(2024, 1, 5), dt.date(2024, 1, 20)
@@ -36,11 +36,18 @@ WATCH_NAMES = [v.snake(label) for label in v.WATCH_LABELS]
 
 
 def registered(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    """Registers a function of the tables under its own name."""
-    REGISTERED[build.__name__] = lambda spark, sf_dir: build(adapter.tables(spark, sf_dir))
+    """Registers a function of the tables under its own name.
+
+    A trailing underscore only avoids a clash with what the function calls.
+    """
+    BUILDERS[build.__name__.rstrip("_")] = build
     return build
 
 
+def _over_folder(build: Callable[[Tables], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(adapter.tables(spark, sf_dir))
+
+
 def _goal_rows(t: Tables) -> DataFrame:
     return ff.goal_rows(t.events, TIEBREAK)
 
@@ -731,5 +738,5 @@ def report_custom_goals(t: Tables) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    """The registered queries; a trailing underscore only avoids a name clash."""
-    return {name.rstrip("_"): query for name, query in REGISTERED.items()}
+    """The registered queries over a test-data folder."""
+    return {name: _over_folder(build) for name, build in BUILDERS.items()}

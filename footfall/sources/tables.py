@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from footfall.operators.filters import between_event_days
 
 
 def _scan(spark: SparkSession, paths: tuple[str, ...], declared: str, fmt: str) -> DataFrame:
-    return spark.read.format(fmt).schema(declared).load(list(paths))
+    # one read per path, since every path may have day folders of its own
+    reads = [spark.read.format(fmt).schema(declared).load(path) for path in paths]
+    return reduce(DataFrame.unionByName, reads)
 
 
 def scan_events(
