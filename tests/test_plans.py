@@ -71,13 +71,16 @@ def test_keyed_arrays_are_read_by_field(stored):
 
 
 def test_scroll_join_adds_no_shuffle(spark, stored):
-    """The plan for tables too large to broadcast."""
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    """The plan for tables too large to broadcast, without the pruning subquery."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         text = plan(ff.scroll_depth(stored.events, stored.web_user_data, stored.new_user))
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     # visits and depths by (day, user), then by day; the join finds both sides in place
     assert text.count("Exchange hashpartitioning") == 3 and text.count("SortMergeJoin") == 1
     assert "EqualTo(event_name,Scroll)" in text
