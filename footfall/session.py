@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -12,10 +14,20 @@ SETTINGS = {
 }
 
 
-def build_session(app_name: str = "footfall", **overrides: str) -> SparkSession:
-    """A session with ``SETTINGS``; keyword ``a__b`` overrides setting ``a.b``."""
+def build_session(
+    app_name: str = "footfall",
+    shuffle_partitions: int | None = None,
+    settings: Mapping[str, str] | None = None,
+) -> SparkSession:
+    """A session with ``SETTINGS``, then the given ones.
+
+    ``shuffle_partitions`` is an upper bound: adaptive execution merges small
+    partitions but never makes more, so choose it for the largest shuffle.
+    """
+    chosen = SETTINGS | dict(settings or {})
+    if shuffle_partitions is not None:
+        chosen["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     builder = SparkSession.builder.appName(app_name)
-    settings = SETTINGS | {key.replace("__", "."): value for key, value in overrides.items()}
-    for key, value in settings.items():
+    for key, value in chosen.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

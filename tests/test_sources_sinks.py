@@ -94,3 +94,15 @@ def test_csv_leaves_missing_values_empty_and_names_the_day(small, tmp_path):
     ff.write_csv(reports(small)["overview"], "overview", str(tmp_path / "o"))
     with open(glob.glob(f"{tmp_path}/o/*.csv")[0], newline="") as handle:
         assert next(csv.reader(handle))[0] == "event_date"
+
+
+def test_session_settings(spark):
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        session = ff.build_session(shuffle_partitions=3, settings={"spark.sql.session.timeZone": "Asia/Kolkata"})
+        assert session.conf.get("spark.sql.shuffle.partitions") == "3"
+        assert session.conf.get("spark.sql.session.timeZone") == "Asia/Kolkata"
+        assert session.conf.get("spark.sql.adaptive.enabled") == "true"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
