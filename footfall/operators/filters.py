@@ -39,6 +39,11 @@ class FilterSpec:
     device: Sequence[str] = ()
     user_type: Sequence[str] = ()
 
+    def __post_init__(self) -> None:
+        texts = [field.name for field in fields(self) if isinstance(getattr(self, field.name), str)]
+        if texts:
+            raise TypeError(f"{', '.join(texts)}: give a list of values, not a text")
+
     def selected(self, names: Iterable[str]) -> dict[str, list[str]]:
         """The dimensions among ``names`` that have a selection."""
         return {name: list(getattr(self, name)) for name in names if getattr(self, name)}

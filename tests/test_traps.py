@@ -541,6 +541,11 @@ def test_filters_of_another_report_are_refused(spark):
         ff.total_user_onboarding(events(spark), ff.FilterSpec(device=["mobile"]))
 
 
+def test_selection_is_a_list_not_a_text():
+    with pytest.raises(TypeError, match="country"):
+        ff.FilterSpec(country="IN")
+
+
 def test_null_never_matches_a_selection_and_empty_selects_all(spark):
     given = events(spark, event("e", user="a", country="IN"), event("e", user="b"))
     assert one(ff.total_user_onboarding(given, ff.FilterSpec(country=["IN"])))["total_users"] == 1
