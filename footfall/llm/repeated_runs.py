@@ -15,18 +15,31 @@ GRAM_WORDS = 16  # words that a hashed gram of lines holds at least
 WINDOW = 2  # grams in a winnowing window
 MIN_WORDS = 30  # shorter repeats stay
 SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
-TABLE = (
-    "doc_id bigint, version bigint, grams array<bigint>, lengths array<int>, sizes array<int>, "
-    "prints array<bigint>, own array<int>"
-)
+TABLE = "doc_id bigint, version bigint, hashes array<bigint>, sizes array<int>, prints array<bigint>, own array<int>"
+
+
+def gram_spans(sizes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """First line and end of the grams, and how many of them run forward.
+
+    Forward from each line, and then backward from each line, a gram is the shortest run
+    of lines of one text with ``GRAM_WORDS`` words or more.
+    """
+    ends = np.cumsum(sizes)
+    begins, line = ends - sizes, np.arange(len(sizes))
+    until = np.searchsorted(ends, begins + GRAM_WORDS)
+    ok = until < len(sizes)
+    ok[ok] = doc[until[ok]] == doc[ok]
+    since = np.searchsorted(begins, ends - GRAM_WORDS, side="right") - 1
+    back = since >= 0
+    back[back] = doc[since[back]] == doc[back]
+    return np.concatenate((line[ok], since[back])), np.concatenate((until[ok], line[back])) + 1, int(ok.sum())
 
 
 class Lines:
     """The lines of the texts of a block; a line ends at a line break or at the end of a sentence.
 
-    ``first`` and ``last`` are the word numbers that bound each line, ``doc`` its text.
-    ``gram`` hashes the words of the shortest run of lines from it with ``GRAM_WORDS``
-    words or more, ``length`` is the number of its lines, 0 where the text ends before.
+    ``first`` and ``last`` are the word numbers that bound each line, ``doc`` its text, ``sizes`` its
+    words, ``hashes`` a hash of them.
     """
 
     def __init__(self, texts: pa.Array):
@@ -46,72 +59,85 @@ class Lines:
         self.doc = word_doc[self.first]
         self.sizes = self.last - self.first
         self.counts = np.bincount(self.doc, minlength=self.n)
-        until = np.searchsorted(self.last, self.first + GRAM_WORDS)
-        whole = until < len(self.first)
-        whole[whole] = self.doc[until[whole]] == self.doc[whole]
-        at = np.flatnonzero(whole)
-        word = blocks.Hasher(data)(self.starts, self.ends)
-        self.gram, self.length = np.zeros(len(self.first), np.uint64), np.zeros(len(self.first), np.int64)
-        self.gram[at] = blocks.Hasher(word)(self.first[at], self.last[until[at]])
-        self.length[at] = until[at] - at + 1
-
-    def fingerprints(self) -> np.ndarray:
-        """The lines whose gram is the least, the first of equals, of some window of ``WINDOW`` grams of one text."""
-        usable = np.flatnonzero(self.length)
-        owner, value = self.doc[usable], self.gram[usable]
-        best = np.arange(len(usable))
+        self.hashes = blocks.Hasher(blocks.Hasher(data)(self.starts, self.ends))(self.first, self.last)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """:func:`gram_spans` and, in third place, the hash of each gram."""
+        start, end, forward = gram_spans(self.sizes, self.doc)
+        return start, end, blocks.Hasher(self.hashes)(start, end), forward
+
+    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and text of the grams that are the least, the first of equals, of some window of ``WINDOW``
+        consecutive forward grams of one text; a text with fewer grams is one window."""
+        start, _, value, forward = self.grams()
+        owner, value = self.doc[start[:forward]], value[:forward]
+        at = np.arange(forward)
+        best = at.copy()
         for step in range(1, WINDOW):
-            other = np.minimum(np.arange(len(usable)) + step, len(usable) - 1)
-            better = (owner[other] == owner) & (value[other] < value[best])
-            best = np.where(better, other, best)
-        full = np.arange(len(usable)) + WINDOW - 1
-        lone = np.bincount(owner, minlength=self.n)[owner] < WINDOW  # a text with fewer grams has one short window
-        full = lone | ((full < len(usable)) & (owner[np.minimum(full, max(len(usable) - 1, 0))] == owner))
-        return usable[np.unique(best[full])]
-
-
-def covered(repeated: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The lines that some repeated gram spans."""
-    change = np.zeros(len(repeated) + 1, np.int64)
-    at = np.flatnonzero(repeated)
-    np.add.at(change, at, 1)
-    np.add.at(change, at + lengths[at], -1)
+            other = np.minimum(at + step, max(forward - 1, 0))
+            best = np.where((owner[other] == owner) & (value[other] < value[best]), other, best)
+        end = at + WINDOW - 1
+        whole = np.bincount(owner, minlength=self.n)[owner] < WINDOW
+        whole |= (end < forward) & (owner[np.minimum(end, max(forward - 1, 0))] == owner)
+        picked = np.unique(best[whole])
+        return value[picked], owner[picked]
+
+
+def covered(lines: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which lines lie in some of the spans."""
+    change = np.zeros(lines + 1, np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, end, -1)
     return np.cumsum(change[:-1]) > 0
 
 
+def _later(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which grams, given in order of their place, repeat an earlier one of the same text."""
+    order = np.lexsort((np.arange(len(value)), value, doc))
+    later = np.zeros(len(value), bool)
+    v, d = value[order], doc[order]
+    later[order[1:]] = (v[1:] == v[:-1]) & (d[1:] == d[:-1])
+    return later
+
+
 def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks.text_blocks(batches):
         lines = Lines(block.column("text"))
-        picked = lines.fingerprints()
-        order = np.lexsort((np.arange(len(lines.gram)), lines.gram, lines.doc))
-        gram, doc = lines.gram[order], lines.doc[order]
-        later = np.zeros(len(order), bool)
-        later[order[1:]] = (gram[1:] == gram[:-1]) & (doc[1:] == doc[:-1])
-        own = np.flatnonzero(covered(later & (lines.length > 0), lines.length))
+        prints, print_doc = lines.fingerprints()
+        start, end, value, forward = lines.grams()
+        again = np.concatenate([_later(value[part], lines.doc[start[part]]) for part in (slice(0, forward), slice(forward, None))])
+        own = np.flatnonzero(covered(len(lines.sizes), start[again], end[again]))
         first = np.cumsum(lines.counts) - lines.counts
-        count = lambda at: np.bincount(lines.doc[at], minlength=lines.n)
+        count = lambda doc: np.bincount(doc, minlength=lines.n)
         yield pa.RecordBatch.from_arrays(
             [
                 block.column("doc_id"),
                 block.column("version"),
-                blocks.lists(blocks.signed(lines.gram), lines.counts, pa.int64()),
-                blocks.lists(lines.length.astype(np.int32), lines.counts, pa.int32()),
+                blocks.lists(blocks.signed(lines.hashes), lines.counts, pa.int64()),
                 blocks.lists(lines.sizes.astype(np.int32), lines.counts, pa.int32()),
-                blocks.lists(blocks.signed(lines.gram[picked]), count(picked), pa.int64()),
-                blocks.lists((own - first[lines.doc[own]]).astype(np.int32), count(own), pa.int32()),
+                blocks.lists(blocks.signed(prints), count(print_doc), pa.int64()),
+                blocks.lists((own - first[lines.doc[own]]).astype(np.int32), count(lines.doc[own]), pa.int32()),
             ],
-            ["doc_id", "version", "grams", "lengths", "sizes", "prints", "own"],
+            ["doc_id", "version", "hashes", "sizes", "prints", "own"],
         )
 
 
+def _grams_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start, end, _ = gram_spans(sizes.astype(np.int64), np.zeros(len(sizes), np.int64))
+    return start, end, blocks.Hasher(hashes.view(np.uint64))(start, end)
+
+
 def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per pair of a text and an earlier one: the lines of the text in grams that the earlier one has too."""
     for batch in batches:
         found = []
         for row in range(batch.num_rows):
-            grams, lengths, source = (batch.column(c)[row].values.to_numpy() for c in ("grams", "lengths", "source_grams"))
-            repeated = np.isin(grams, source) & (lengths > 0)
-            found.append(np.flatnonzero(covered(repeated, lengths)).astype(np.int32))
+            own, own_sizes, source, source_sizes = (
+                batch.column(c)[row].values.to_numpy() for c in ("hashes", "sizes", "source_hashes", "source_sizes")
+            )
+            start, end, value = _grams_of(own, own_sizes)
+            shared = np.isin(value, _grams_of(source, source_sizes)[2])
+            found.append(np.flatnonzero(covered(len(own), start[shared], end[shared])).astype(np.int32))
         counts = np.array([len(x) for x in found])
         lines = blocks.lists(np.concatenate(found) if found else np.zeros(0, np.int32), counts, pa.int32())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), lines], ["doc_id", "version", "lines"])
@@ -130,9 +156,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     first = prints.groupBy("print").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
     first = first.where("source < last").select("print", "source")
     pairs = prints.join(first, "print").where("doc_id > source").select("doc_id", "version", "source").distinct()
-    sources = table.select(F.col("doc_id").alias("source"), F.col("grams").alias("source_grams"))
-    both = pairs.join(sources, "source").join(table.select("doc_id", "version", "grams", "lengths"), ["doc_id", "version"])
-    across = both.select("doc_id", "version", "grams", "lengths", "source_grams").mapInArrow(
+    sources = table.select(F.col("doc_id").alias("source"), F.col("hashes").alias("source_hashes"), F.col("sizes").alias("source_sizes"))
+    both = pairs.join(sources, "source").join(table.select("doc_id", "version", "hashes", "sizes"), ["doc_id", "version"])
+    across = both.select("doc_id", "version", "hashes", "sizes", "source_hashes", "source_sizes").mapInArrow(
         _extend, "doc_id bigint, version bigint, lines array<int>"
     )
     within = table.where(F.size("own") > 0).select("doc_id", "version", F.col("own").alias("lines"))
@@ -181,7 +207,7 @@ def remove_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, removed: s
     an earlier text holds: one with a lesser id, or the same text further up. Repeats
     with ``WINDOW`` consecutive grams are always found; runs of fewer than ``min_words``
     words stay. White space between words does not count. Every row stays: a text that
-    is repeated as a whole becomes empty, NULL stays NULL, a missing id counts as the
+    is repeated as a whole becomes empty; words of a passage whose line differs stay; NULL stays NULL, a missing id counts as the
     least, texts with one id are not compared with each other, and repeated rows get
     the same result. Columns other than ``doc_id`` and ``text`` pass through.
     """

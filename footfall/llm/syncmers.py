@@ -151,7 +151,7 @@ def _parts(texts: DataFrame) -> DataFrame:
     parts = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbers = texts.withColumn("number", F.col("doc_id").cast("double"))
     cuts = numbers.approxQuantile("number", [i / parts for i in range(1, parts)], 0.25 / parts)
-    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     dealt = Bucketizer(splits=splits, inputCol="number", outputCol="part").transform(numbers)
     return dealt.select(F.col("part").cast("int").alias("part"), "doc_id", "text")
 
