@@ -17,6 +17,7 @@ from footfall.llm import blocks, work
 
 END_ID = 2
 CACHE_ENTRIES = 500_000
+MARKS = ".,!?;:"
 TOGETHER = 1000  # words that go through the merges in one call
 FILES = "doc_id bigint, row bigint, ids array<int>"
 ORC_OPTIONS = {
@@ -54,6 +55,8 @@ class Encoder:
         self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
         self.ends[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        ids = self.whole.encode_batch(list(MARKS), add_special_tokens=False)
+        self.marks = {mark: np.array(own.ids, "<u4").tobytes() for mark, own in zip(MARKS, ids, strict=True)}
 
     @staticmethod
     def plain(chunk: str) -> str | None:
@@ -65,22 +68,29 @@ class Encoder:
         return None
 
     def learn(self, chunks: list[str]) -> None:
-        rest, plain = [], []
+        """Adds chunks; a word with a mark after it is that word and the mark, which the tokenizer parts."""
+        rest, plain, words = [], [], {}
         for chunk in chunks:
-            low = self.plain(chunk)
+            mark = chunk[-1:] if chunk[-1:] in self.marks else ""
+            low = self.plain(chunk[:-1] if mark else chunk)
             if low is None:
                 rest.append(chunk)
             else:
-                plain.append((chunk, low))
+                plain.append((chunk, low, mark))
+                if low not in self.known:
+                    words[low] = b""
         for chunk, coded in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[chunk] = np.array(coded.ids, "<u4").tobytes()
-        for at in range(0, len(plain), TOGETHER):
-            some = plain[at : at + TOGETHER]
-            ids = np.array(self.words.encode(" ".join([low for _, low in some])).ids, np.int64)
+        new = list(words)
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            ids = np.array(self.words.encode(" ".join(some)).ids, np.int64)
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             coded = ids.astype("<u4").tobytes()
-            for (chunk, _), a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
-                self.known[chunk] = coded[a:b]
+            for low, a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
+                words[low] = coded[a:b]
+        for chunk, low, mark in plain:
+            self.known[chunk] = (words.get(low) or self.known[low]) + self.marks.get(mark, b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids and the end id as little-endian unsigned 32-bit integers."""
