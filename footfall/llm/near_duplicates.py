@@ -96,9 +96,10 @@ def _sign(rows: int, bands: int):
             total = np.bincount(doc, weights, minlength=n).astype(np.int64)
             some = total > 0
             lists = blocks.lists(blocks.signed(keys[some].reshape(-1)), some * bands, pa.int64())
+            sketches = pa.array([row.tobytes() for row in blocks.mix(values).reshape(n, -1).astype(np.uint8)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("copy"), pa.array(total), lists],
-                ["doc_id", "copy", "n_shingles", "bands"],
+                [block.column("doc_id"), block.column("copy"), pa.array(total), lists, sketches],
+                ["doc_id", "copy", "n_shingles", "bands", "sketch"],
             )
 
     return run
@@ -115,6 +116,25 @@ def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([block.column("doc_id"), blocks.lists(blocks.signed(bag), counts, pa.int64())], ["doc_id", "bag"])
 
 
+def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float, registers: int) -> DataFrame:
+    """The pairs whose signatures agree in enough registers, a byte of each compared.
+
+    The agreements of a pair at ``similarity`` lie six standard deviations above the limit,
+    so it is lost with a probability of about 1e-9, far below that of sharing no band.
+    """
+    least = registers * similarity - 6 * (registers * similarity * (1 - similarity)) ** 0.5
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, registers) for c in ("sketch_a", "sketch_b"))
+            some = pa.array((a == b).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(some) for c in ("a", "b")], ["a", "b"])
+
+    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose multisets of shingles overlap by at least ``similarity``."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -137,14 +157,15 @@ def near_duplicate_classes(
     Equal texts collapse to the least id before any comparison. In each band the
     members of a bucket are compared with its least one; then, where members of a
     bucket are still in different components, every such pair is compared. So each
-    pair that shares a band is either verified or already in one class, and a bucket
-    of copies costs one comparison a member. Texts without a word are classes of
+    pair that shares a band is compared or already in one class, and a bucket of copies
+    costs one comparison a member. Pairs whose whole signatures agree enough are
+    verified on their shingles. Texts without a word are classes of
     their own. Rows with the same id count once, by their greatest text; a missing id
     is an id of its own; other columns are ignored.
     """
     texts = work.keyed_texts(docs)
     signed = texts.withColumn("copy", F.md5("text")).mapInArrow(
-        _sign(rows, bands), "doc_id bigint, copy string, n_shingles bigint, bands array<bigint>"
+        _sign(rows, bands), "doc_id bigint, copy string, n_shingles bigint, bands array<bigint>, sketch binary"
     )
     signed = work.written(signed, "signatures")
     ids = signed.groupBy("doc_id").agg(F.max("copy").alias("copy"))
@@ -153,7 +174,7 @@ def near_duplicate_classes(
     heads = work.written(heads, "heads")
     chosen = heads.select(F.col("head").alias("doc_id"), "copy")
     kept = signed.join(chosen, ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id"])
-    kept = work.written(kept.select("doc_id", "n_shingles", "bands"), "kept")
+    kept = work.written(kept.select("doc_id", "n_shingles", "bands", "sketch"), "kept")
     banded = kept.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = work.written(banded.join(buckets.select("key", "first"), "key"), "buckets")
@@ -162,9 +183,11 @@ def near_duplicate_classes(
     )
     sources = texts.withColumn("copy", F.md5("text")).join(chosen, ["doc_id", "copy"], "left_semi")
     sources = sources.dropDuplicates(["doc_id", "copy"]).select("doc_id", "text")
-    links = work.written(_verified(stars, sources, similarity), "verified")
+    likely = work.written(_likely(stars, kept, similarity, rows * bands), "likely")
+    links = work.written(_verified(likely, sources, similarity), "verified")
     labels = components(links)
-    rest = work.written(_across(shared, labels, stars, similarity), "rest")
+    rest = _across(shared, labels, stars, similarity)
+    rest = work.written(_likely(rest, kept, similarity, rows * bands), "rest")
     more = _verified(rest, sources, similarity)
     labels = components(links.union(more))
     heads = heads.join(labels, F.col("head") == F.col("node"), "left")
