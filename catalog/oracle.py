@@ -580,19 +580,9 @@ def oracle_sql() -> dict[str, str]:
         "missing_null": sql(
             f"SELECT Dates, {web_cells(v.WEB_EVENTS)}, CAST(NULL AS BIGINT) AS never_seen FROM web_listed GROUP BY 1"
         ),
-        "fill_zero_all": sql(
-            "SELECT u.event_date, u.total_users, coalesce(p.new_users, 0) AS new_users, coalesce(p.reinstalls, 0) AS reinstalls "
-            "FROM (SELECT event_date, count(DISTINCT user_pseudo_id) AS total_users FROM flat GROUP BY 1) u LEFT JOIN "
-            "(SELECT event_date, count(DISTINCT user_pseudo_id) AS new_users, "
-            f"{users_with('install_type = ' + q('reinstall'))} AS reinstalls FROM installs "
-            "WHERE event_date < '20240115' GROUP BY 1) p USING (event_date)"
-        ),
+        "fill_zero_all": sql("SELECT * FROM pivoted", *explore_tables()),
         "fill_zero_one": sql(
-            "SELECT u.event_date, u.total_users, coalesce(p.new_users, 0) AS new_users, p.reinstalls "
-            "FROM (SELECT event_date, count(DISTINCT user_pseudo_id) AS total_users FROM flat GROUP BY 1) u LEFT JOIN "
-            "(SELECT event_date, count(DISTINCT user_pseudo_id) AS new_users, "
-            f"{users_with('install_type = ' + q('reinstall'))} AS reinstalls FROM installs "
-            "WHERE event_date < '20240115' GROUP BY 1) p USING (event_date)"
+            "SELECT DISTINCT Dates, User_ID, coalesce(max_scroll_percent, 0) AS max_scroll_percent FROM scroll_rows"
         ),
         # classification
         "user_type": sql("SELECT event_date, user_pseudo_id, user_type FROM user_types"),
@@ -653,7 +643,8 @@ def oracle_sql() -> dict[str, str]:
         "report_web_new_users": web_events("User_Type = 'New User'"),
         "report_goals_filtered": goals("app_version IN ('1.0.0', '1.1.0') AND event_date <= '20240120'"),
         "report_sources_filtered": sources("gender = 'female' AND event_date >= '20240105'"),
-        "report_custom_goals": sql(
+        "report_custom_goals": sql("SELECT DISTINCT goal_selected FROM latest WHERE goal_category = 'Others'", *goal_tables()),
+        "report_custom_goals_filtered": sql(
             "SELECT DISTINCT goal_selected FROM latest WHERE goal_category = 'Others'", *goal_tables("city <> 'C1'")
         ),
     }

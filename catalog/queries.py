@@ -505,22 +505,17 @@ def missing_null(t: Tables) -> DataFrame:
     return ud.null_if_absent(_with_stranger(t), [*WEB_LABELS.values(), "never_seen"])
 
 
-def _days_with_early_installs(t: Tables) -> DataFrame:
-    early = fl.between_event_days(x.new_installs(t.events), "event_date", None, dt.date(2024, 1, 14))
-    installs = ud.pivot_users(
-        early, "event_date", "user_pseudo_id", "install_type", {v.REINSTALL: "reinstalls"}, total="new_users"
-    )
-    return ud.daily_users(t.events, "event_date", "user_pseudo_id").join(installs, "event_date", "left")
-
-
 @registered
 def fill_zero_all(t: Tables) -> DataFrame:
-    return _days_with_early_installs(t).na.fill(0)
+    """Explore cells that nobody reached are NULL in a pivot, on whatever days that happens."""
+    reached = {name: F.nullif(F.col(name), F.lit(0)) for name in EXPLORE_NAMES}
+    return _explore_counts(t).select("event_date", "total_users", *EXPLORE_NAMES).withColumns(reached).na.fill(0)
 
 
 @registered
 def fill_zero_one(t: Tables) -> DataFrame:
-    return _days_with_early_installs(t).na.fill(0, ["new_users"])
+    """Visitors who did not scroll on a day have no depth after the join."""
+    return _visits(t).na.fill(0, ["max_scroll_percent"])
 
 
 # --- classification -----------------------------------------------------------
@@ -733,6 +728,11 @@ def report_sources_filtered(t: Tables) -> DataFrame:
 
 @registered
 def report_custom_goals(t: Tables) -> DataFrame:
+    return ff.custom_goals(_goal_rows(t), tiebreak=TIEBREAK)
+
+
+@registered
+def report_custom_goals_filtered(t: Tables) -> DataFrame:
     spec = ff.FilterSpec(city=["C0", "C2", "C3", "C4", "C5", "C6"])
     return ff.custom_goals(_goal_rows(t), spec, TIEBREAK)
 

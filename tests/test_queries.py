@@ -6,8 +6,8 @@ import __spark_entry__ as entry_points
 from tests.compare import differences
 from tests.conftest import TESTDATA
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = entry_points.catalog_queries.queries()
+ORACLE = entry_points.oracle.oracle_sql()
 
 
 def test_every_query_has_sql():
