@@ -561,11 +561,7 @@ def oracle_sql() -> dict[str, str]:
             *explore_tables(),
         ),
         "bounce_rate": sql(f"SELECT Dates, {BOUNCE} AS bounce_pct FROM days", scroll_days()),
-        "round_half_even": sql(
-            "SELECT event_date, user_pseudo_id, "
-            "round_even(count(*) / (count(*) + count(DISTINCT event_id % 32)) * 100, 2) AS pct "
-            "FROM flat GROUP BY 1, 2"
-        ),
+        "round_half_even": sql("SELECT event_id, round_even((event_id % 800) / 800 * 100, 2) AS pct FROM flat"),
         "missing_zero": sql(
             f"SELECT Dates, {web_cells(v.WEB_EVENTS)}, CAST(0 AS BIGINT) AS never_seen FROM web_listed GROUP BY 1"
         ),

@@ -478,9 +478,8 @@ def bounce_rate(t: Tables) -> DataFrame:
 
 @registered
 def round_half_even(t: Tables) -> DataFrame:
-    n = F.count("*")
-    residues = F.bit_count(F.bit_or(F.expr("shiftleft(1L, CAST(event_id % 32 AS INT))")))
-    return t.events.groupBy("event_date", "user_pseudo_id").agg(round2(percent(n, n + residues)).alias("pct"))
+    share = percent(F.col("event_id") % 800, F.lit(800))  # every fourth share ends in a half
+    return t.events.select("event_id", round2(share).alias("pct"))
 
 
 def _with_stranger(t: Tables) -> DataFrame:

@@ -39,3 +39,9 @@ def test_entry_returns_the_overview(spark):
 def test_daily_reports_are_newest_first(spark, name):
     days = [row["dates"] for row in QUERIES[name](spark, f"{TESTDATA}/sf0.001").collect()]
     assert days == sorted(days, reverse=True) and len(set(days)) == len(days)
+
+
+def test_round_half_even_meets_halves(spark, duck):
+    sf = f"{TESTDATA}/sf0.01"
+    plain = ORACLE["round_half_even"].replace("round_even(", "round(")
+    assert differences(QUERIES["round_half_even"](spark, sf), duck("sf0.01").execute(plain)) != ""
