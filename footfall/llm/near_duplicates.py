@@ -14,7 +14,9 @@ from footfall.llm.components import components
 
 WORDS = 5
 SIMILARITY = 0.8
-ROWS, BANDS = 6, 40  # a pair at 0.8 shares no band with probability (1 - 0.8**6)**40, below 6e-6
+ROWS, BANDS = 8, 64  # a pair at 0.8 shares no band with probability (1 - 0.8**8)**64, below 8e-6
+DEVIATIONS = 4.5  # a pair at 0.8 agrees in too few registers with probability below 4e-6
+BLOCK = 512  # members of a bucket that are compared with as many others at a time
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -85,26 +87,28 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int,
     return kept
 
 
-def _sign(rows: int, bands: int):
-    weight = blocks.mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
-
+def _sign(registers: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks.text_blocks(batches):
             doc, hashes, weights, n = shingles(block.column("text"))
-            values = signatures(doc, hashes, weights, n, rows * bands).view(np.uint64).reshape(n, bands, rows)
-            keys = blocks.mix((blocks.mix(values) * weight).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64))
+            values = blocks.mix(signatures(doc, hashes, weights, n, registers).view(np.uint64)).astype(np.uint8)
             total = np.bincount(doc, weights, minlength=n).astype(np.int64)
-            some = total > 0
-            lists = blocks.lists(blocks.signed(keys[some].reshape(-1)), some * bands, pa.int64())
-            sketches = pa.array([row.tobytes() for row in blocks.mix(values).reshape(n, -1).astype(np.uint8)], pa.binary())
+            sketches = pa.array([row.tobytes() for row in values], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("copy"), pa.array(total), lists, sketches],
-                ["doc_id", "copy", "n_shingles", "bands", "sketch"],
+                [block.column("doc_id"), block.column("copy"), pa.array(total), sketches],
+                ["doc_id", "copy", "n_shingles", "sketch"],
             )
 
     return run
 
 
+def _banded(kept: DataFrame, rows: int, bands: int) -> DataFrame:
+    """(doc_id, n_shingles, band, key): two documents have a key in common where all bytes of a band agree."""
+    each = kept.select("*", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+    key = F.xxhash64(F.substring("sketch", F.col("band") * rows + 1, F.lit(rows)), "band")
+    return each.select("doc_id", "n_shingles", "band", key.alias("key"))
+
+
 def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The multiset of shingles as a set: the k-th occurrence of a shingle is an element of its own."""
     for block in blocks.text_blocks(batches):
@@ -116,17 +120,22 @@ def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([block.column("doc_id"), blocks.lists(blocks.signed(bag), counts, pa.int64())], ["doc_id", "bag"])
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float, registers: int) -> DataFrame:
-    """The pairs whose signatures agree in enough registers, a byte of each compared.
+def _least(similarity: float, registers: int) -> float:
+    """Registers that a pair at ``similarity`` agrees in, less ``DEVIATIONS`` standard deviations."""
+    return registers * similarity - DEVIATIONS * (registers * similarity * (1 - similarity)) ** 0.5
 
-    The agreements of a pair at ``similarity`` lie six standard deviations above the limit,
-    so it is lost with a probability of about 1e-9, far below that of sharing no band.
-    """
-    least = registers * similarity - 6 * (registers * similarity * (1 - similarity)) ** 0.5
+
+def _bytes(sketches: pa.Array, registers: int) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, registers)
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float, registers: int) -> DataFrame:
+    """The pairs whose signatures agree in enough registers, a byte of each compared."""
+    least = _least(similarity, registers)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, registers) for c in ("sketch_a", "sketch_b"))
+            a, b = (_bytes(batch.column(c), registers) for c in ("sketch_a", "sketch_b"))
             some = pa.array((a == b).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(some) for c in ("a", "b")], ["a", "b"])
 
@@ -135,10 +144,11 @@ def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float, registers:
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, chosen: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose multisets of shingles overlap by at least ``similarity``."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    needed = texts.join(wanted, "doc_id", "left_semi")
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(chosen, "doc_id")
+    needed = texts.withColumn("copy", F.md5("text")).join(wanted, ["doc_id", "copy"], "left_semi")
+    needed = needed.dropDuplicates(["doc_id", "copy"]).select("doc_id", "text")
     bags = work.written(needed.mapInArrow(_bags, "doc_id bigint, bag array<bigint>"), "bags")
     both = pairs.join(bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), "a").join(
         bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b")), "b"
@@ -156,16 +166,18 @@ def near_duplicate_classes(
 
     Equal texts collapse to the least id before any comparison. In each band the
     members of a bucket are compared with its least one; then, where members of a
-    bucket are still in different components, every such pair is compared. So each
-    pair that shares a band is compared or already in one class, and a bucket of copies
-    costs one comparison a member. Pairs whose whole signatures agree enough are
+    bucket are still in different components, the signatures of every such pair are
+    compared, block by block, inside tasks. So each pair that shares a band is compared
+    or already in one class, and a bucket of copies costs one comparison a member.
+    Pairs whose whole signatures agree enough, and no others, become rows and are
     verified on their shingles. Texts without a word are classes of
     their own. Rows with the same id count once, by their greatest text; a missing id
     is an id of its own; other columns are ignored.
     """
     texts = work.keyed_texts(docs)
+    registers = rows * bands
     signed = texts.withColumn("copy", F.md5("text")).mapInArrow(
-        _sign(rows, bands), "doc_id bigint, copy string, n_shingles bigint, bands array<bigint>, sketch binary"
+        _sign(registers), "doc_id bigint, copy string, n_shingles bigint, sketch binary"
     )
     signed = work.written(signed, "signatures")
     ids = signed.groupBy("doc_id").agg(F.max("copy").alias("copy"))
@@ -174,21 +186,18 @@ def near_duplicate_classes(
     heads = work.written(heads, "heads")
     chosen = heads.select(F.col("head").alias("doc_id"), "copy")
     kept = signed.join(chosen, ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id"])
-    kept = work.written(kept.select("doc_id", "n_shingles", "bands", "sketch"), "kept")
-    banded = kept.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    kept = work.written(kept.select("doc_id", "n_shingles", "sketch"), "kept")
+    banded = _banded(kept, rows, bands)
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = work.written(banded.join(buckets.select("key", "first"), "key"), "buckets")
     stars = work.written(
         shared.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs"
     )
-    sources = texts.withColumn("copy", F.md5("text")).join(chosen, ["doc_id", "copy"], "left_semi")
-    sources = sources.dropDuplicates(["doc_id", "copy"]).select("doc_id", "text")
-    likely = work.written(_likely(stars, kept, similarity, rows * bands), "likely")
-    links = work.written(_verified(likely, sources, similarity), "verified")
+    likely = work.written(_likely(stars, kept, similarity, registers), "likely")
+    links = work.written(_verified(likely, texts, chosen, similarity), "verified")
     labels = components(links)
-    rest = _across(shared, labels, stars, similarity)
-    rest = work.written(_likely(rest, kept, similarity, rows * bands), "rest")
-    more = _verified(rest, sources, similarity)
+    rest = _across(shared, labels, kept, similarity, rows, bands).join(stars, ["a", "b"], "left_anti")
+    more = _verified(work.written(rest, "rest"), texts, chosen, similarity)
     labels = components(links.union(more))
     heads = heads.join(labels, F.col("head") == F.col("node"), "left")
     heads = heads.select("copy", F.coalesce("component", "head").alias("class"))
@@ -199,18 +208,68 @@ def near_duplicate_classes(
     )
 
 
-def _across(shared: DataFrame, labels: DataFrame, done: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that share a bucket, are of different components, were not compared yet, and whose sizes allow a link."""
+def _compare(similarity: float, rows: int, bands: int):
+    """Pairs within sorted groups (key, low, high): of two parts of a bucket, or of one part with itself.
+
+    A pair is compared in the first band that it shares and in no other bucket.
+    """
+    registers, least = rows * bands, _least(similarity, rows * bands)
+
+    def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        low, high, band = (group.column(c)[0].as_py() for c in ("low", "high", "band"))
+        ids, size, kind, part = (group.column(c).to_numpy() for c in ("doc_id", "n_shingles", "class", "part"))
+        sketch = _bytes(group.column("sketch"), registers)
+        for i in range(len(ids)):
+            others = np.arange(i + 1, len(ids)) if low == high else np.flatnonzero((part == high) & (part[i] == low))
+            fits = np.minimum(size[i], size[others]) >= similarity * np.maximum(size[i], size[others])
+            others = others[fits & (kind[others] != kind[i])]
+            same = sketch[others] == sketch[i]
+            likely = same.sum(axis=1) >= least
+            first = same[likely].reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == band
+            found = ids[others[likely][first]]
+            if len(found):
+                ends = [pa.array(np.minimum(found, ids[i])), pa.array(np.maximum(found, ids[i]))]
+                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+            new = np.zeros(max(0, table.num_rows - 1), bool)
+            for c in ("key", "low", "high"):
+                new |= np.diff(table.column(c).to_numpy()) != 0
+            starts = np.concatenate(([0], np.flatnonzero(new) + 1))
+            for start, end in zip(starts[:-1], starts[1:], strict=True):
+                yield from pairs(table.slice(start, end - start))
+            rest = table.slice(starts[-1])
+        if rest is not None and rest.num_rows:
+            yield from pairs(rest)
+
+    return run
+
+
+def _across(shared: DataFrame, labels: DataFrame, kept: DataFrame, similarity: float, rows: int, bands: int) -> DataFrame:
+    """Pairs that share a bucket, are of different components, and whose sizes and signatures allow a link.
+
+    A bucket of n members is cut into parts of about ``BLOCK`` by a hash of the id, and
+    each two parts meet in one group, so that no task holds a bucket and no pair is a
+    row before its signatures are compared.
+    """
     placed = shared.join(labels, shared.doc_id == labels.node, "left")
-    placed = placed.select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("class"))
-    mixed = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    placed = placed.join(mixed.select("key"), "key", "left_semi")
-    a = placed.select("key", *(F.col(c).alias(f"{c}_a") for c in placed.columns if c != "key"))
-    b = placed.select("key", *(F.col(c).alias(f"{c}_b") for c in placed.columns if c != "key"))
-    near = F.least("n_shingles_a", "n_shingles_b") >= similarity * F.greatest("n_shingles_a", "n_shingles_b")
-    pairs = a.join(b, "key").where((F.col("class_a") < F.col("class_b")) & near)
-    pairs = pairs.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
-    return pairs.distinct().join(done, ["a", "b"], "left_anti")
+    placed = placed.select("key", "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("class"))
+    placed = work.written(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("n"))
+    mixed = mixed.where("least < most").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    members = placed.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    members = members.join(kept.select("doc_id", "sketch"), "doc_id")
+    members = members.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    members = members.select(
+        "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
+        "band", "doc_id", "n_shingles", "class", "part", "sketch",
+    )
+    groups = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return groups.mapInArrow(_compare(similarity, rows, bands), "a bigint, b bigint")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

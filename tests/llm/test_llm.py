@@ -164,6 +164,22 @@ def test_classes_equal_brute_force(spark, small, edges):
     assert kept.columns == edges.columns and ids.count("2") == 2 and not {"1", "3", "7", "9"} & {*ids} and {"0", "None", "4", "5"} <= {*ids}
 
 
+def test_large_buckets_are_compared_in_parts(spark, monkeypatch):
+    base, draw = prose(31, 90).split(" "), random.Random(5)
+    texts = {}
+    for i in range(60):
+        text = list(base)
+        for at in draw.sample(range(90), draw.choice((0, 1, 2, 4))):
+            text[at] = f"w{draw.randrange(6)}"
+        texts[i] = " ".join(text)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    wanted = brute.classes(texts)
+    assert 1 < len({*wanted.values()}) < 60
+    for block in (3, near_duplicates.BLOCK):
+        monkeypatch.setattr(near_duplicates, "BLOCK", block)
+        assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(docs).collect()} == wanted
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(500, 499), (7, 7)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
