@@ -60,7 +60,8 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int,
     cell and a register; the points at levels up to the weight count, so bags share
     the points up to the lesser weight. A register keeps its earliest point: two
     bags agree on it with their weighted Jaccard similarity. Points come in time order,
-    so a process ends once it passes the latest register of its bag.
+    so a process ends once it passes the latest register of its bag; this is looked
+    at in growing steps, as later points change nothing.
     """
     cells = [(0, 1)] + [(2**j, 2**j) for j in range(int(np.log2(weights.max())) + 1 if len(weights) else 0)]
     part = [(np.flatnonzero(weights > low), low, length, i) for i, (low, length) in enumerate(cells)]
@@ -69,7 +70,7 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int,
     seed = blocks.mix(hashes[item] + cell.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     owner, room, time = doc[item], weights[item] - low, np.zeros(len(item))
     kept = np.full((n, size), np.inf)
-    flat, point = kept.reshape(-1), 0
+    flat, point, look = kept.reshape(-1), 0, 1
     while len(owner):
         draw = blocks.mix(seed + np.uint64((point * 0x9E3779B97F4A7C15) % 2**64))
         point += 1
@@ -79,8 +80,11 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int,
         level = (draw & np.uint64(0xFFFFFFFF)).astype(np.int64) % length
         counts = level < room
         np.minimum.at(flat, owner[counts] * size + register[counts], time[counts])
+        if point < look:
+            continue
+        look = point + 1 + point // 4
         last = np.zeros(n)
-        present = np.unique(owner)
+        present = np.flatnonzero(np.bincount(owner, minlength=n))
         last[present] = kept[present].max(axis=1)
         go = time < last[owner]
         owner, room, time, seed, length = owner[go], room[go], time[go], seed[go], length[go]
