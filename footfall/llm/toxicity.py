@@ -20,7 +20,8 @@ INPUTS = 8
 SAMPLE = 1500  # labelled texts of each class that train the model, at most
 LEAST_TEXTS = 4  # training texts that an input must occur in
 ROUNDS, RESCORE, BATCH, RATE = 12, 4, 128, 0.02  # windows are scored again every RESCORE rounds
-TOGETHER = 4096  # windows scored at once
+TOGETHER = 1024  # windows scored at once
+TRAINING_BLOCK = 1 << 20  # characters of training texts that are taken apart at once
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -47,6 +48,29 @@ def windows_of(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return start, np.clip(size[owner] - nth * STRIDE, 0, WINDOW), owner
 
 
+def words_in_blocks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of all texts by ascending hash, with their inputs; per word of a text its place there, and its text.
+
+    Texts are taken apart block by block and words repeat, so that the inputs of all words
+    are never held at once.
+    """
+    blocks_of, start, room = [], 0, 0
+    for i, text in enumerate(texts):
+        room += len(text or "")
+        if room >= TRAINING_BLOCK or i + 1 == len(texts):
+            blocks_of.append((start, i + 1))
+            start, room = i + 1, 0
+    inputs, words, doc = [np.zeros((0, 1 + len(PREFIXES) + len(SUFFIXES)), np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for low, high in blocks_of:
+        columns, own, _ = words_of(pa.array(texts[low:high], pa.string()))
+        inputs.append(columns[np.unique(columns[:, 0], return_index=True)[1]])
+        words.append(columns[:, 0].copy())
+        doc.append(own + low)
+    inputs = np.concatenate(inputs)
+    inputs = inputs[np.unique(inputs[:, 0], return_index=True)[1]]
+    return inputs, np.searchsorted(inputs[:, 0], np.concatenate(words)), np.concatenate(doc)
+
+
 @dataclass
 class Model:
     keys: np.ndarray  # known inputs, ascending hashes
@@ -66,10 +90,10 @@ class Model:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == column, at, len(self.keys)) if len(self.keys) else np.zeros(len(column), np.int64)
 
-    def window_logits(self, columns: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        # words repeat: the input's part of the gates is computed once for each distinct word of the block
-        _, first, which = np.unique(columns[:, 0], return_index=True, return_inverse=True)
-        x = self.inputs(columns[first])
+    def window_logits(self, distinct: np.ndarray, which: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The logit of each window; ``which`` has the place of each word among the ``distinct`` ones."""
+        # words repeat: the input's part of the gates is computed once for each distinct word
+        x = self.inputs(distinct)
         x = np.concatenate((x, np.zeros((1, INPUTS), np.float32)))
         which = np.append(which, len(x) - 1)
         gates = {d: x @ self.params[f"W{d}"] + self.params[f"c{d}"] for d in "fb"}
@@ -85,7 +109,8 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         columns, doc, n = words_of(texts)
         start, size, owner = windows_of(doc, n)
-        logits = self.window_logits(columns, start, size)
+        _, first, which = np.unique(columns[:, 0], return_index=True, return_inverse=True)
+        logits = self.window_logits(columns[first], which, start, size)
         return self.chance(np.maximum.reduceat(logits, np.searchsorted(owner, np.arange(n))))
 
     def chance(self, logit: np.ndarray) -> np.ndarray:
@@ -104,17 +129,20 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model | None:
     if not len(goal) or goal.min() == goal.max():
         return None
     rng = np.random.default_rng(seed)
-    columns, doc, n = words_of(pa.array(texts, pa.string()))
-    width = columns.shape[1]
-    flat, owner = columns.reshape(-1), np.repeat(doc, width)
-    order = np.lexsort((owner, flat))
-    flat, owner = flat[order], owner[order]
-    new = np.ones(len(flat), bool)
-    new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
-    keys, first, count = np.unique(flat[new], return_index=True, return_counts=True)
-    bad = np.add.reduceat(goal[owner[new]], first) if len(first) else np.zeros(0)
-    keep = count >= LEAST_TEXTS
-    keys, count, bad = keys[keep], count[keep], bad[keep]
+    distinct, which, doc = words_in_blocks(texts)
+    n, width = len(texts), distinct.shape[1]
+    keys, count, bad = [], [], []
+    for column in distinct.T:
+        own, number = np.unique(column, return_inverse=True)
+        input_, text = np.divmod(np.unique(number[which] * n + doc), n)  # each input once a text
+        times = np.bincount(input_, minlength=len(own))
+        keep = times >= LEAST_TEXTS
+        keys.append(own[keep])
+        count.append(times[keep])
+        bad.append(np.bincount(input_, goal[text], minlength=len(own))[keep])
+    keys, count, bad = np.concatenate(keys), np.concatenate(count), np.concatenate(bad)
+    order = np.argsort(keys)
+    keys, count, bad = keys[order], count[order], bad[order]
     odds = np.log((bad + 0.5) / (goal.sum() + 1)) - np.log((count - bad + 0.5) / (n - goal.sum() + 1))
     vectors = (rng.standard_normal((len(keys) + 1, INPUTS)) * 0.05).astype(np.float32)
     vectors[:-1, 0] = np.clip(odds * count / (count + LEAST_TEXTS), -4, 4) / 2
@@ -122,9 +150,10 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model | None:
     params = net.new_params(INPUTS, rng)
     model = Model(keys, vectors, params, (1.0, 0.0))
     start, size, of = windows_of(doc, n)
-    places = np.stack([model.places(c) for c in columns.T], axis=1) if len(columns) else np.zeros((0, width), np.int64)
+    places = np.stack([model.places(c) for c in distinct.T], axis=1)
     places = np.concatenate((places, np.full((1, width), len(keys))))
-    pull = np.concatenate((vectors[places, 0].sum(axis=1), [0.0]))
+    which = np.append(which, len(distinct))  # what stands after the last word of a window is no known input
+    pull = vectors[places, 0].sum(axis=1).astype(np.float64)[which]
     sums = np.concatenate(([0.0], np.cumsum(np.maximum(pull, 0))))
     value = sums[start + size] - sums[start]
     adam = net.Adam(RATE)
@@ -140,7 +169,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model | None:
             some = rows[low : low + BATCH]
             step = np.arange(WINDOW)[:, None]
             mask = (step < size[some]).astype(np.float32)
-            at = places[np.where(mask > 0, start[some] + step, len(places) - 1)]
+            at = places[which[np.where(mask > 0, start[some] + step, len(which) - 1)]]
             x = vectors[at].sum(axis=2)
             grads, dx, _ = net.gradients(x, mask, goal[of[some]], params)
             adam.update(params, grads)
@@ -150,7 +179,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model | None:
             vectors[touched] -= RATE * change
             vectors[-1] = 0
         if round_ % RESCORE == RESCORE - 1:
-            value = model.window_logits(columns, start, size)
+            value = model.window_logits(distinct, which[:-1], start, size)
     highest = np.maximum.reduceat(value, np.searchsorted(of, np.arange(n))).astype(np.float64)
     model.scale = _scaled(highest, goal)
     return model
