@@ -16,7 +16,15 @@ from footfall.plans.reports import (
 from footfall.session import build_session
 from footfall.sinks.csv import write_csv
 from footfall.sinks.display import format_report, with_titles
-from footfall.sources.tables import Tables, run_sql, scan_events, scan_new_user, scan_web, share_extract
+from footfall.sources.tables import (
+    Tables,
+    run_sql,
+    scan_event_shards,
+    scan_events,
+    scan_new_user,
+    scan_web,
+    share_extract,
+)
 
 __all__ = [
     "FilterSpec",
@@ -31,6 +39,7 @@ __all__ = [
     "new_user_onboarding",
     "overview",
     "run_sql",
+    "scan_event_shards",
     "scan_events",
     "scan_new_user",
     "scan_web",

@@ -10,14 +10,20 @@ from footfall import vocabulary as v
 MISSING_USER_SPREAD = 64
 
 
+def _user_key(user: Column) -> Column:
+    return F.concat(F.lit("u"), user).alias("match_key")
+
+
 def first_days(new_user: DataFrame) -> DataFrame:
-    """One row per user: ``first_days`` (day, rows on it) and ``first_rows`` in all.
+    """One row per user, as ``match_key``: ``first_days`` (day, rows on it) and ``first_rows`` in all.
 
     Rows are counted per (user, day) first, so a user's array has at most one
-    short element per calendar day, whatever the number of copies.
+    short element per calendar day, whatever the number of copies. They are
+    grouped on the key they are joined on, so the join shuffles them no more.
     """
-    per_day = new_user.where(F.col("User_ID").isNotNull()).groupBy("User_ID", "Dates").agg(F.count("*").alias("n"))
-    return per_day.groupBy("User_ID").agg(
+    keyed = new_user.where(F.col("User_ID").isNotNull()).select(_user_key(F.col("User_ID")), "Dates")
+    per_day = keyed.groupBy("match_key", "Dates").agg(F.count("*").alias("n"))
+    return per_day.groupBy("match_key").agg(
         F.collect_list(F.when(F.col("Dates").isNotNull(), F.struct("Dates", "n"))).alias("first_days"),
         F.sum("n").alias("first_rows"),
     )
@@ -32,13 +38,10 @@ def with_first_seen(rows: DataFrame, new_user: DataFrame, user: str = "User_ID",
     otherwise multiply. Rows without a user match nothing, so they are spread
     over many keys instead of meeting in one task.
     """
-    first = first_days(new_user).select(
-        F.concat(F.lit("u"), F.col("User_ID")).alias("match_key"), "first_days", "first_rows"
-    )
     others = [c for c in rows.columns if c != user]
     spread = F.pmod(F.xxhash64(*others), F.lit(MISSING_USER_SPREAD)).cast("string")
-    match_key = F.coalesce(F.concat(F.lit("u"), F.col(user)), F.concat(F.lit("n"), spread))
-    joined = rows.withColumn("match_key", match_key).join(first, "match_key", "left").drop("match_key")
+    match_key = F.coalesce(_user_key(F.col(user)), F.concat(F.lit("n"), spread))
+    joined = rows.withColumn("match_key", match_key).join(first_days(new_user), "match_key", "left").drop("match_key")
     same_day = F.get(F.col("first_days.n"), (F.array_position("first_days.Dates", F.col(day)) - 1).cast("int"))
     return (
         joined.withColumn("new_rows", F.coalesce(same_day, F.lit(0).cast("bigint")))
@@ -73,3 +76,17 @@ def of_user_types(matched: DataFrame, user_types: list[str]) -> DataFrame:
     if v.WEB_RETURNING_USER in user_types:
         met = met | (F.col("returning_rows") > 0)
     return matched.where(met)
+
+
+def only_new(user_types: list[str]) -> bool:
+    """Whether new users are asked for and returning ones are not."""
+    return v.WEB_NEW_USER in user_types and v.WEB_RETURNING_USER not in user_types
+
+
+def first_seen_that_day(user_days: DataFrame, new_user: DataFrame) -> DataFrame:
+    """The rows of (``Dates``, ``User_ID``), one each, whose user was first seen on that very day.
+
+    Rows reduced to one per day and user keep their layout: only the first-seen
+    table is shuffled, once. Without a day or a user a row is never new.
+    """
+    return user_days.join(new_user.select("Dates", "User_ID").distinct(), ["Dates", "User_ID"], "left_semi")

@@ -36,7 +36,7 @@ from footfall.operators.filters import (
     where_selected,
     where_selected_or_unknown,
 )
-from footfall.operators.first_seen import of_user_types, with_first_seen
+from footfall.operators.first_seen import first_seen_that_day, of_user_types, only_new, with_first_seen
 from footfall.operators.scroll import bounce_percent, max_scroll, scroll_counts, threshold_percent, with_max_scroll
 from footfall.operators.user_days import (
     count_users,
@@ -231,11 +231,12 @@ def scroll_depth(
     spec = filters.only("user_type")
     booked_on = report_day(report_date)
     visits = extracts.on_web_events(_web_in_range(web, spec, booked_on))
-    if spec.user_type:
-        visits = of_user_types(
-            with_first_seen(extracts.user_days_of(visits), new_user), list(spec.user_type)
-        )
-    visits = extracts.user_days_of(visits.withColumn("Dates", F.coalesce("Dates", booked_on)))
+    if only_new(list(spec.user_type)):  # these have a day, so it is not filled in and the layout stays
+        visits = first_seen_that_day(extracts.user_days_of(visits), new_user)
+    else:
+        if spec.user_type:
+            visits = of_user_types(with_first_seen(extracts.user_days_of(visits), new_user), list(spec.user_type))
+        visits = extracts.user_days_of(visits.withColumn("Dates", F.coalesce("Dates", booked_on)))
 
     start, end = (None if day is None else F.lit(compact_day(day)) for day in (spec.start, spec.end))
     booked_text = F.date_format(booked_on, "yyyyMMdd")
@@ -262,11 +263,15 @@ def web_events(
         rows, {WEB_COLUMNS[name]: values for name, values in spec.selected(WEB_COLUMNS).items()}
     )
     names = {label: v.snake(label) for label in v.WEB_EVENTS}
-    if spec.user_type:
+    new = only_new(list(spec.user_type))
+    if spec.user_type and not new:
         rows = rows.select("Dates", "User_ID", "Event_Name").distinct()
         rows = of_user_types(with_first_seen(rows, new_user), list(spec.user_type))
-    rows = rows.withColumn("Dates", F.coalesce("Dates", booked_on))
+    if not new:  # new users have a day
+        rows = rows.withColumn("Dates", F.coalesce("Dates", booked_on))
     reduced = user_days(rows, ["Dates", "User_ID"], label_number(F.col("Event_Name"), list(names)), len(names))
+    if new:
+        reduced = first_seen_that_day(reduced, new_user)
     daily = count_users(
         reduced,
         "Dates",

@@ -10,6 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from footfall import schema
+from footfall.functions.dates import compact_day
 from footfall.operators.filters import between_event_days
 
 
@@ -34,6 +35,29 @@ def scan_events(
     return between_event_days(events, "event_date", start, end)
 
 
+def scan_event_shards(
+    spark: SparkSession,
+    prefix: str,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    fmt: str = "parquet",
+) -> DataFrame:
+    """The nested event table kept as one folder or file per day, ``<prefix>yyyyMMdd``, in one read.
+
+    A range with both ends chooses the shards by name, and those that do not exist
+    are passed over; with one end or none all are read. The days of the rows
+    are held to the range either way.
+    """
+    days = "*"
+    if start and end:
+        chosen = [start + dt.timedelta(days=i) for i in range((end - start).days + 1)]
+        if not chosen:
+            return spark.createDataFrame([], schema.EVENTS)
+        days = f"{{{','.join(compact_day(day) for day in chosen)}}}"
+    events = spark.read.format(fmt).schema(schema.EVENTS).load(f"{prefix}{days}")
+    return between_event_days(events, "event_date", start, end)
+
+
 def scan_web(spark: SparkSession, *paths: str, fmt: str = "parquet") -> DataFrame:
     """The flat web-activity table."""
     return _scan(spark, paths, schema.WEB, fmt)

@@ -4,11 +4,13 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import footfall as ff
 from catalog import adapter
 from catalog.queries import BUILDERS
 from footfall import vocabulary as v
+from footfall.operators.first_seen import first_days, with_first_seen
 from footfall.plans import extracts as x
 from tests.conftest import TESTDATA
 
@@ -110,3 +112,40 @@ def test_joined_extracts_are_equi_joins(stored):
 def test_no_query_leaves_the_jvm_or_crosses(stored, spark, name):
     text = plan(BUILDERS[name](adapter.tables(spark, f"{TESTDATA}/sf0.001")))
     assert not re.search(r"Python|Cartesian|NestedLoop|Pandas", text)
+
+
+@pytest.fixture
+def nothing_broadcast(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_new_users_are_met_where_their_days_lie(stored, nothing_broadcast):
+    new = ff.FilterSpec(user_type=[v.WEB_NEW_USER])
+    # visits, depths and first days by (day, user), then by day
+    assert plan(ff.scroll_depth(stored.events, stored.web_user_data, stored.new_user, new)).count("Exchange hashpartitioning") == 4
+    # visits and first days by (day, user), then by day
+    assert plan(ff.web_events(stored.web_user_data, stored.new_user, new)).count("Exchange hashpartitioning") == 3
+
+
+def test_first_seen_table_is_shuffled_twice_for_returning_users(stored, nothing_broadcast):
+    assert plan(first_days(stored.new_user)).count("Exchange hashpartitioning") == 2
+    rows = x.user_days_of(x.on_web_events(stored.web_user_data))
+    # the visits by (day, user) and by key; the first days by (key, day) and by key
+    assert plan(with_first_seen(rows, stored.new_user)).count("Exchange hashpartitioning") == 4
+
+
+def test_shards_are_one_scan(spark, stored, tmp_path):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(30)]
+    one = stored.events.limit(1)
+    for day in days:
+        one.withColumn("event_date", F.lit(day.strftime("%Y%m%d"))).coalesce(1).write.parquet(f"{tmp_path}/events_{day:%Y%m%d}")
+    every = ff.scan_event_shards(spark, f"{tmp_path}/events_")
+    assert plan(every).count("FileScan") == 1 and every.count() == 30
+    text = plan(ff.scan_event_shards(spark, f"{tmp_path}/events_", *RANGE.values()))
+    assert text.count("FileScan") == 1 and "(5 paths)" in text

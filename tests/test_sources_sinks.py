@@ -31,6 +31,20 @@ def test_scan_reads_day_folders_of_several_paths(spark, small, tmp_path):
     assert [row["user_pseudo_id"] for row in ranged.collect()] == ["b"]
 
 
+def test_scan_of_shards_takes_those_of_the_range_that_exist(spark, small, tmp_path):
+    for day in ("20240101", "20240103"):
+        small.events.where(F.col("event_date") == day).write.parquet(str(tmp_path / f"events_{day}"))
+    prefix = str(tmp_path / "events_")
+
+    def users(*days):
+        return sorted(row["user_pseudo_id"] for row in ff.scan_event_shards(spark, prefix, *days).collect())
+
+    assert users() == ["a", "c"]
+    assert users(dt.date(2024, 1, 2), dt.date(2024, 1, 4)) == ["c"]
+    assert users(dt.date(2024, 1, 2)) == ["c"]
+    assert users(dt.date(2024, 1, 4), dt.date(2024, 1, 2)) == []
+
+
 def test_scan_of_other_formats(spark, small, tmp_path):
     small.web_user_data.write.json(str(tmp_path / "web"))
     small.new_user.write.orc(str(tmp_path / "nu"))
