@@ -101,15 +101,13 @@ def run_sql(t: Tables) -> DataFrame:
 
 @registered
 def reuse_extract(t: Tables) -> DataFrame:
-    shared = ff.share_extract(_goal_rows(t))
-    goals = g.goal_shares(r.latest_goals(shared, tiebreak=TIEBREAK))
-    sources = ff.goal_sources(shared).unpivot([], list(r.SOURCE_COLUMNS.values()), "name", "pct")
-    titles = F.create_map(*(F.lit(text) for pair in r.SOURCE_COLUMNS.items() for text in reversed(pair)))
-    return goals.select(F.lit("goals").alias("report"), F.col("goal_category").alias("item"), "pct").unionByName(
-        sources.where(F.col("pct").isNotNull()).select(
-            F.lit("sources").alias("report"), titles[F.col("name")].alias("item"), "pct"
-        )
-    )
+    both = ff.goal_reports(_goal_rows(t), tiebreak=TIEBREAK)
+    items = [
+        F.struct(F.lit(report).alias("report"), F.lit(item).alias("item"), F.col(f"{report}.{name}").alias("pct"))
+        for report, columns in (("goals", r.GOAL_COLUMNS), ("sources", r.SOURCE_COLUMNS))
+        for item, name in columns.items()
+    ]
+    return both.select(F.inline(F.array(*items))).where(F.col("pct").isNotNull())
 
 
 # --- sinks --------------------------------------------------------------------

@@ -6,6 +6,7 @@ from footfall.plans.reports import (
     custom_goals,
     explore_journey,
     goal_categories,
+    goal_reports,
     goal_sources,
     new_user_onboarding,
     overview,
@@ -34,6 +35,7 @@ __all__ = [
     "explore_journey",
     "format_report",
     "goal_categories",
+    "goal_reports",
     "goal_rows",
     "goal_sources",
     "new_user_onboarding",

@@ -131,6 +131,19 @@ def apply_filters(rows: DataFrame, spec: FilterSpec, day: str, columns: dict[str
     return where_selected(rows, {columns[name]: values for name, values in spec.selected(columns).items()})
 
 
+def meets(spec: FilterSpec, day: str, columns: dict[str, str]) -> Column:
+    """What :func:`apply_filters` keeps, as a condition: true for those rows, false or NULL for others."""
+    condition = F.lit(True)
+    if spec.start is not None:
+        condition = condition & (F.col(day) >= F.lit(compact_day(spec.start)))
+    if spec.end is not None:
+        condition = condition & (F.col(day) <= F.lit(compact_day(spec.end)))
+    for name, values in spec.selected(columns).items():
+        if values:
+            condition = condition & F.col(columns[name]).isin(list(values))
+    return condition
+
+
 def on_android(events: DataFrame) -> DataFrame:
     return events.where(F.col("platform") == v.ANDROID)
 

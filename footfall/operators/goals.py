@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall import vocabulary as v
@@ -13,15 +13,19 @@ from footfall.functions.numbers import percent, round2
 from footfall.operators.user_days import has_label, label_number, user_days
 
 
-def goal_clicks(rows: DataFrame) -> DataFrame:
-    """Clicks that chose a goal on the goal screen."""
-    return rows.where(
+def is_goal_click() -> Column:
+    return (
         (F.col("event_name") == v.VIEW_CLICK)
         & (F.col("screen_name") == v.GOAL_SCREEN)
         & F.col("goal_selected").isNotNull()
     )
 
 
+def goal_clicks(rows: DataFrame) -> DataFrame:
+    """Clicks that chose a goal on the goal screen."""
+    return rows.where(is_goal_click())
+
+
 def latest_goal(clicks: DataFrame, tiebreak: Sequence[str] = ()) -> DataFrame:
     """The goal of each user's latest day.
 
@@ -105,3 +109,48 @@ def source_shares(rows: DataFrame, names: Mapping[str, str]) -> DataFrame:
         .where(any_source)
         .select("total_logged_in_users", "users_who_set_goals", *shares)
     )
+
+
+def goals_and_sources(
+    rows: DataFrame,
+    in_goals: Column,
+    in_sources: Column,
+    categories: Mapping[str, str],
+    groups: Mapping[str, str],
+    tiebreak: Sequence[str] = (),
+) -> DataFrame:
+    """One row of two structs: what ``goals_wide`` and ``source_shares`` give for the rows of each condition.
+
+    Rows are reduced once, to one per user with the latest goal of the one set and the
+    source bits of the other. A struct is NULL where its report has no row.
+    """
+    category = goal_category(F.col("is_custom_goal"), F.col("goal_selected")).alias("goal_category")
+    choice = F.struct("event_date", *tiebreak, "goal_selected", category)
+    users = user_days(
+        rows.where(in_goals | in_sources),
+        ["user_id"],
+        F.when(in_sources, label_number(source_category(F.col("sources")), list(groups))),
+        len(groups),
+        latest=F.max(F.when(in_goals & is_goal_click(), choice)),
+        logged_in=F.max(in_sources),
+        has_goal=F.max(in_sources & F.col("goal_selected").isNotNull()),
+    )
+    known = F.col("user_id").isNotNull()
+    counted = users.agg(
+        F.count_if(F.col("latest").isNotNull()).alias("total_users"),
+        F.count_if(known & F.col("logged_in")).alias("total_logged_in_users"),
+        F.count_if(known & F.col("has_goal")).alias("users_who_set_goals"),
+        *(F.count_if(F.col("latest.goal_category") == c).alias(f"goal_{name}") for c, name in categories.items()),
+        *(F.count_if(known & has_label(i)).alias(f"source_{name}") for i, name in enumerate(groups.values())),
+    )
+
+    def share(column: str, total: str) -> Column:
+        return round2(percent(F.nullif(F.col(column), F.lit(0)), F.col(total)))
+
+    goals = (share(f"goal_{name}", "total_users").alias(name) for name in categories.values())
+    sources = (share(f"source_{name}", "users_who_set_goals").alias(name) for name in groups.values())
+    any_source = F.greatest(*(f"source_{name}" for name in groups.values())) > 0
+    return counted.select(
+        F.when(F.col("total_users") > 0, F.struct("total_users", *goals)).alias("goals"),
+        F.when(any_source, F.struct("total_logged_in_users", "users_who_set_goals", *sources)).alias("sources"),
+    )

@@ -31,6 +31,7 @@ from footfall.operators.filters import (
     apply_filters,
     between_booked_days,
     between_event_days,
+    meets,
     of_events,
     on_android,
     where_selected,
@@ -335,3 +336,18 @@ def goal_sources(
     row = wide.first()
     present = [] if row is None else [c for c in SOURCE_COLUMNS.values() if row[c] is not None]
     return wide.select("total_logged_in_users", "users_who_set_goals", *present)
+
+
+def goal_reports(
+    extract: DataFrame,
+    goal_filters: FilterSpec = NO_FILTERS,
+    source_filters: FilterSpec = NO_FILTERS,
+    tiebreak: Sequence[str] = (),
+) -> DataFrame:
+    """Both goal reports from one pass, each with its own filters, as one row of structs ``goals`` and ``sources``.
+
+    The extract is read once and shuffled once by user, and nothing is stored.
+    """
+    names = {name: name for name in GOAL_FILTERS}
+    in_goals, in_sources = (meets(spec.only(*GOAL_FILTERS), "event_date", names) for spec in (goal_filters, source_filters))
+    return g.goals_and_sources(extract, in_goals, in_sources, GOAL_COLUMNS, SOURCE_COLUMNS, tiebreak)

@@ -99,6 +99,21 @@ def test_goal_clicks_reach_the_scan(stored):
     assert "EqualTo(event_name,view_click)" in plan(ff.goal_categories(ff.goal_rows(stored.events)))
 
 
+def test_both_goal_reports_take_one_pass(stored):
+    text = plan(ff.goal_reports(ff.goal_rows(stored.events), ff.FilterSpec(country=["India"]), ff.FilterSpec(**RANGE)))
+    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1
+
+
+def test_both_goal_reports_equal_the_single_ones(stored):
+    rows = ff.goal_rows(stored.events)
+    place = rows.where("country IS NOT NULL").agg(F.min("country")).first()[0]
+    specs = (ff.FilterSpec(), ff.FilterSpec(country=[place]), ff.FilterSpec(**RANGE), ff.FilterSpec(country=["nowhere"]))
+    for goals, sources in zip(specs, specs[1:] + specs[:1], strict=True):
+        both = ff.goal_reports(rows, goals, sources).first()
+        assert both["goals"] == ff.goal_categories(rows, goals).first()
+        assert both["sources"] == ff.goal_sources(rows, sources).first()
+
+
 def test_joined_extracts_are_equi_joins(stored):
     for frame in (
         x.new_user_rows(stored.events),
