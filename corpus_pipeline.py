@@ -29,8 +29,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn so that sources, languages and topics meet their target shares of tokens."""
-    return mixing.sampled(docs)
+    """Documents are drawn so that sources, languages and topics meet their target shares of tokens.
+
+    Texts without a word are all drawn, so of equal ones (copies that ``line_dedup`` emptied) one is let through.
+    """
+    return mixing.sampled(near_duplicates.one_wordless_of_each(docs))
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -281,3 +281,18 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     classes = near_duplicate_classes(docs, similarity)
     others = work.written(classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__other")), "others")
     return docs.join(others, docs["doc_id"].eqNullSafe(others["__other"]), "left_anti")
+
+
+def one_wordless_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with, of equal texts without a word, only the rows of the least id; rows with words pass through.
+
+    NULL counts as the empty text. Only ids and texts of the wordless rows are grouped, each task's
+    rows first, and rows meet the ids that stay by their own id, so no task gets all copies of a text.
+    """
+    text, id_ = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(work.NO_ID))
+    wordless = ~text.rlike(r"[^\x20\x09-\x0D]")
+    rest = docs.where(wordless)
+    heads = rest.groupBy(F.md5(text).alias("__copy")).agg(F.min(id_).alias("__id"))
+    heads = work.written(heads, "wordless")
+    kept = rest.join(heads, (id_ == F.col("__id")) & (F.md5(text) == F.col("__copy")), "left_semi")
+    return docs.where(~wordless).unionByName(kept)

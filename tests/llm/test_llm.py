@@ -466,6 +466,17 @@ def test_pipeline_keeps_one_of_each_and_no_long_repeat(spark):
     assert part == {*classes.values()} and left <= {*texts}
 
 
+def test_pipeline_passes_on_one_emptied_copy(spark):
+    passage = prose(51, 300)
+    texts = [(i, passage) for i in range(40)] + [(50, None), (51, " \n"), (52, " \n"), (53, prose(52, 100)), (None, " \n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], SCHEMA).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = work.written(stage(spark, docs, SF), name)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if not (r["text"] or "").strip()]
+    assert sorted(rows, key=str) == [(1, ""), (None, " \n")]
+    assert near_duplicates.one_wordless_of_each(empty(spark)).count() == 0
+
+
 def test_registered():
     names = [n for n in entry_points.queries() if n.startswith("op")]
     assert [n.split("_")[0] for n in names if n[2].isdigit()] == [f"op{i}" for i in range(1, 11)] and "pipeline" in entry_points.queries()
