@@ -1,4 +1,4 @@
-"""Removal of runs of lines that repeat an earlier passage, found by winnowed fingerprints."""
+"""Removal of runs of lines that repeat an earlier passage, found by the fingerprints of all grams of lines."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from footfall.llm import blocks, work
 
 GRAM_WORDS = 16  # words that a hashed gram of lines holds at least
-WINDOW = 2  # grams in a winnowing window
+LONGEST_LINE = 50  # words; a longer line is broken where its words say so
+BREAK_WINDOW = 4  # any so many consecutive words of a longer line have a break after one of them
 MIN_WORDS = 30  # shorter repeats stay
 SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 TABLE = "doc_id bigint, version bigint, hashes array<bigint>, sizes array<int>, prints array<bigint>, own array<int>"
@@ -38,6 +39,10 @@ def gram_spans(sizes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Lines:
     """The lines of the texts of a block; a line ends at a line break or at the end of a sentence.
 
+    A line of more than ``LONGEST_LINE`` words is broken into pieces, lines themselves: after the word of
+    the least hash, the first of equals, of any ``BREAK_WINDOW`` consecutive ones. So a passage inside two long
+    lines is broken alike in both, but for less than two windows at either end.
+
     ``first`` and ``last`` are the word numbers that bound each line, ``doc`` its text, ``sizes`` its
     words, ``hashes`` a hash of them.
     """
@@ -54,12 +59,30 @@ class Lines:
             | (breaks[self.starts[1:]] > breaks[self.ends[:-1]])
             | SENTENCE_END[data[self.ends[:-1] - 1]]
         )
+        hashes = blocks.Hasher(data)(self.starts, self.ends)
+        new[1:] |= self._breaks(new, hashes)[:-1]
         self.first = np.flatnonzero(new)
         self.last = np.append(self.first[1:], words)[: len(self.first)]
         self.doc = word_doc[self.first]
         self.sizes = self.last - self.first
         self.counts = np.bincount(self.doc, minlength=self.n)
-        self.hashes = blocks.Hasher(blocks.Hasher(data)(self.starts, self.ends))(self.first, self.last)
+        self.hashes = blocks.Hasher(hashes)(self.first, self.last)
+
+    @staticmethod
+    def _breaks(new: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """After which words a long line is broken; ``new`` marks the first word of each line."""
+        line = np.cumsum(new) - 1
+        long = np.bincount(line)[line] > LONGEST_LINE if len(line) else new
+        at = np.flatnonzero(long)
+        at = at[: max(0, len(at) - BREAK_WINDOW + 1)]
+        at = at[at + BREAK_WINDOW <= len(line)]
+        at = at[line[at + BREAK_WINDOW - 1] == line[at]]  # windows that stay inside a long line
+        least = at.copy()
+        for step in range(1, BREAK_WINDOW):
+            least = np.where(hashes[at + step] < hashes[least], at + step, least)
+        after = np.zeros(len(new), bool)
+        after[least] = True
+        return after
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """:func:`gram_spans` and, in third place, the hash of each gram."""
@@ -67,20 +90,14 @@ class Lines:
         return start, end, blocks.Hasher(self.hashes)(start, end), forward
 
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and text of the grams that are the least, the first of equals, of some window of ``WINDOW``
-        consecutive forward grams of one text; a text with fewer grams is one window."""
-        start, _, value, forward = self.grams()
-        owner, value = self.doc[start[:forward]], value[:forward]
-        at = np.arange(forward)
-        best = at.copy()
-        for step in range(1, WINDOW):
-            other = np.minimum(at + step, max(forward - 1, 0))
-            best = np.where((owner[other] == owner) & (value[other] < value[best]), other, best)
-        end = at + WINDOW - 1
-        whole = np.bincount(owner, minlength=self.n)[owner] < WINDOW
-        whole |= (end < forward) & (owner[np.minimum(end, max(forward - 1, 0))] == owner)
-        picked = np.unique(best[whole])
-        return value[picked], owner[picked]
+        """The distinct hashes of all grams, forward and backward, of each text, and its number."""
+        start, _, value, _ = self.grams()
+        owner = self.doc[start]
+        order = np.lexsort((value, owner))
+        value, owner = value[order], owner[order]
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        return value[new], owner[new]
 
 
 def covered(lines: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -148,7 +165,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     ``version`` is a hash of the text. A fingerprint counts against the least document
     id that has it, so a passage of any number of documents costs one comparison each;
-    that comparison then takes in every gram the two texts share, before and after.
+    that comparison then takes in every gram the two texts share, before and after. Every
+    gram is a fingerprint, so one that several earlier texts share in part is covered too.
     """
     texts = work.keyed_texts(docs).withColumn("version", F.xxhash64("text"))
     table = work.written(texts.mapInArrow(_survey, TABLE), "lines")
@@ -204,9 +222,9 @@ def remove_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, removed: s
     """``docs`` with the later repeats of runs of lines cut from ``text``; ``removed`` names a count of the words cut.
 
     A run repeats if all its lines lie in grams (at least 16 words of whole lines) that
-    an earlier text holds: one with a lesser id, or the same text further up. Repeats
-    with ``WINDOW`` consecutive grams are always found; runs of fewer than ``min_words``
-    words stay. White space between words does not count. Every row stays: a text that
+    an earlier text holds: one with a lesser id, or the same text further up. All such
+    grams are found; runs of fewer than ``min_words`` words stay. Lines of more than
+    ``LONGEST_LINE`` words count piece by piece. White space between words does not count. Every row stays: a text that
     is repeated as a whole becomes empty; words of a passage whose line differs stay; NULL stays NULL, a missing id counts as the
     least, texts with one id are not compared with each other, and repeated rows get
     the same result. Columns other than ``doc_id`` and ``text`` pass through.

@@ -305,6 +305,31 @@ def test_fingerprints_hold_the_least_gram_of_each_window():
         assert lines.sizes[a:b].sum() >= repeated_runs.GRAM_WORDS and lines.doc[a] == lines.doc[b - 1]
 
 
+def test_single_lines_and_passages_in_long_lines_are_found(spark):
+    draw = random.Random(61)
+    words = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(12)) for _ in range(n))
+    texts, shared = {}, {}
+    for k in range(60):  # one sentence of 51 words between others, then 51 words inside a line without a stop
+        passage = words(51)
+        for side in (0, 1):
+            i = 2 * k + side
+            near = ". " if k < 40 else " "
+            texts[i] = f"{words(20)}. {words(20)}{near}{passage}{near}{words(20)}. {words(20)}."
+            shared[i] = passage.split(" ")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    cut = {r["doc_id"]: r["text"] for r in repeated_runs.remove_repeated_runs(docs).collect()}
+    for i, text in cut.items():
+        left = set(text.replace(".", "").split(" ")) & {*shared[i]}
+        assert (text == texts[i]) if i % 2 == 0 else len(left) <= (0 if i < 80 else 4 * (repeated_runs.BREAK_WINDOW - 1)), i
+
+
+def test_a_part_shared_with_one_and_the_rest_with_another_is_found(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) + ". " for x, n in (("a", 10), ("b", 20), ("c", 5)))
+    texts = [(1, a + b + "other end here."), (2, a + b + c), (3, "some start. " + a + b + c + "and the tail.")]
+    rows = repeated_runs.remove_repeated_runs(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in rows}[3] == "some start. and the tail."
+
+
 # --- personal data ------------------------------------------------------------
 
 
