@@ -81,27 +81,46 @@ def as_text(print_: tuple[np.ndarray, np.ndarray]) -> str:
     return packed.astype(">u8").tobytes().hex()
 
 
+def chain(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence of two sequences.
+
+    What agrees at either end is counted at once; the rest, less what only one side has, goes row by row
+    through the bits of a whole number.
+    """
+    found, n = 0, min(len(a), len(b))
+    for _ in range(2):
+        differ = np.flatnonzero(a[:n] != b[:n])
+        same = int(differ[0]) if len(differ) else n
+        found, n = found + same, n - same
+        a, b = a[same:][::-1], b[same:][::-1]
+    a, b = a[np.isin(a, b)], b[np.isin(b, a)]
+    if not len(a):
+        return found
+    where: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        where[x] = where.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    row = every
+    for x in b.tolist():
+        hit = row & where[x]
+        row = (row + hit | row - hit) & every
+    return found + len(a) - row.bit_count()
+
+
 def likeness(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
-    """Estimated share of anchors that two texts have in common at one shift of position, 0 to 1.
+    """Estimated share of anchors that two texts have in common in the same order, 0 to 1.
 
-    Of the ``ANCHORS`` least hashes of both, those in both fingerprints count, if they
-    agree with the most frequent shift; two empty texts are alike.
+    Of the ``ANCHORS`` least hashes of both, those in both fingerprints count, if they are on
+    the longest chain that rises in both texts; two empty texts are alike.
     """
     (a, at_a), (b, at_b) = one, other
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    place = np.searchsorted(b, a)
-    place[place == len(b)] = 0
-    same = b[place] == a
+    same = np.isin(a, b)
     union = min(ANCHORS, len(a) + len(b) - int(same.sum()))
-    if not same.any():
-        return 0.0
     limit = np.partition(np.concatenate((a, b[~np.isin(b, a)])), union - 1)[union - 1]
-    same &= a <= limit
-    if not same.any():
-        return 0.0
-    shifts = np.unique(at_a[same] - at_b[place[same]], return_counts=True)[1]
-    return float(shifts.max()) / union
+    a, b = (x[np.argsort(at, kind="stable")] for x, at in (one, other))
+    return chain(a[a <= limit], b[b <= limit]) / union
 
 
 def edited_text(text: str, following: str) -> str:

@@ -382,6 +382,21 @@ def test_compare_with_next(spark, edges):
     assert syncmers.compare_with_next(empty(spark)).count() == 0
 
 
+def test_likeness_follows_edits_that_shift():
+    draw = random.Random(71)
+    for _ in range(200):
+        a, b = ([draw.randrange(6) for _ in range(draw.randrange(30))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(len(b)), lambda new, j: max(new, row[j + 1], row[j] + (x == b[j])), initial=0))  # noqa: B023
+        assert syncmers.chain(np.array(a, np.uint64), np.array(b, np.uint64)) == row[-1]
+    for seed in range(72, 82):
+        words = prose(seed, 300).split(" ")
+        changed = [w + "longer" if i in (60, 150, 240) else w for i, w in enumerate(words)]
+        one, other = syncmers.fingerprints(pa.array([" ".join(words), " ".join(changed)]))
+        assert syncmers.likeness(one, other) >= len(np.intersect1d(one[0], other[0])) / len(np.union1d(one[0], other[0])) - 0.05
+
+
 # --- quality, mixing, sharding ------------------------------------------------
 
 
