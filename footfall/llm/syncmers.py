@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from footfall.llm import blocks, work
 
 K, S = 24, 8  # bytes in a k-mer, and in the substrings that choose it
-ANCHORS = 64  # anchors that a fingerprint keeps
 
 Prints = list[tuple[np.ndarray, np.ndarray]]
 
@@ -46,27 +46,19 @@ def syncmers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fingerprints(texts: pa.Array) -> Prints:
-    """Per text the ``ANCHORS`` least distinct syncmer hashes, ascending, and the byte where each first stands.
+    """Per text the hashes of all its syncmers in order of their place, and the byte where each stands.
 
-    Each hash counts where it is least among all, so equal texts keep equal anchors and
-    an edit changes only the anchors inside it. A text without a syncmer has one
-    anchor, its own hash at 0; an empty text has none.
+    Equal texts have equal anchors and an edit changes only the anchors inside it. A text without
+    a syncmer has one anchor, its own hash at 0; an empty text has none.
     """
     data, offsets = blocks.utf8(texts)
     at, value, doc = syncmers(data, offsets)
-    order = np.lexsort((at, value, doc))
-    at, value, doc = at[order], value[order], doc[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    at, value, doc = at[new], value[new], doc[new]
-    ends = np.searchsorted(doc, np.arange(len(offsets) - 1), side="right")
-    begins = np.searchsorted(doc, np.arange(len(offsets) - 1), side="left")
+    bounds = np.searchsorted(doc, np.arange(len(offsets)))
     whole = blocks.Hasher(data)(offsets[:-1], offsets[1:])
     prints: Prints = []
-    for i, (a, b) in enumerate(zip(begins, ends, strict=True)):
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         if a < b:
-            b = min(b, a + ANCHORS)
-            prints.append((value[a:b] >> np.uint64(24), (at[a:b] - offsets[i]).astype(np.int64)))
+            prints.append((value[a:b] >> np.uint64(24), at[a:b] - offsets[i]))
         elif offsets[i] < offsets[i + 1]:
             prints.append((whole[i : i + 1] >> np.uint64(24), np.zeros(1, np.int64)))
         else:
@@ -75,10 +67,19 @@ def fingerprints(texts: pa.Array) -> Prints:
 
 
 def as_text(print_: tuple[np.ndarray, np.ndarray]) -> str:
-    """Each anchor as 16 hexadecimal digits: 40 bits of its hash, 24 of its position."""
+    """Base64 of 6 bytes an anchor: 40 bits of its hash, and its distance from the one before, the first from 0.
+
+    A distance above 254 is 255 once for each 255 in it, followed by the rest: five zero bytes stand before each 255.
+    """
     value, at = print_
-    packed = (value << np.uint64(24)) | np.minimum(at, 2**24 - 1).astype(np.uint64)
-    return packed.astype(">u8").tobytes().hex()
+    gap = np.diff(at, prepend=0)
+    more = gap // 255
+    row = np.arange(len(at)) + np.cumsum(more)
+    out = np.zeros((len(at) + int(more.sum()), 6), np.uint8)
+    out[:, 5] = 255
+    out[row, :5] = value.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    out[row, 5] = gap % 255
+    return base64.b64encode(out.tobytes()).decode()
 
 
 def chain(a: np.ndarray, b: np.ndarray) -> int:
@@ -108,19 +109,17 @@ def chain(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def likeness(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
-    """Estimated share of anchors that two texts have in common in the same order, 0 to 1.
+    """Share of anchors, repeats included, that two texts have in common in the same order, 0 to 1.
 
-    Of the ``ANCHORS`` least hashes of both, those in both fingerprints count, if they are on
-    the longest chain that rises in both texts; two empty texts are alike.
+    Those on the longest chain that rises in both texts count, of all that either text has; two
+    empty texts are alike.
     """
-    (a, at_a), (b, at_b) = one, other
+    a, b = one[0], other[0]
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    same = np.isin(a, b)
-    union = min(ANCHORS, len(a) + len(b) - int(same.sum()))
-    limit = np.partition(np.concatenate((a, b[~np.isin(b, a)])), union - 1)[union - 1]
-    a, b = (x[np.argsort(at, kind="stable")] for x, at in (one, other))
-    return chain(a[a <= limit], b[b <= limit]) / union
+    values, number = np.unique(np.concatenate((a, b)), return_inverse=True)
+    times = [np.bincount(x, minlength=len(values)) for x in (number[: len(a)], number[len(a) :])]
+    return chain(a, b) / int(np.maximum(*times).sum())
 
 
 def edited_text(text: str, following: str) -> str:

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on small tables and on their edge cases."""
 
+import base64
 import hashlib
 import itertools
 import random
@@ -397,6 +398,23 @@ def test_likeness_follows_edits_that_shift():
         assert syncmers.likeness(one, other) >= len(np.intersect1d(one[0], other[0])) / len(np.union1d(one[0], other[0])) - 0.05
 
 
+def test_fingerprints_cover_long_texts():
+    passage, far = prose(81, 100), prose(82, 30_000)
+    texts = [passage + " " + far, prose(83, 30_000) + " " + passage, far + " \n" + "x" * 2000 + prose(84, 9)]
+    one, other, third = prints = syncmers.fingerprints(pa.array(texts))
+    shared = len(syncmers.fingerprints(pa.array([passage]))[0][0])
+    assert syncmers.likeness(one, other) >= 0.9 * shared / (len(one[0]) + len(other[0])) > 0
+    assert syncmers.likeness(one, third) > 0.9
+    for value, at in prints:
+        rows = np.frombuffer(base64.b64decode(syncmers.as_text((value, at))), np.uint8).reshape(-1, 6)
+        place = np.cumsum(rows[:, 5].astype(np.int64))
+        own = rows[:, 5] < 255
+        coded = (rows[own, :5].astype(np.uint64) << np.array([32, 24, 16, 8, 0], np.uint64)).sum(axis=1, dtype=np.uint64)
+        assert (coded == value).all() and (place[own] == at).all()
+    gaps = base64.b64decode(syncmers.as_text((np.array([7, 8], np.uint64), np.array([600, 855]))))
+    assert gaps == bytes([0] * 5 + [255]) * 2 + bytes([0] * 4 + [7, 90]) + bytes([0] * 5 + [255]) + bytes([0] * 4 + [8, 0])
+
+
 # --- quality, mixing, sharding ------------------------------------------------
 
 
