@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from footfall.llm import blocks, work
 from footfall.llm import recurrent as net
 
-WINDOW, STRIDE = 32, 24  # words
+WINDOW, STRIDE = 32, 1  # words; a window starts at every word that has a whole one before the text's end
 PREFIXES, SUFFIXES = (4, 5, 6), (3, 4, 5)  # bytes at the ends of a word that are inputs
 INPUTS = 8
 SAMPLE = 1500  # labelled texts of each class that train the model, at most
@@ -39,7 +39,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def windows_of(doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, size and text of each window; they overlap, cover every word, and a text without words has an empty one."""
+    """First word, size and text of each window; every run of ``WINDOW`` words is one, a shorter text is one of its own."""
     size = np.bincount(doc, minlength=n)
     count = 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE))
     owner = np.repeat(np.arange(n), count)
