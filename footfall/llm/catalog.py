@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import (
+    classifier,
+    digest_sql,
+    manifest,
     mixing,
     near_duplicates,
     personal_data,
     pieces,
     quality,
     repeated_runs,
+    resampling,
     sharding,
     syncmers,
     token_files,
@@ -84,6 +88,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", sharding.slot_of(F.col("doc_id")).alias("slot"), "shard", "shard_without_first")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir), manifest.tampered()).proofs()
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_sentence_pieces,
@@ -96,6 +112,9 @@ def queries() -> dict[str, Query]:
         op8_quality_rules,
         op9_source_mixing,
         op10_sharding,
+        op11_importance_resampling,
+        op12_quality_classifier,
+        op13_merkle_manifest,
     )
     return {query.__name__: query for query in found}
 
@@ -113,5 +132,9 @@ def _sharding_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL for the operator that SQL can express; the others are held against brute force in the tests."""
-    return {"op10_sharding": _sharding_sql()}
+    """SQL for the operators that SQL can express; the others are held against brute force in the tests."""
+    return {
+        "op10_sharding": _sharding_sql(),
+        "op11_importance_resampling": digest_sql.resampling_sql(),
+        "op13_merkle_manifest": digest_sql.manifest_sql(),
+    }

@@ -537,4 +537,4 @@ def test_pipeline_passes_on_one_emptied_copy(spark):
 
 def test_registered():
     names = [n for n in entry_points.queries() if n.startswith("op")]
-    assert [n.split("_")[0] for n in names if n[2].isdigit()] == [f"op{i}" for i in range(1, 11)] and "pipeline" in entry_points.queries()
+    assert [n.split("_")[0] for n in names if n[2].isdigit()] == [f"op{i}" for i in range(1, 14)] and "pipeline" in entry_points.queries()
