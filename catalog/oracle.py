@@ -644,4 +644,24 @@ def oracle_sql() -> dict[str, str]:
             "SELECT DISTINCT goal_selected FROM latest WHERE goal_category = 'Others'", *goal_tables("city <> 'C1'")
         ),
     }
+    named |= {
+        # one scan for several reports, and their stored state
+        "journey_overview": named["report_overview_range"],
+        "journey_new_user": named["report_new_user_filtered"],
+        "journey_total_user": named["report_total_user_filtered"],
+        "journey_scroll": named["max_scroll"],
+        "state_reports": union_long(
+            *(
+                f"SELECT {q(name)} AS report, dates, name, value FROM (UNPIVOT (SELECT dates, "
+                f"CAST(COLUMNS(* EXCLUDE (dates)) AS DOUBLE) FROM ({named[single]})) "
+                "ON COLUMNS(* EXCLUDE (dates)) INTO NAME name VALUE value)"
+                for name, single in {
+                    "overview": "report_overview_range",
+                    "new_user_onboarding": "report_new_user_filtered",
+                    "total_user_onboarding": "report_total_user_filtered",
+                }.items()
+            )
+        ),
+        "state_scroll": named["report_scroll"],
+    }
     return named

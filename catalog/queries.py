@@ -22,7 +22,9 @@ from footfall.operators import user_days as ud
 from footfall.operators.first_seen import as_user_types, with_first_seen
 from footfall.operators.scroll import bounce_percent, max_scroll, scroll_counts, with_max_scroll
 from footfall.plans import extracts as x
+from footfall.plans import journeys as j
 from footfall.plans import reports as r
+from footfall.sources import shared, state
 from footfall.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -734,6 +736,83 @@ def report_custom_goals_filtered(t: Tables) -> DataFrame:
     return ff.custom_goals(_goal_rows(t), spec, TIEBREAK)
 
 
+# --- one scan for several reports, and their stored state -----------------------
+
+NEW_FILTERED = ff.FilterSpec(
+    start=dt.date(2024, 1, 3),
+    end=dt.date(2024, 1, 28),
+    install_type=[v.FRESH_INSTALL],
+    app_version=["1.0.0", "2.0.0"],
+    country=["IN", "US"],
+)
+JOURNEYS = j.JourneyFilters(
+    overview=ff.FilterSpec(start=dt.date(2024, 1, 10), end=dt.date(2024, 1, 19)),
+    new_users=NEW_FILTERED,
+    all_users=ff.FilterSpec(start=dt.date(2024, 1, 8), region=["R1", "R2"], os_version=["Android 12"]),
+)
+
+
+def _journey(t: Tables, name: str) -> DataFrame:
+    return j.report_of(j.daily_journeys(j.marks(t.events), JOURNEYS), name)
+
+
+@registered
+def journey_overview(t: Tables) -> DataFrame:
+    return _journey(t, "overview")
+
+
+@registered
+def journey_new_user(t: Tables) -> DataFrame:
+    return _journey(t, "new_user_onboarding")
+
+
+@registered
+def journey_total_user(t: Tables) -> DataFrame:
+    return _journey(t, "total_user_onboarding")
+
+
+@registered
+def journey_scroll(t: Tables) -> DataFrame:
+    return j.deepest_scroll(j.user_day_state(t.events), report_day(None))
+
+
+def _kept_state(t: Tables) -> DataFrame:
+    """State of day shards: the first days are stored, then the others come and an early one is written anew."""
+    spark = t.events.sparkSession
+    folder = shared.new_path(spark, "state-query")
+    day, odd = F.col("event_date"), F.pmod(F.hash("event_id"), F.lit(2)) == 1
+
+    def write(rows: DataFrame) -> None:
+        shards = rows.withColumn("shard", day).hint("rebalance", "shard")
+        shards.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/events")
+
+    write(t.events.where((day < "20240120") & ((day != "20240105") | odd)))
+    state.bring_up_to_date(spark, f"{folder}/events/shard=", f"{folder}/state")
+    write(t.events.where((day >= "20240120") | (day == "20240105")))
+    state.bring_up_to_date(spark, f"{folder}/events/shard=", f"{folder}/state")
+    return state.scan_state(spark, f"{folder}/state")
+
+
+def _long(report: DataFrame, name: str) -> DataFrame:
+    columns = [c for c in report.columns if c != "dates"]
+    numbers = report.select("dates", *(F.col(c).cast("double") for c in columns))
+    return numbers.unpivot(["dates"], columns, "name", "value").where("value IS NOT NULL").withColumn("report", F.lit(name))
+
+
+@registered
+def state_reports(t: Tables) -> DataFrame:
+    spark, path = t.events.sparkSession, shared.new_path(t.events.sparkSession, "daily")
+    j.daily_journeys(_kept_state(t), JOURNEYS).write.parquet(path)  # a row a day, from one pass for all three
+    daily = spark.read.parquet(path)
+    found = [_long(j.report_of(daily, name), name) for name in j.REPORTS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@registered
+def state_scroll(t: Tables) -> DataFrame:
+    return j.scroll_depth(_kept_state(t), t.web_user_data, t.new_user)
+
+
 def queries() -> dict[str, Query]:
     """The registered queries over a test-data folder."""
     return {name: _over_folder(build) for name, build in BUILDERS.items()}

@@ -2,6 +2,7 @@
 
 from footfall.operators.filters import FilterSpec
 from footfall.plans.extracts import goal_rows
+from footfall.plans.journeys import JourneyFilters, daily_journeys, marks, report_of, user_day_state
 from footfall.plans.reports import (
     custom_goals,
     explore_journey,
@@ -17,6 +18,7 @@ from footfall.plans.reports import (
 from footfall.session import build_session
 from footfall.sinks.csv import write_csv
 from footfall.sinks.display import format_report, with_titles
+from footfall.sources.state import bring_up_to_date, scan_state
 from footfall.sources.tables import (
     Tables,
     run_sql,
@@ -29,25 +31,32 @@ from footfall.sources.tables import (
 
 __all__ = [
     "FilterSpec",
+    "JourneyFilters",
     "Tables",
+    "bring_up_to_date",
     "build_session",
     "custom_goals",
+    "daily_journeys",
     "explore_journey",
     "format_report",
     "goal_categories",
     "goal_reports",
     "goal_rows",
     "goal_sources",
+    "marks",
     "new_user_onboarding",
     "overview",
+    "report_of",
     "run_sql",
     "scan_event_shards",
     "scan_events",
     "scan_new_user",
+    "scan_state",
     "scan_web",
     "scroll_depth",
     "share_extract",
     "total_user_onboarding",
+    "user_day_state",
     "web_events",
     "with_titles",
     "write_csv",

@@ -103,7 +103,7 @@ def overview(events: DataFrame, filters: FilterSpec = NO_FILTERS) -> DataFrame:
     return newest_first(daily, parse_day(F.col("event_date")), counts)
 
 
-def _funnel(
+def funnel(
     daily: DataFrame, columns: Sequence[str], on_zero: Literal["null", "zero"], missing: Missing
 ) -> DataFrame:
     daily, shown = with_missing(daily, columns, missing)
@@ -149,7 +149,7 @@ def new_user_onboarding(
     conditions = {v.snake(label): has_label(i) & matched for i, label in enumerate(v.ONBOARDING_LABELS)}
     conditions[v.snake(v.NO_CUSTOM_EVENT)] = ~matched
     daily = count_users(reduced, "event_date", "user_pseudo_id", {"total_users": F.lit(True), **conditions})
-    return _funnel(daily, list(conditions), "null", missing)
+    return funnel(daily, list(conditions), "null", missing)
 
 
 def total_user_onboarding(
@@ -170,7 +170,7 @@ def total_user_onboarding(
     reduced = user_days(rows, ["event_date", "user_pseudo_id"], number, len(labels))
     conditions = {v.snake(label): has_label(i) for i, label in enumerate(labels)}
     daily = count_users(reduced, "event_date", "user_pseudo_id", {"total_users": F.lit(True), **conditions})
-    return _funnel(daily, list(conditions), "zero", missing)
+    return funnel(daily, list(conditions), "zero", missing)
 
 
 def explore_columns() -> tuple[list[str], list[str], list[str]]:
@@ -221,34 +221,43 @@ def _web_in_range(web: DataFrame, spec: FilterSpec, booked_on: Column) -> DataFr
     return between_booked_days(web, F.col("Dates"), start, end, booked_on)
 
 
-def scroll_depth(
-    events: DataFrame,
-    web: DataFrame,
-    new_user: DataFrame,
-    filters: FilterSpec = NO_FILTERS,
-    report_date: dt.date | None = None,
+def scrolls_in_range(rows: DataFrame, spec: FilterSpec, booked_on: Column) -> DataFrame:
+    """Rows by ``event_date`` that a scroll report may need; those without a day count as ``booked_on``."""
+    start, end = (None if day is None else F.lit(compact_day(day)) for day in (spec.start, spec.end))
+    return between_booked_days(rows, F.col("event_date"), start, end, F.date_format(booked_on, "yyyyMMdd"))
+
+
+def scroll_depth_of(
+    deepest: DataFrame, web: DataFrame, new_user: DataFrame, spec: FilterSpec, booked_on: Column
 ) -> DataFrame:
-    """Bounce rate and scroll depth of each day's web users."""
-    spec = filters.only("user_type")
-    booked_on = report_day(report_date)
-    visits = extracts.on_web_events(_web_in_range(web, spec, booked_on))
+    """:func:`scroll_depth` with the deepest scroll per (``Dates``, ``User_ID``) given."""
+    visits = extracts.on_web_events(_web_in_range(web, spec.only("user_type"), booked_on))
     if only_new(list(spec.user_type)):  # these have a day, so it is not filled in and the layout stays
         visits = first_seen_that_day(extracts.user_days_of(visits), new_user)
     else:
         if spec.user_type:
             visits = of_user_types(with_first_seen(extracts.user_days_of(visits), new_user), list(spec.user_type))
         visits = extracts.user_days_of(visits.withColumn("Dates", F.coalesce("Dates", booked_on)))
-
-    start, end = (None if day is None else F.lit(compact_day(day)) for day in (spec.start, spec.end))
-    booked_text = F.date_format(booked_on, "yyyyMMdd")
-    scrolled = between_booked_days(events, F.col("event_date"), start, end, booked_text)
-    daily = scroll_counts(with_max_scroll(visits, max_scroll(scrolled, booked_on)))
+    daily = scroll_counts(with_max_scroll(visits, deepest))
     columns = {"total_users": F.col("total_users"), "interacted_users": F.col("interacted_users")}
     columns["bounce_pct"] = bounce_percent()
     columns |= {f"scrolled_{t}_pct": threshold_percent(t) for t in v.SCROLL_THRESHOLDS}
     return newest_first(daily, F.col("Dates"), columns)
 
 
+def scroll_depth(
+    events: DataFrame,
+    web: DataFrame,
+    new_user: DataFrame,
+    filters: FilterSpec = NO_FILTERS,
+    report_date: dt.date | None = None,
+) -> DataFrame:
+    """Bounce rate and scroll depth of each day's web users."""
+    booked_on = report_day(report_date)
+    deepest = max_scroll(scrolls_in_range(events, filters, booked_on), booked_on)
+    return scroll_depth_of(deepest, web, new_user, filters, booked_on)
+
+
 def web_events(
     web: DataFrame,
     new_user: DataFrame,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 from functools import reduce
 
@@ -48,16 +49,21 @@ def scan_event_shards(
     are passed over; with one end or none all are read. The days of the rows
     are held to the range either way.
     """
-    days = "*"
     if start and end:
         chosen = [start + dt.timedelta(days=i) for i in range((end - start).days + 1)]
-        if not chosen:
-            return spark.createDataFrame([], schema.EVENTS)
-        days = f"{{{','.join(compact_day(day) for day in chosen)}}}"
-    events = spark.read.format(fmt).schema(schema.EVENTS).load(f"{prefix}{days}")
+        events = scan_event_days(spark, prefix, [compact_day(day) for day in chosen], fmt)
+    else:
+        events = spark.read.format(fmt).schema(schema.EVENTS).load(f"{prefix}*")
     return between_event_days(events, "event_date", start, end)
 
 
+def scan_event_days(spark: SparkSession, prefix: str, days: Sequence[str], fmt: str = "parquet") -> DataFrame:
+    """The shards ``<prefix>yyyyMMdd`` of the given days in one read; those that do not exist are passed over."""
+    if not days:
+        return spark.createDataFrame([], schema.EVENTS)
+    return spark.read.format(fmt).schema(schema.EVENTS).load(f"{prefix}{{{','.join(days)}}}")
+
+
 def scan_web(spark: SparkSession, *paths: str, fmt: str = "parquet") -> DataFrame:
     """The flat web-activity table."""
     return _scan(spark, paths, schema.WEB, fmt)
