@@ -663,5 +663,6 @@ def oracle_sql() -> dict[str, str]:
             )
         ),
         "state_scroll": named["report_scroll"],
+        "reuse_snapshot": named["reuse_extract"],
     }
     return named

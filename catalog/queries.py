@@ -793,6 +793,22 @@ def _kept_state(t: Tables) -> DataFrame:
     return state.scan_state(spark, f"{folder}/state")
 
 
+@registered
+def reuse_snapshot(t: Tables) -> DataFrame:
+    """The same two reports, the second from what the first one stored."""
+    spark = t.events.sparkSession
+    kept = ff.Snapshots(spark, shared.new_path(spark, "snapshots"))
+    goals, sources = (kept.read(_goal_rows(t), {"events": "events"}) for _ in range(2))
+    wide = ff.goal_categories(goals, tiebreak=TIEBREAK), ff.goal_sources(sources)
+    long = (
+        frame.unpivot([], list(columns.values()), "name", "pct")
+        .where("pct IS NOT NULL")
+        .select(F.lit(report).alias("report"), F.element_at(F.create_map(*(F.lit(x) for item, name in columns.items() for x in (name, item))), F.col("name")).alias("item"), "pct")
+        for frame, report, columns in zip(wide, ("goals", "sources"), (r.GOAL_COLUMNS, r.SOURCE_COLUMNS), strict=True)
+    )
+    return next(long).unionByName(next(long))
+
+
 def _long(report: DataFrame, name: str) -> DataFrame:
     columns = [c for c in report.columns if c != "dates"]
     numbers = report.select("dates", *(F.col(c).cast("double") for c in columns))

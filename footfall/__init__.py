@@ -18,6 +18,7 @@ from footfall.plans.reports import (
 from footfall.session import build_session
 from footfall.sinks.csv import write_csv
 from footfall.sinks.display import format_report, with_titles
+from footfall.sources.snapshots import Snapshots
 from footfall.sources.state import bring_up_to_date, scan_state
 from footfall.sources.tables import (
     Tables,
@@ -32,6 +33,7 @@ from footfall.sources.tables import (
 __all__ = [
     "FilterSpec",
     "JourneyFilters",
+    "Snapshots",
     "Tables",
     "bring_up_to_date",
     "build_session",
