@@ -53,6 +53,7 @@ SOURCE_CASE = (
 DURATION = (
     "coalesce(CAST(split_part(duration, ':', 1) AS BIGINT) * 60 + CAST(split_part(duration, ':', 2) AS BIGINT), 0)"
 )
+PERSON_AND_PLACE = ("os_version", "app_version", "country", "region", "city", "gender", "age", "profession")
 DIMS = "os_version, app_version, country, region, city"
 
 BASE = rf"""
@@ -397,6 +398,31 @@ def options(table: str, columns: Iterable[str], extra: str = "") -> str:
     )
 
 
+def page_options(table: str, day: str, columns: dict[str, str], where: str = "TRUE") -> str:
+    """Bounds and options of one report; ``where`` tests a value as ``{0}``."""
+    bounds = [f"SELECT '{name}' AS dimension, {f}({day}) AS option FROM {table}" for name, f in (("first_day", "min"), ("last_day", "max"))]
+    values = [f"(SELECT DISTINCT {q(d)}, {c} FROM {table} WHERE {c} <> '' AND {where.format(c)})" for d, c in columns.items()]
+    return sql(union_long(*bounds, *values))
+
+
+def long_report(wide: str, columns: Iterable[str], always: Iterable[str]) -> str:
+    """A daily report unpivoted, without the columns that are 0 on all days."""
+    return (
+        f"SELECT dates, list_position({listed(columns)}, \"column\") AS position, \"column\", value FROM (UNPIVOT "
+        f"(SELECT dates, CAST(COLUMNS(* EXCLUDE (dates)) AS DOUBLE) FROM ({wide})) "
+        "ON COLUMNS(* EXCLUDE (dates)) INTO NAME \"column\" VALUE value) "
+        f"QUALIFY \"column\" IN {among(always)} OR max(value) OVER (PARTITION BY \"column\") > 0"
+    )
+
+
+def long_row(wide: str, order: str) -> str:
+    """A one-row report unpivoted, without its NULLs."""
+    return (
+        f"SELECT row_number() OVER (ORDER BY {order}) AS position, \"column\", value FROM (UNPIVOT "
+        f"(SELECT CAST(COLUMNS(*) AS DOUBLE) FROM ({wide})) ON COLUMNS(*) INTO NAME \"column\" VALUE value)"
+    )
+
+
 def union_long(*parts: str) -> str:
     return " UNION ALL ".join(parts)
 
@@ -664,5 +690,55 @@ def oracle_sql() -> dict[str, str]:
         ),
         "state_scroll": named["report_scroll"],
         "reuse_snapshot": named["reuse_extract"],
+        # only what is there, and what can be asked for
+        "report_explore_present": long_report(
+            named["report_explore"],
+            [
+                "total_users",
+                *map(snake, v.EXPLORE_LABELS[:-2]),
+                *map(snake, v.WATCH_LABELS),
+                *map(snake, v.EXPLORE_LABELS[-2:]),
+            ],
+            ["total_users", *map(snake, v.WATCH_LABELS)],
+        ),
+        "report_goals_present": long_row(named["report_goals"], "\"column\" = 'total_users' DESC, value DESC, \"column\""),
+        "report_sources_present": long_row(
+            named["report_sources_filtered"],
+            "list_position(['total_logged_in_users', 'users_who_set_goals', 'group_screen', 'home_screen', "
+            "'reward_screen_flow', 'settings_screen'], \"column\")",
+        ),
+        "checked_goals": sql(
+            union_long(
+                "SELECT 'extract' AS name, count(*) AS n FROM goal_rows",
+                "SELECT 'goals', count(*) FROM goal_rows WHERE app_version IN ('1.0.0', '1.1.0') AND event_date <= '20240120'",
+                "SELECT 'goal_clicks', count(*) FROM clicks",
+                "SELECT 'sources', 0",
+                "SELECT 'known_sources', 0",
+                "SELECT 'users', count(*) FROM latest",
+                "SELECT 'warnings', 1 + CAST(count(*) = 0 AS BIGINT) FROM clicks",
+            ),
+            *goal_tables("app_version IN ('1.0.0', '1.1.0') AND event_date <= '20240120'"),
+        ),
+        "options_overview": page_options("user_types", ISO, {}),
+        "options_new_user": page_options(
+            "new_rows", ISO, {c: c for c in ("install_type", "os_version", "app_version", "country", "region", "city")}
+        ),
+        "options_total_user": page_options(
+            "android", ISO, {c: c for c in ("os_version", "app_version", "country", "region", "city")}
+        ),
+        "options_explore": page_options("explore_rows", ISO, {c: c for c in PERSON_AND_PLACE}),
+        "options_scroll": page_options("scroll_rows", WEB_ISO, {"user_type": "User_Type"}),
+        "options_web": page_options(
+            "web_typed",
+            WEB_ISO,
+            {"device": "Device", "country": "Country", "region": "Region", "city": "City", "user_type": "User_Type"},
+            "lower({0}) NOT IN ('none', 'unknown', 'nan')",
+        ),
+        "options_goals": page_options("goal_rows", ISO, {c: c for c in PERSON_AND_PLACE}),
+        "web_rows_by_user": named["join_first_seen"],
+        "run_sql_bound": sql(
+            "SELECT event_name, count(*) AS n, 'l''été -- \"a\"' AS note FROM flat "
+            "WHERE event_date >= '20240105' AND platform IN ('ANDROID', 'IOS') GROUP BY 1"
+        ),
     }
     return named

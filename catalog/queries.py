@@ -24,13 +24,14 @@ from footfall.operators.scroll import bounce_percent, max_scroll, scroll_counts,
 from footfall.plans import extracts as x
 from footfall.plans import journeys as j
 from footfall.plans import reports as r
-from footfall.sources import shared, state
+from footfall.sources import by_user, shared, state
 from footfall.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 TIEBREAK = ["event_id"]
+BUCKETS = 16
 EARLY, LATE = dt.date(2024, 1, 5), dt.date(2024, 1, 20)
 WEB_LABELS = {label: v.snake(label) for label in v.WEB_EVENTS}
 EXPLORE_NAMES = [v.snake(label) for label in v.EXPLORE_LABELS]
@@ -829,6 +830,88 @@ def state_scroll(t: Tables) -> DataFrame:
     return j.scroll_depth(_kept_state(t), t.web_user_data, t.new_user)
 
 
+# --- only what is there, and what can be asked for --------------------------------
+
+
+@registered
+def report_explore_present(t: Tables) -> DataFrame:
+    return ff.explore_journey_long(t.events)
+
+
+@registered
+def report_goals_present(t: Tables) -> DataFrame:
+    return ff.goal_categories_long(_goal_rows(t), tiebreak=TIEBREAK)
+
+
+@registered
+def report_sources_present(t: Tables) -> DataFrame:
+    return ff.goal_sources_long(_goal_rows(t), ff.FilterSpec(gender=["female"], start=EARLY))
+
+
+@registered
+def checked_goals(t: Tables) -> DataFrame:
+    """The counts that a run of both goal reports hands over, beside the users it found."""
+    both, check = ff.checked_goal_reports(_goal_rows(t), ff.FilterSpec(app_version=["1.0.0", "1.1.0"], end=LATE), ff.FilterSpec(country=["nowhere"]), TIEBREAK)
+    row = both.first()
+    counts = check.counts() | {"users": row["goals"]["total_users"] if row["goals"] else 0, "warnings": len(check.warnings())}
+    return t.events.sparkSession.createDataFrame(list(counts.items()), "name string, n bigint")
+
+
+@registered
+def options_overview(t: Tables) -> DataFrame:
+    return ff.report_options("overview", t)
+
+
+@registered
+def options_new_user(t: Tables) -> DataFrame:
+    return ff.report_options("new_user_onboarding", t)
+
+
+@registered
+def options_total_user(t: Tables) -> DataFrame:
+    return ff.report_options("total_user_onboarding", t)
+
+
+@registered
+def options_explore(t: Tables) -> DataFrame:
+    return ff.report_options("explore_journey", t)
+
+
+@registered
+def options_scroll(t: Tables) -> DataFrame:
+    return ff.report_options("scroll_depth", t)
+
+
+@registered
+def options_web(t: Tables) -> DataFrame:
+    return ff.report_options("web_events", t)
+
+
+@registered
+def options_goals(t: Tables) -> DataFrame:
+    return ff.report_options("goal_categories", t)
+
+
+@registered
+def web_rows_by_user(t: Tables) -> DataFrame:
+    """Visits with user types from tables that are stored by user."""
+    spark, path = t.events.sparkSession, shared.new_path(t.events.sparkSession, "by-user")
+    name = f"by_user_{path[-32:]}"
+    by_user.store_visits(t.web_user_data, f"{name}_visits", BUCKETS, f"{path}/visits")
+    by_user.store_first_seen(t.new_user, f"{name}_seen", BUCKETS, f"{path}/seen")
+    return by_user.stored_web_rows(spark, f"{name}_visits", f"{name}_seen")
+
+
+@registered
+def run_sql_bound(t: Tables) -> DataFrame:
+    text = (
+        "SELECT event_name, count(*) AS n, min(:note) AS note FROM {events} WHERE event_date >= date_format(:since, 'yyyyMMdd') "
+        "AND event_name <> :other AND array_contains(:platforms, platform) GROUP BY event_name"
+    )
+    args = {"since": EARLY, "other": "it's {not} :there", "note": "l'été -- \"a\"", "platforms": F.array(F.lit("ANDROID"), F.lit("IOS"))}
+    return ff.run_sql(t, text, args)
+
+
 def queries() -> dict[str, Query]:
     """The registered queries over a test-data folder."""
     return {name: _over_folder(build) for name, build in BUILDERS.items()}

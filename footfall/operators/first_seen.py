@@ -38,10 +38,19 @@ def with_first_seen(rows: DataFrame, new_user: DataFrame, user: str = "User_ID",
     otherwise multiply. Rows without a user match nothing, so they are spread
     over many keys instead of meeting in one task.
     """
+    joined = with_match_key(rows, user).join(first_days(new_user), "match_key", "left").drop("match_key")
+    return counted_matches(joined, day)
+
+
+def with_match_key(rows: DataFrame, user: str) -> DataFrame:
+    """Adds the key that rows are matched on: of the user, or one of many that match nobody."""
     others = [c for c in rows.columns if c != user]
     spread = F.pmod(F.xxhash64(*others), F.lit(MISSING_USER_SPREAD)).cast("string")
-    match_key = F.coalesce(_user_key(F.col(user)), F.concat(F.lit("n"), spread))
-    joined = rows.withColumn("match_key", match_key).join(first_days(new_user), "match_key", "left").drop("match_key")
+    return rows.withColumn("match_key", F.coalesce(_user_key(F.col(user)), F.concat(F.lit("n"), spread)))
+
+
+def counted_matches(joined: DataFrame, day: str) -> DataFrame:
+    """Rows with the days of :func:`first_days` beside them, as the two counts of :func:`with_first_seen`."""
     same_day = F.get(F.col("first_days.n"), (F.array_position("first_days.Dates", F.col(day)) - 1).cast("int"))
     return (
         joined.withColumn("new_rows", F.coalesce(same_day, F.lit(0).cast("bigint")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from footfall import vocabulary as v
 from footfall.functions.classify import goal_category, source_category
 from footfall.functions.numbers import percent, round2
+from footfall.operators.guard import EmptyCheck
 from footfall.operators.user_days import has_label, label_number, user_days
 
 
@@ -21,6 +22,10 @@ def is_goal_click() -> Column:
     )
 
 
+def is_known_source(groups: Iterable[str]) -> Column:
+    return source_category(F.col("sources")).isin(list(groups))
+
+
 def goal_clicks(rows: DataFrame) -> DataFrame:
     """Clicks that chose a goal on the goal screen."""
     return rows.where(is_goal_click())
@@ -118,22 +123,25 @@ def goals_and_sources(
     categories: Mapping[str, str],
     groups: Mapping[str, str],
     tiebreak: Sequence[str] = (),
+    check: EmptyCheck | None = None,
 ) -> DataFrame:
     """One row of two structs: what ``goals_wide`` and ``source_shares`` give for the rows of each condition.
 
     Rows are reduced once, to one per user with the latest goal of the one set and the
-    source bits of the other. A struct is NULL where its report has no row.
+    source bits of the other. A struct is NULL where its report has no row. A ``check`` counts
+    rows in the same reduction, so rows that neither report wants are read as well.
     """
     category = goal_category(F.col("is_custom_goal"), F.col("goal_selected")).alias("goal_category")
     choice = F.struct("event_date", *tiebreak, "goal_selected", category)
     users = user_days(
-        rows.where(in_goals | in_sources),
+        rows.where(in_goals | in_sources) if check is None else rows,
         ["user_id"],
         F.when(in_sources, label_number(source_category(F.col("sources")), list(groups))),
         len(groups),
         latest=F.max(F.when(in_goals & is_goal_click(), choice)),
         logged_in=F.max(in_sources),
         has_goal=F.max(in_sources & F.col("goal_selected").isNotNull()),
+        **({} if check is None else check.partial()),
     )
     known = F.col("user_id").isNotNull()
     counted = users.agg(
@@ -142,7 +150,10 @@ def goals_and_sources(
         F.count_if(known & F.col("has_goal")).alias("users_who_set_goals"),
         *(F.count_if(F.col("latest.goal_category") == c).alias(f"goal_{name}") for c, name in categories.items()),
         *(F.count_if(known & has_label(i)).alias(f"source_{name}") for i, name in enumerate(groups.values())),
+        *([] if check is None else check.totals()),
     )
+    if check is not None:
+        counted = check.observed(counted)
 
     def share(column: str, total: str) -> Column:
         return round2(percent(F.nullif(F.col(column), F.lit(0)), F.col(total)))

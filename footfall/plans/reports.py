@@ -38,23 +38,27 @@ from footfall.operators.filters import (
     where_selected_or_unknown,
 )
 from footfall.operators.first_seen import first_seen_that_day, of_user_types, only_new, with_first_seen
+from footfall.operators.long_form import daily_long, row_long
 from footfall.operators.scroll import bounce_percent, max_scroll, scroll_counts, threshold_percent, with_max_scroll
+from footfall.operators.guard import EmptyCheck
 from footfall.operators.user_days import (
     count_users,
     has_any_label,
     has_label,
     label_number,
     null_if_absent,
-    present_columns,
     user_days,
 )
 from footfall.plans import extracts
+from footfall.sinks.wide import turned_wide
 
 Missing = Literal["zero", "null", "omit"]
 
 WEB_COLUMNS = {"device": "Device", "country": "Country", "region": "Region", "city": "City"}
 GOAL_COLUMNS = {category: v.snake(category) for category in (*v.GOAL_CATEGORIES, v.OTHERS)}
 SOURCE_COLUMNS = {group: v.snake(group) for group in sorted(v.SOURCE_GROUPS)}
+GOAL_TOTALS = ["total_users"]
+SOURCE_TOTALS = ["total_logged_in_users", "users_who_set_goals"]
 
 
 def newest_first(daily: DataFrame, day: Column, columns: Mapping[str, Column]) -> DataFrame:
@@ -65,18 +69,22 @@ def newest_first(daily: DataFrame, day: Column, columns: Mapping[str, Column]) -
     return shown.orderBy(F.desc("dates"))
 
 
-def with_missing(daily: DataFrame, columns: Sequence[str], missing: Missing) -> tuple[DataFrame, list[str]]:
-    """Applies a policy for label columns nobody appears in, and lists those to show.
+def with_missing(daily: DataFrame, columns: Sequence[str], missing: Missing) -> DataFrame:
+    """Applies a policy for label columns nobody appears in: 'zero' keeps them, 'null' empties them.
 
-    'zero' keeps them, 'null' empties them, 'omit' leaves them out. 'omit' has
-    to look at the data: it keeps the daily table and runs one small job.
+    What 'omit' leaves out is found in the finished report, see :func:`_as_asked`.
     """
-    if missing == "null":
-        return null_if_absent(daily, columns), list(columns)
-    if missing == "omit":
-        daily = daily.persist()
-        return daily, present_columns(daily, columns)
-    return daily, list(columns)
+    return null_if_absent(daily, columns) if missing == "null" else daily
+
+
+def _as_asked(report: DataFrame, always: Sequence[str], missing: Missing) -> DataFrame:
+    """The report; for 'omit' without the columns nobody appears in, which runs it once and stores nothing."""
+    if missing != "omit":
+        return report
+    always = [c for c in report.columns if c in always]
+    columns = [c for c in report.columns if c != "dates"]
+    whole = [f.name for f in report.schema if f.dataType.typeName() == "long"]
+    return turned_wide(daily_long(report, "dates", columns, always), always, whole)
 
 
 def overview_counts(events: DataFrame) -> DataFrame:
@@ -106,10 +114,10 @@ def overview(events: DataFrame, filters: FilterSpec = NO_FILTERS) -> DataFrame:
 def funnel(
     daily: DataFrame, columns: Sequence[str], on_zero: Literal["null", "zero"], missing: Missing
 ) -> DataFrame:
-    daily, shown = with_missing(daily, columns, missing)
     total = F.col("total_users")
-    shares = {"total_users": total} | {c: percent(F.col(c), total, on_zero) for c in shown}
-    return newest_first(daily, parse_day(F.col("event_date")), shares)
+    shares = {"total_users": total} | {c: percent(F.col(c), total, on_zero) for c in columns}
+    report = newest_first(with_missing(daily, columns, missing), parse_day(F.col("event_date")), shares)
+    return _as_asked(report, ["total_users"], missing)
 
 
 def new_user_onboarding(
@@ -209,11 +217,17 @@ def explore_journey(
     daily = explore_counts(where_selected(rows, spec.selected([*VERSIONS, *PLACES, *PERSON])))
 
     first, watch, last = explore_columns()
-    daily, present = with_missing(daily, [*first, *last], missing)
-    shown = [c for c in (*first, *watch, *last) if c in present or c in watch]
     total = F.col("total_users")
-    shares = {"total_users": total} | {c: percent(F.col(c), total, "zero") for c in shown}
-    return newest_first(daily, parse_day(F.col("event_date")), shares)
+    shares = {"total_users": total} | {c: percent(F.col(c), total, "zero") for c in (*first, *watch, *last)}
+    report = newest_first(with_missing(daily, [*first, *last], missing), parse_day(F.col("event_date")), shares)
+    return _as_asked(report, ["total_users", *watch], missing)
+
+
+def explore_journey_long(events: DataFrame, filters: FilterSpec = NO_FILTERS, strict_duration: bool = False) -> DataFrame:
+    """The same as (dates, position, column, value), without actions nobody did; lazy."""
+    wide = explore_journey(events, filters, "zero", strict_duration)
+    _, watch, _ = explore_columns()
+    return daily_long(wide, "dates", wide.columns[1:], ["total_users", *watch])
 
 
 def _web_in_range(web: DataFrame, spec: FilterSpec, booked_on: Column) -> DataFrame:
@@ -289,8 +303,8 @@ def web_events(
         {name: has_label(i) for i, name in enumerate(names.values())},
         count_missing_user=True,
     )
-    daily, shown = with_missing(daily, list(names.values()), missing)
-    return newest_first(daily, F.col("Dates"), {c: F.col(c) for c in shown})
+    daily = with_missing(daily, list(names.values()), missing)
+    return _as_asked(newest_first(daily, F.col("Dates"), {c: F.col(c) for c in names.values()}), [], missing)
 
 
 GOAL_FILTERS = (*VERSIONS, *PLACES, *PERSON)
@@ -313,16 +327,20 @@ def goal_categories(
 ) -> DataFrame:
     """One row: users with a goal and the share of each category of their latest goal.
 
-    With 'omit', absent categories are left out and the rest ordered by share,
-    which takes one small job. ``extract`` comes from ``extracts.goal_rows``.
+    With 'omit', absent categories are left out and the rest ordered by share, which runs the
+    report; :func:`goal_categories_long` stays lazy. ``extract`` comes from ``extracts.goal_rows``.
     """
-    wide = g.goals_wide(latest_goals(extract, filters, tiebreak), GOAL_COLUMNS)
-    if missing == "null":
-        return wide
-    wide = wide.persist()
-    row = wide.first()
-    present = [] if row is None else [c for c in GOAL_COLUMNS.values() if row[c] is not None]
-    return wide.select("total_users", *sorted(present, key=lambda c: (-row[c], c)))
+    if missing == "omit":
+        return turned_wide(goal_categories_long(extract, filters, tiebreak), GOAL_TOTALS)
+    return g.goals_wide(latest_goals(extract, filters, tiebreak), GOAL_COLUMNS)
+
+
+def goal_categories_long(
+    extract: DataFrame, filters: FilterSpec = NO_FILTERS, tiebreak: Sequence[str] = ()
+) -> DataFrame:
+    """The same as (position, column, value): users with a goal, then the categories there are by falling share; lazy."""
+    wide = goal_categories(extract, filters, tiebreak)
+    return row_long(wide, wide.columns, GOAL_TOTALS, by_value=True)
 
 
 def custom_goals(
@@ -336,15 +354,17 @@ def goal_sources(
     extract: DataFrame, filters: FilterSpec = NO_FILTERS, missing: Literal["null", "omit"] = "null"
 ) -> DataFrame:
     """One row: logged-in users, users with a goal, and the share of each entry source."""
+    if missing == "omit":
+        return turned_wide(goal_sources_long(extract, filters), SOURCE_TOTALS)
     spec = filters.only(*GOAL_FILTERS)
     rows = apply_filters(extract, spec, "event_date", {name: name for name in GOAL_FILTERS})
-    wide = g.source_shares(rows, SOURCE_COLUMNS)
-    if missing == "null":
-        return wide
-    wide = wide.persist()
-    row = wide.first()
-    present = [] if row is None else [c for c in SOURCE_COLUMNS.values() if row[c] is not None]
-    return wide.select("total_logged_in_users", "users_who_set_goals", *present)
+    return g.source_shares(rows, SOURCE_COLUMNS)
+
+
+def goal_sources_long(extract: DataFrame, filters: FilterSpec = NO_FILTERS) -> DataFrame:
+    """The same as (position, column, value): both totals, then the entry sources there are; lazy."""
+    wide = goal_sources(extract, filters)
+    return row_long(wide, wide.columns, SOURCE_TOTALS)
 
 
 def goal_reports(
@@ -360,3 +380,24 @@ def goal_reports(
     names = {name: name for name in GOAL_FILTERS}
     in_goals, in_sources = (meets(spec.only(*GOAL_FILTERS), "event_date", names) for spec in (goal_filters, source_filters))
     return g.goals_and_sources(extract, in_goals, in_sources, GOAL_COLUMNS, SOURCE_COLUMNS, tiebreak)
+
+
+def checked_goal_reports(
+    extract: DataFrame,
+    goal_filters: FilterSpec = NO_FILTERS,
+    source_filters: FilterSpec = NO_FILTERS,
+    tiebreak: Sequence[str] = (),
+) -> tuple[DataFrame, EmptyCheck]:
+    """:func:`goal_reports` and what its own run says about rows before and after the filters."""
+    names = {name: name for name in GOAL_FILTERS}
+    in_goals, in_sources = (meets(spec.only(*GOAL_FILTERS), "event_date", names) for spec in (goal_filters, source_filters))
+    check = EmptyCheck(
+        {
+            "extract": F.lit(True),
+            "goals": in_goals,
+            "goal_clicks": in_goals & g.is_goal_click(),
+            "sources": in_sources,
+            "known_sources": in_sources & g.is_known_source(SOURCE_COLUMNS),
+        }
+    )
+    return g.goals_and_sources(extract, in_goals, in_sources, GOAL_COLUMNS, SOURCE_COLUMNS, tiebreak, check), check

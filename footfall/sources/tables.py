@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields
 from functools import reduce
 
@@ -90,14 +90,17 @@ class Tables:
         return self
 
 
-def run_sql(tables: Tables, text: str) -> DataFrame:
-    """A SQL text as a lazy DataFrame; ``{events}`` and the like stand for the tables.
+def run_sql(tables: Tables, text: str, args: Mapping[str, object] | None = None) -> DataFrame:
+    """A SQL text as a lazy DataFrame; ``{events}`` and the like stand for the tables, ``:name`` for a value of ``args``.
 
-    Leaves no views behind. For plain names call ``register`` and use ``spark.sql``.
+    Values are bound as literals after the text is parsed, so nothing in them is read as SQL: a
+    text may hold quotes, braces or colons, a date stays a date, None is NULL. Leaves no views
+    behind. For plain names call ``register`` and use ``spark.sql``.
     """
     session = tables.events.sparkSession
     given = {field.name: getattr(tables, field.name) for field in fields(tables)}
-    return session.sql(text, **{name: table for name, table in given.items() if f"{{{name}}}" in text})
+    used = {name: table for name, table in given.items() if f"{{{name}}}" in text}
+    return session.sql(text, args=dict(args) if args else None, **used)
 
 
 def share_extract(extract: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import datetime as dt
 import glob
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import footfall as ff
@@ -59,6 +60,15 @@ def test_sql_over_tables_and_views(spark, small):
     assert spark.sql("SELECT count(*) AS n FROM web_user_data").first()["n"] == 1
 
 
+def test_values_are_bound_and_never_parsed(spark, small):
+    text = "SELECT count(*) AS n, min(:note) AS note, min(:none) AS none FROM {events} WHERE user_pseudo_id IN (:one, :two) AND to_date(event_date, 'yyyyMMdd') >= :since"
+    args = {"note": "it's {events} :one -- \"x\" \\", "one": "a' OR '1'='1", "two": "b", "since": dt.date(2024, 1, 2), "none": None}
+    assert dicts(ff.run_sql(small, text, args)) == [{"n": 1, "note": args["note"], "none": None}]
+    assert ff.run_sql(small, "SELECT :x AS x", {"x": 3}).first()["x"] == 3
+    with pytest.raises(AnalysisException):
+        ff.run_sql(small, "SELECT :missing AS x FROM {events}", {"other": 1})
+
+
 def test_shared_extract_serves_both_goal_reports(small):
     shared = ff.share_extract(ff.goal_rows(small.events))
     assert shared.storageLevel.useMemory and shared.storageLevel.useDisk
