@@ -2,16 +2,16 @@
 
 The SQL reads the plain ``events`` table and never builds nested arrays, joins
 where the library aggregates, and counts with ``count(DISTINCT ...)`` where the
-library counts user-days, so both sides share lists but no method.
+library counts user-days. Names and lists are those of ``catalog.expected``, so the
+two sides share neither method nor values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from catalog import adapter as a
-from footfall import vocabulary as v
-from footfall.vocabulary import snake
+from catalog import expected as v
+from catalog.expected import snake
 
 
 def q(text: str | None) -> str:
@@ -74,7 +74,7 @@ named AS (
 ),
 screened AS (
   SELECT *, CASE
-    WHEN event_name IN ('screen_load', 'view_click') THEN {listed(a.SCREENS)}[(e * 7 + k) % 13 + 1]
+    WHEN event_name IN ('screen_load', 'view_click') THEN {listed(v.SCREENS)}[(e * 7 + k) % 13 + 1]
     WHEN event_name IN ('play_player', 'pause_player') THEN 'beesi_kya_hai'
   END AS screen_name
   FROM named
@@ -95,12 +95,13 @@ flat AS (
     CASE WHEN event_name = 'first_open' AND (k // 4) % 3 <> 0 THEN (k // 4) % 3 - 1 END
       AS previous_first_open_count,
     CASE WHEN u % 5 <> 0 THEN CAST(u AS VARCHAR) END AS user_id,
+    CASE WHEN u % 7 <> 0 THEN 'p' || u END AS property_user_id,
     CASE WHEN event_name = 'view_click' AND screen_name = 'set_goal_bottomsheet'
-      THEN {listed(a.GOALS)}[k % 16 + 1] END AS goal_selected,
+      THEN {listed(v.GOALS)}[k % 16 + 1] END AS goal_selected,
     CASE WHEN event_name = 'view_click' AND screen_name = 'set_goal_bottomsheet' AND k % 13 <> 0
       THEN CAST(k % 11 = 0 AS BIGINT) END AS is_custom_goal,
     CASE WHEN event_name IN ('screen_load', 'view_click') AND e % 2 = 0
-      THEN {listed(a.SOURCES)}[(e // 2) % 8 + 1] END AS sources,
+      THEN {listed(v.SOURCES)}[(e // 2) % 8 + 1] END AS sources,
     CASE WHEN e % 17 <> 0 THEN epoch_us(ts) // 1000 - (e % 3) * 86400000 END AS first_open_time,
     ['male', 'female', NULL][u % 3 + 1] AS gender,
     ['18-24', '25-34', '35-44', NULL][u % 4 + 1] AS age,
@@ -108,12 +109,12 @@ flat AS (
     ['IN', 'US', '', NULL][u % 4 + 1] AS country,
     CASE WHEN u % 6 <> 5 THEN 'R' || (u % 6) END AS region,
     'C' || (u % 7) AS city,
-    ['1.0.0', '1.1.0', '2.0.0'][u % 3 + 1] AS app_version,
+    ['1.0.0', '1.1.0', '2.0.0'][(u + e // 3) % 3 + 1] AS app_version,
     'Android ' || (10 + u % 5) AS os_version
   FROM screened
 ),
 web AS (
-  SELECT CAST(ts AS DATE) AS Dates, {listed(a.WEB_CYCLE)}[(e + k) % 10 + 1] AS Event_Name,
+  SELECT CAST(ts AS DATE) AS Dates, {listed(v.WEB_CYCLE)}[(e + k) % 10 + 1] AS Event_Name,
     ['mobile', 'desktop', NULL][e % 3 + 1] AS Device,
     ['IN', 'US', '', NULL][u % 4 + 1] AS Country,
     CASE WHEN u % 6 <> 5 THEN 'R' || (u % 6) END AS Region,
@@ -163,10 +164,10 @@ joined AS (
 new_rows AS (SELECT *, {ONBOARDING_CASE} AS label FROM joined),
 total_rows AS (SELECT *, {ONBOARDING_CASE} AS label FROM android),
 explore_rows AS (
-  SELECT event_id, event_date, user_id, coalesce(age, 'NA') AS age, coalesce(profession, 'NA') AS profession,
+  SELECT event_id, event_date, property_user_id AS user_id, coalesce(age, 'NA') AS age, coalesce(profession, 'NA') AS profession,
     coalesce(gender, 'NA') AS gender, {EXPLORE_CASE} AS actions, {DURATION} AS duration_seconds, {DIMS}
   FROM android
-  WHERE user_id IS NOT NULL AND strptime(event_date, '%Y%m%d') = date_trunc('day', epoch_ms(first_open_time))
+  WHERE property_user_id IS NOT NULL AND strptime(event_date, '%Y%m%d') = date_trunc('day', epoch_ms(first_open_time))
     AND {EXPLORE_CASE} IS NOT NULL
 ),
 web_listed AS (SELECT * FROM web WHERE Event_Name IN {among(v.WEB_EVENTS)}),
@@ -368,15 +369,15 @@ def sources(where: str = "TRUE") -> str:
 
 
 PARAM_COLUMNS = {
-    v.SCREEN_NAME: ("screen_name", True),
-    v.VIEW_ID: ("view_id", True),
-    v.DURATION: ("duration", True),
-    v.USER_ID: ("user_id", True),
-    v.GOAL_SELECTED: ("goal_selected", True),
-    v.SOURCE: ("sources", True),
-    v.PERCENT_SCROLLED: ("percent_scrolled", False),
-    v.PREVIOUS_FIRST_OPEN_COUNT: ("previous_first_open_count", False),
-    v.IS_CUSTOM_GOAL: ("is_custom_goal", False),
+    "screen_name": ("screen_name", True),
+    "view_id": ("view_id", True),
+    "duration": ("duration", True),
+    "beesi_user_id": ("user_id", True),
+    "goal_selected": ("goal_selected", True),
+    "source": ("sources", True),
+    "percent_scrolled": ("percent_scrolled", False),
+    "previous_first_open_count": ("previous_first_open_count", False),
+    "is_custom_goal": ("is_custom_goal", False),
 }
 PARAMS_UNION = " UNION ALL ".join(
     f"SELECT event_id, event_name, {q(key)} AS key, "
@@ -386,7 +387,7 @@ PARAMS_UNION = " UNION ALL ".join(
 )
 N_PARAMS = " + ".join(f"CAST({c} IS NOT NULL AS BIGINT)" for c, _ in PARAM_COLUMNS.values())
 N_PROPERTIES = " + ".join(
-    f"CAST({c} IS NOT NULL AS BIGINT)" for c in ("user_id", "gender", "age", "profession", "first_open_time")
+    f"CAST({c} IS NOT NULL AS BIGINT)" for c in ("property_user_id", "gender", "age", "profession", "first_open_time")
 )
 
 
@@ -469,7 +470,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT event_id, screen_name, view_id, duration, user_id, goal_selected, sources FROM flat"
         ),
         "param_int": sql("SELECT event_id, percent_scrolled, previous_first_open_count, is_custom_goal FROM flat"),
-        "user_prop_string": sql("SELECT event_id, user_id, age, profession, gender FROM flat"),
+        "user_prop_string": sql("SELECT event_id, property_user_id AS user_id, age, profession, gender FROM flat"),
         "user_prop_int": sql("SELECT event_id, first_open_time FROM flat"),
         "struct_fields": sql(f"SELECT event_id, {DIMS} FROM flat"),
         "rename_columns": "SELECT dates AS \"Dates\", total_users AS \"Total Users\", interacted_users AS \"Interacted Users\", "
@@ -487,7 +488,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_screen_in": sql("SELECT * FROM steps"),
         "filter_logged_in": sql(
             union_long(
-                "SELECT 'property' AS via, event_id, user_id FROM flat WHERE user_id IS NOT NULL",
+                "SELECT 'property' AS via, event_id, property_user_id AS user_id FROM flat WHERE property_user_id IS NOT NULL",
                 "SELECT 'param' AS via, event_id, user_id FROM flat WHERE user_id IS NOT NULL",
             )
         ),
