@@ -1,4 +1,9 @@
-"""Removal of runs of lines that repeat an earlier passage, found by the fingerprints of all grams of lines."""
+"""Removal of runs of lines that repeat an earlier passage, by winnowing over line hashes.
+
+Texts are cut into short lines by their content. Every window of consecutive grams of lines gives its
+least hash as a fingerprint; fingerprints that two texts share lead to the passages, which are extended both
+ways as far as any earlier text goes on.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +16,14 @@ from pyspark.sql import functions as F
 
 from footfall.llm import blocks, work
 
-GRAM_WORDS = 16  # words that a hashed gram of lines holds at least
-LONGEST_LINE = 50  # words; a longer line is broken where its words say so
-BREAK_WINDOW = 4  # any so many consecutive words of a longer line have a break after one of them
+GRAM_WORDS = 8  # words that a hashed gram of lines holds at least
+WINDOW = 4  # consecutive grams of which one is a fingerprint
+BREAK_WINDOW = 4  # any so many consecutive words of a line break or sentence have a break after one of them
 MIN_WORDS = 30  # shorter repeats stay
+FILTER_BITS = 26  # of a broadcast filter of hashes: 8 MB, whatever their number
 SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
-TABLE = "doc_id bigint, version bigint, hashes array<bigint>, sizes array<int>, prints array<bigint>, own array<int>"
+TABLE = "doc_id bigint, version bigint, hashes array<int>, sizes array<int>, prints array<bigint>, own array<int>"
+TEXT = "doc_id bigint, version bigint, hashes array<int>, sizes array<int>"
 
 
 def gram_spans(sizes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -37,14 +44,15 @@ def gram_spans(sizes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Lines:
-    """The lines of the texts of a block; a line ends at a line break or at the end of a sentence.
+    """The lines of the texts of a block: short runs of words that the content alone cuts off.
 
-    A line of more than ``LONGEST_LINE`` words is broken into pieces, lines themselves: after the word of
-    the least hash, the first of equals, of any ``BREAK_WINDOW`` consecutive ones. So a passage inside two long
-    lines is broken alike in both, but for less than two windows at either end.
+    A line ends at a line break, at the end of a sentence, and after the word of the least hash, the first of equals,
+    of any ``BREAK_WINDOW`` consecutive words between those. So a passage in two texts is cut
+    alike in both, but for up to a window at either end where it is part of a longer sentence, and a
+    line has at most 2 * ``BREAK_WINDOW`` - 1 words.
 
     ``first`` and ``last`` are the word numbers that bound each line, ``doc`` its text, ``sizes`` its
-    words, ``hashes`` a hash of them.
+    words, ``hashes`` a 32-bit hash of them; a gram has two lines or more, so its hash rests on 64 bits.
     """
 
     def __init__(self, texts: pa.Array):
@@ -66,22 +74,16 @@ class Lines:
         self.doc = word_doc[self.first]
         self.sizes = self.last - self.first
         self.counts = np.bincount(self.doc, minlength=self.n)
-        self.hashes = blocks.Hasher(hashes)(self.first, self.last)
+        self.hashes = blocks.Hasher(hashes)(self.first, self.last) >> np.uint64(32)
 
     @staticmethod
     def _breaks(new: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """After which words a long line is broken; ``new`` marks the first word of each line."""
-        line = np.cumsum(new) - 1
-        long = np.bincount(line)[line] > LONGEST_LINE if len(line) else new
-        at = np.flatnonzero(long)
-        at = at[: max(0, len(at) - BREAK_WINDOW + 1)]
-        at = at[at + BREAK_WINDOW <= len(line)]
-        at = at[line[at + BREAK_WINDOW - 1] == line[at]]  # windows that stay inside a long line
-        least = at.copy()
-        for step in range(1, BREAK_WINDOW):
-            least = np.where(hashes[at + step] < hashes[least], at + step, least)
+        """After which words a sentence is broken; ``new`` marks the first word of each sentence."""
+        sentence = np.cumsum(new) - 1
+        at = np.arange(max(0, len(new) - BREAK_WINDOW + 1))
+        at = at[sentence[at + BREAK_WINDOW - 1] == sentence[at]]  # windows that stay inside a sentence
         after = np.zeros(len(new), bool)
-        after[least] = True
+        after[least_of(hashes, at, BREAK_WINDOW)] = True
         return after
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -90,9 +92,19 @@ class Lines:
         return start, end, blocks.Hasher(self.hashes)(start, end), forward
 
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct hashes of all grams, forward and backward, of each text, and its number."""
-        start, _, value, _ = self.grams()
-        owner = self.doc[start]
+        """The distinct fingerprints of each text, and its number: the least forward gram of each window.
+
+        The last windows of a text are shorter, so a text with any gram has a fingerprint.
+        """
+        start, _, value, forward = self.grams()
+        value, owner = value[:forward], self.doc[start[:forward]]
+        least = np.arange(forward)
+        for step in range(1, WINDOW):
+            other = np.minimum(np.arange(forward) + step, forward - 1)
+            better = (owner[other] == owner) & (value[other] < value[least])
+            least = np.where(better, other, least)
+        least = np.unique(least)
+        value, owner = value[least], owner[least]
         order = np.lexsort((value, owner))
         value, owner = value[order], owner[order]
         new = np.ones(len(value), bool)
@@ -100,6 +112,14 @@ class Lines:
         return value[new], owner[new]
 
 
+def least_of(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of ``width`` values from each place stands, the first of equals."""
+    least = at.copy()
+    for step in range(1, width):
+        least = np.where(values[at + step] < values[least], at + step, least)
+    return least
+
+
 def covered(lines: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which lines lie in some of the spans."""
     change = np.zeros(lines + 1, np.int64)
@@ -130,7 +150,7 @@ def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 block.column("doc_id"),
                 block.column("version"),
-                blocks.lists(blocks.signed(lines.hashes), lines.counts, pa.int64()),
+                blocks.lists(lines.hashes.astype(np.uint32).view(np.int32), lines.counts, pa.int32()),
                 blocks.lists(lines.sizes.astype(np.int32), lines.counts, pa.int32()),
                 blocks.lists(blocks.signed(prints), count(print_doc), pa.int64()),
                 blocks.lists((own - first[lines.doc[own]]).astype(np.int32), count(lines.doc[own]), pa.int32()),
@@ -139,49 +159,156 @@ def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _grams_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    start, end, _ = gram_spans(sizes.astype(np.int64), np.zeros(len(sizes), np.int64))
-    return start, end, blocks.Hasher(hashes.view(np.uint64))(start, end)
+def _grams_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The grams of one stored text: first line, end and hash of each, and how many run forward."""
+    start, end, forward = gram_spans(sizes.astype(np.int64), np.zeros(len(sizes), np.int64))
+    return start, end, blocks.Hasher(hashes.view(np.uint32).astype(np.uint64))(start, end), forward
+
+
+def _places(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The lists of each row."""
+    for row in range(batch.num_rows):
+        yield tuple(batch.column(c)[row].values.to_numpy() for c in names)
 
 
 def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per pair of a text and an earlier one: the lines of the text in grams that the earlier one has too."""
+    """Per pair of a text and an earlier one: the lines of the text in grams that the earlier one has too,
+    and the grams that go one line on from those lines, at either end."""
     for batch in batches:
-        found = []
-        for row in range(batch.num_rows):
-            own, own_sizes, source, source_sizes = (
-                batch.column(c)[row].values.to_numpy() for c in ("hashes", "sizes", "source_hashes", "source_sizes")
-            )
-            start, end, value = _grams_of(own, own_sizes)
+        lines, edges = [], []
+        for own, own_sizes, source, source_sizes in _places(batch, "hashes", "sizes", "source_hashes", "source_sizes"):
+            start, end, value, forward = _grams_of(own, own_sizes)
             shared = np.isin(value, _grams_of(source, source_sizes)[2])
-            found.append(np.flatnonzero(covered(len(own), start[shared], end[shared])).astype(np.int32))
-        counts = np.array([len(x) for x in found])
-        lines = blocks.lists(np.concatenate(found) if found else np.zeros(0, np.int32), counts, pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), lines], ["doc_id", "version", "lines"])
+            inside = covered(len(own), start[shared], end[shared])
+            lines.append(np.flatnonzero(inside).astype(np.int32))
+            before = ~inside[start[:forward]] & inside[np.minimum(start[:forward] + 1, len(own) - 1)]
+            after = ~inside[end[forward:] - 1] & inside[np.maximum(end[forward:] - 2, 0)]
+            edges.append(value[np.concatenate((before, after))])
+        counts = lambda found: np.array([len(x) for x in found], np.int64)
+        joined = lambda found, kind: np.concatenate(found) if found else np.zeros(0, kind)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                batch.column("version"),
+                blocks.lists(joined(lines, np.int32), counts(lines), pa.int32()),
+                blocks.lists(blocks.signed(joined(edges, np.uint64)), counts(edges), pa.int64()),
+            ],
+            ["doc_id", "version", "lines", "edges"],
+        )
+
+
+class Some:
+    """A filter of 64-bit values of fixed size: lets all of them through, and few others.
+
+    Its bits are made by an aggregate and are 8 MB for any number of values; with more values it
+    only lets more rows through, which the joins behind it drop.
+    """
+
+    def __init__(self, values: DataFrame, column: str):
+        bit = F.col(column).bitwiseAND(F.lit(2**FILTER_BITS - 1))
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))
+        words = values.select(F.shiftright(bit, 6).alias("word"), one.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+        rows = words.toArrow()
+        bits = np.zeros(2 ** (FILTER_BITS - 6), np.uint64)
+        bits[rows.column("word").to_numpy()] = rows.column("mask").to_numpy().view(np.uint64)
+        self.any = rows.num_rows > 0
+        self.bits = values.sparkSession.sparkContext.broadcast(bits)
+
+
+def passed(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    bit = values.view(np.uint64) & np.uint64(2**FILTER_BITS - 1)
+    return bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1) == 1
+
+
+def _prints_in(table: DataFrame, some: Some) -> DataFrame:
+    """(doc_id, print) of the fingerprints that the filter lets through."""
+    shared = some.bits
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, ids = batch.column("prints"), batch.column("doc_id").to_numpy()
+            values = prints.flatten().to_numpy(zero_copy_only=False)
+            hit = passed(shared.value, values)
+            owner = np.repeat(ids, np.diff(prints.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(owner[hit]), pa.array(values[hit])], ["doc_id", "print"])
+
+    return table.select("doc_id", "prints").mapInArrow(run, "doc_id bigint, print bigint")
+
+
+def _grams_in(table: DataFrame, some: Some) -> DataFrame:
+    """(doc_id, edge) of all grams of all texts that the filter lets through."""
+    shared = some.bits
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for hashes, sizes in _places(batch, "hashes", "sizes"):
+                value = np.unique(blocks.signed(_grams_of(hashes, sizes)[2]))
+                found.append(value[passed(shared.value, value)])
+            owner = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in found])
+            values = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(values)], ["doc_id", "edge"])
+
+    return table.select("doc_id", "hashes", "sizes").mapInArrow(run, "doc_id bigint, edge bigint")
+
+
+def _texts_in(table: DataFrame, some: Some) -> DataFrame:
+    """The stored lines of the texts that the filter lets through."""
+    shared = some.bits
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passed(shared.value, batch.column("doc_id").to_numpy())))
+
+    return table.select("doc_id", "version", "hashes", "sizes").mapInArrow(run, TEXT)
+
+
+def _extended(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, version, lines, edges) per pair; only texts that are part of a pair are shuffled."""
+    texts = _texts_in(table, Some(pairs.select("doc_id").union(pairs.select("source")), "doc_id"))
+    sources = texts.select(F.col("doc_id").alias("source"), F.col("hashes").alias("source_hashes"), F.col("sizes").alias("source_sizes"))
+    both = pairs.join(sources, "source").join(texts, "doc_id")
+    both = both.select("doc_id", "version", "hashes", "sizes", "source_hashes", "source_sizes")
+    return work.written(both.mapInArrow(_extend, "doc_id bigint, version bigint, lines array<int>, edges array<bigint>"), "extended")
+
+
+def _first_pairs(table: DataFrame) -> DataFrame:
+    """(doc_id, source): texts with a fingerprint that an earlier text has, and the least id that has it.
+
+    Fingerprints are counted first; only those of two texts or more are shuffled with their texts.
+    """
+    counted = table.select("doc_id", F.explode("prints").alias("print")).groupBy("print")
+    first = counted.agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
+    first = work.written(first.select("print", "source"), "prints")
+    met = _prints_in(table, Some(first, "print")).join(first, "print").where("doc_id > source")
+    return work.written(met.select("doc_id", "source").distinct(), "pairs")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, version, lines): per text the numbers of its lines in repeated grams; texts without any are absent.
 
     ``version`` is a hash of the text. A fingerprint counts against the least document
-    id that has it, so a passage of any number of documents costs one comparison each;
-    that comparison then takes in every gram the two texts share, before and after. Every
-    gram is a fingerprint, so one that several earlier texts share in part is covered too.
+    id that has it, so a passage of any number of documents costs one comparison each; the
+    comparison extends the match over every gram that the two texts share. Where it ends, another
+    earlier text may go on: the grams that reach one line further are looked up among all grams, and their
+    least texts are compared in turn, until no earlier text goes on anywhere. So a run of ``MIN_WORDS`` words of
+    lines in some earlier text, which holds a whole window of grams, is found as far as it goes,
+    whatever texts its fingerprints led to.
     """
     texts = work.keyed_texts(docs).withColumn("version", F.xxhash64("text"))
     table = work.written(texts.mapInArrow(_survey, TABLE), "lines")
-    prints = table.select("doc_id", "version", F.explode("prints").alias("print"))
-    first = prints.groupBy("print").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
-    first = first.where("source < last").select("print", "source")
-    pairs = prints.join(first, "print").where("doc_id > source").select("doc_id", "version", "source").distinct()
-    sources = table.select(F.col("doc_id").alias("source"), F.col("hashes").alias("source_hashes"), F.col("sizes").alias("source_sizes"))
-    both = pairs.join(sources, "source").join(table.select("doc_id", "version", "hashes", "sizes"), ["doc_id", "version"])
-    across = both.select("doc_id", "version", "hashes", "sizes", "source_hashes", "source_sizes").mapInArrow(
-        _extend, "doc_id bigint, version bigint, lines array<int>"
-    )
-    within = table.where(F.size("own") > 0).select("doc_id", "version", F.col("own").alias("lines"))
-    found = across.union(within).groupBy("doc_id", "version").agg(F.flatten(F.collect_set("lines")).alias("lines"))
-    return found.select("doc_id", "version", F.array_distinct("lines").alias("lines"))
+    pairs = compared = _first_pairs(table)
+    found = table.where(F.size("own") > 0).select("doc_id", "version", F.col("own").alias("lines"))
+    while not pairs.isEmpty():
+        across = _extended(table, pairs)
+        found = found.unionByName(across.select("doc_id", "version", "lines"))
+        edges = work.written(across.select("doc_id", F.explode("edges").alias("edge")).distinct(), "edges")
+        first = _grams_in(table, Some(edges, "edge")).groupBy("edge").agg(F.min("doc_id").alias("source"))
+        more = edges.join(first, "edge").where("doc_id > source").select("doc_id", "source").distinct()
+        pairs = work.written(more.join(compared, ["doc_id", "source"], "left_anti"), "pairs")
+        compared = compared.unionByName(pairs)
+    merged = found.groupBy("doc_id", "version").agg(F.flatten(F.collect_set("lines")).alias("lines"))
+    return merged.select("doc_id", "version", F.array_distinct("lines").alias("lines"))
 
 
 def _cutter(min_words: int):
@@ -221,11 +348,10 @@ def _cutter(min_words: int):
 def remove_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
     """``docs`` with the later repeats of runs of lines cut from ``text``; ``removed`` names a count of the words cut.
 
-    A run repeats if all its lines lie in grams (at least 16 words of whole lines) that
-    an earlier text holds: one with a lesser id, or the same text further up. All such
-    grams are found; runs of fewer than ``min_words`` words stay. Lines of more than
-    ``LONGEST_LINE`` words count piece by piece. White space between words does not count. Every row stays: a text that
-    is repeated as a whole becomes empty; words of a passage whose line differs stay; NULL stays NULL, a missing id counts as the
+    A run repeats if all its lines lie in grams (at least 8 words of whole lines) that
+    an earlier text holds: one with a lesser id, or the same text further up. Runs of fewer than
+    ``min_words`` words stay. White space between words does not count. Every row stays: a text that
+    is repeated as a whole becomes empty; of a passage inside a longer sentence up to 2 * ``BREAK_WINDOW`` - 1 words at its ends may stay; NULL stays NULL, a missing id counts as the
     least, texts with one id are not compared with each other, and repeated rows get
     the same result. Columns other than ``doc_id`` and ``text`` pass through.
     """

@@ -298,10 +298,16 @@ def test_every_repeated_run_of_two_grams_is_found(spark, small):
 def test_fingerprints_hold_the_least_gram_of_each_window():
     lines = repeated_runs.Lines(pa.array([prose(9, 300), "", prose(10, 17), "short"]))
     start, end, value, forward = lines.grams()
-    picked = set(lines.fingerprints()[0].tolist())
-    for a in range(forward - 1):
-        if lines.doc[start[a]] == lines.doc[start[a + 1]]:
-            assert min(value[a], value[a + 1]) in picked
+    prints, owner = lines.fingerprints()
+    picked = set(prints.tolist())
+    for a in range(forward):
+        window = [x for x in range(a, min(forward, a + repeated_runs.WINDOW)) if lines.doc[start[x]] == lines.doc[start[a]]]
+        least = min(value[window])
+        assert least in picked
+        picked_here = {value[x] for x in window} & picked
+        assert least == min(picked_here)
+    wanted = {min(value[x] for x in range(a, min(forward, a + repeated_runs.WINDOW)) if lines.doc[start[x]] == lines.doc[start[a]]) for a in range(forward)}
+    assert picked == wanted and len(picked) < 0.6 * forward  # window minima and nothing else
     for a, b in zip(start, end, strict=True):
         assert lines.sizes[a:b].sum() >= repeated_runs.GRAM_WORDS and lines.doc[a] == lines.doc[b - 1]
 
@@ -331,6 +337,84 @@ def test_a_part_shared_with_one_and_the_rest_with_another_is_found(spark):
     assert {r["doc_id"]: r["text"] for r in rows}[3] == "some start. and the tail."
 
 
+def plain_grams(lines):
+    """(first line, end, words, whether forward) of the shortest runs of enough words from and up to each line."""
+    n, out = repeated_runs.GRAM_WORDS, []
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines) + 1):
+            words = sum(lines[a:b], ())
+            if len(words) >= n:
+                out.append((a, b, words, True))
+                break
+        for b in range(a, -1, -1):
+            words = sum(lines[b : a + 1], ())
+            if len(words) >= n:
+                out.append((b, a + 1, words, False))
+                break
+    return out
+
+
+def test_lines_that_go_are_those_of_earlier_grams(spark, small):
+    """Against the grams of each earlier text: nothing else goes, and every run of enough words is found."""
+    found = {r["doc_id"]: {*r["lines"]} for r in repeated_runs.repeated_lines(catalog.documents(spark, SF)).collect()}
+    before, runs = {}, 0
+    for i in sorted(small):
+        own = repeated_runs.Lines(pa.array([small[i]], pa.string()))
+        words = brute.WORD.findall(small[i] or "")
+        lines = [tuple(words[a:b]) for a, b in zip(own.first, own.last, strict=True)]
+        assert all(len(line) < 2 * repeated_runs.BREAK_WINDOW for line in lines)
+        grams, earlier, here = plain_grams(lines), set(), set()
+        for a, b, text, forward in sorted(grams, key=lambda g: g[:2]):
+            if (text, forward) in here:
+                earlier.update(range(a, b))
+            here.add((text, forward))
+        for other, theirs in before.values():
+            for a, b, text, _ in grams:
+                if text not in theirs:
+                    continue
+                earlier.update(range(a, b))
+                for at in theirs[text]:  # as far as the lines agree, both ways
+                    low, high = 0, 0
+                    while low < min(a, at) and lines[a - low - 1] == other[at - low - 1]:
+                        low += 1
+                    while a + high < len(lines) and at + high < len(other) and lines[a + high] == other[at + high]:
+                        high += 1
+                    if sum(map(len, lines[a - low : a + high])) >= repeated_runs.MIN_WORDS:
+                        assert {*range(a - low, a + high)} <= found[i]
+                        runs += 1
+        assert found.get(i, set()) <= earlier
+        where = {}
+        for a, _, text, _ in grams:
+            where.setdefault(text, set()).add(a)
+        before[i] = lines, where
+    assert runs > 5
+
+
+@pytest.mark.parametrize("length", [38, 51, 80])
+def test_runs_between_changed_words_are_found_whatever_text_has_them(spark, length):
+    """A passage that lies whole in one earlier text, while texts before it share parts of it alone."""
+    draw = random.Random(length)
+    words = lambda n: ["".join(draw.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
+    rows, passages = [], {}
+    for k in range(30):
+        passage = words(length)
+        for j in range(3):  # parts, which the fingerprints may lead to first
+            at = draw.randrange(length - 14)
+            rows.append((10 * k + j, " ".join(words(9) + passage[at : at + 14] + words(9))))
+        rows.append((10 * k + 5, " ".join(words(20) + passage + words(20))))
+        rows.append((10 * k + 6, " ".join(words(25) + passage + words(15))))
+        passages[10 * k + 6] = passage
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cut = {r["doc_id"]: r["text"] for r in repeated_runs.remove_repeated_runs(docs).collect()}
+    whole = dict(rows)
+    for i, text in cut.items():
+        if i not in passages:
+            assert text == whole[i]
+            continue
+        left = {*text.split(" ")} & {*passages[i]}
+        assert len(left) <= 2 * repeated_runs.BREAK_WINDOW - 1 and len(text.split(" ")) >= 40
+
+
 # --- personal data ------------------------------------------------------------
 
 
