@@ -20,9 +20,11 @@ GRAM_WORDS = 8  # words that a hashed gram of lines holds at least
 WINDOW = 4  # consecutive grams of which one is a fingerprint
 BREAK_WINDOW = 4  # any so many consecutive words of a line break or sentence have a break after one of them
 MIN_WORDS = 30  # shorter repeats stay
+STORED_LINES = 1 << 19  # of stored texts that are held at once
 FILTER_BITS = 26  # of a broadcast filter of hashes: 8 MB, whatever their number
 SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 TABLE = "doc_id bigint, version bigint, hashes array<int>, sizes array<int>, prints array<bigint>, own array<int>"
+PAIR = "doc_id bigint, version bigint, lines array<int>, edge_lines array<int>, edges array<bigint>"
 TEXT = "doc_id bigint, version bigint, hashes array<int>, sizes array<int>"
 
 
@@ -159,41 +161,58 @@ def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _grams_of(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The grams of one stored text: first line, end and hash of each, and how many run forward."""
-    start, end, forward = gram_spans(sizes.astype(np.int64), np.zeros(len(sizes), np.int64))
-    return start, end, blocks.Hasher(hashes.view(np.uint32).astype(np.uint64))(start, end), forward
+class Stored:
+    """The lines of many stored texts, one after another, and their grams."""
 
+    def __init__(self, hashes: pa.ListArray, sizes: pa.ListArray):
+        self.counts = np.diff(hashes.offsets.to_numpy())
+        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
+        flat = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
+        words = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.start, self.end, self.forward = gram_spans(words, self.row)
+        self.value = blocks.Hasher(flat)(self.start, self.end)
+        self.owner = self.row[self.start]
 
-def _places(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[np.ndarray, ...]]:
-    """The lists of each row."""
-    for row in range(batch.num_rows):
-        yield tuple(batch.column(c)[row].values.to_numpy() for c in names)
+
+def _slices(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``STORED_LINES`` lines, so that memory stays bounded."""
+    for batch in batches:
+        lines = sum(np.diff(batch.column(c).offsets.to_numpy()) for c in names)
+        block = np.cumsum(lines) // STORED_LINES
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if high > low:
+                yield batch.slice(low, high - low)
 
 
 def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per pair of a text and an earlier one: the lines of the text in grams that the earlier one has too,
-    and the grams that go one line on from those lines, at either end."""
-    for batch in batches:
-        lines, edges = [], []
-        for own, own_sizes, source, source_sizes in _places(batch, "hashes", "sizes", "source_hashes", "source_sizes"):
-            start, end, value, forward = _grams_of(own, own_sizes)
-            shared = np.isin(value, _grams_of(source, source_sizes)[2])
-            inside = covered(len(own), start[shared], end[shared])
-            lines.append(np.flatnonzero(inside).astype(np.int32))
-            before = ~inside[start[:forward]] & inside[np.minimum(start[:forward] + 1, len(own) - 1)]
-            after = ~inside[end[forward:] - 1] & inside[np.maximum(end[forward:] - 2, 0)]
-            edges.append(value[np.concatenate((before, after))])
-        counts = lambda found: np.array([len(x) for x in found], np.int64)
-        joined = lambda found, kind: np.concatenate(found) if found else np.zeros(0, kind)
+    and the grams that go one line on from those lines, at either end, with that line."""
+    for batch in _slices(batches, "hashes", "source_hashes"):
+        own = Stored(batch.column("hashes"), batch.column("sizes"))
+        source = Stored(batch.column("source_hashes"), batch.column("source_sizes"))
+        of_pair = lambda text: text.value + blocks.mix(text.owner.astype(np.uint64))
+        shared = np.isin(of_pair(own), of_pair(source))
+        inside = covered(len(own.row), own.start[shared], own.end[shared])
+        start, end, n = own.start, own.end, own.forward
+        before = np.flatnonzero(~inside[start[:n]] & inside[start[:n] + 1])  # a gram has two lines at least
+        after = np.flatnonzero(~inside[end[n:] - 1] & inside[end[n:] - 2]) + n
+        gram = np.concatenate((before, after))
+        line = np.concatenate((start[before], end[after] - 1))
+        order = np.argsort(own.owner[gram], kind="stable")
+        gram, line = gram[order], line[order]
+        first = np.cumsum(own.counts) - own.counts
+        hit = np.flatnonzero(inside)
+        count = lambda rows: np.bincount(rows, minlength=len(own.counts))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 batch.column("version"),
-                blocks.lists(joined(lines, np.int32), counts(lines), pa.int32()),
-                blocks.lists(blocks.signed(joined(edges, np.uint64)), counts(edges), pa.int64()),
+                blocks.lists((hit - first[own.row[hit]]).astype(np.int32), count(own.row[hit]), pa.int32()),
+                blocks.lists((line - first[own.row[line]]).astype(np.int32), count(own.owner[gram]), pa.int32()),
+                blocks.lists(blocks.signed(own.value[gram]), count(own.owner[gram]), pa.int64()),
             ],
-            ["doc_id", "version", "lines", "edges"],
+            ["doc_id", "version", "lines", "edge_lines", "edges"],
         )
 
 
@@ -240,14 +259,12 @@ def _grams_in(table: DataFrame, some: Some) -> DataFrame:
     shared = some.bits
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for hashes, sizes in _places(batch, "hashes", "sizes"):
-                value = np.unique(blocks.signed(_grams_of(hashes, sizes)[2]))
-                found.append(value[passed(shared.value, value)])
-            owner = np.repeat(batch.column("doc_id").to_numpy(), [len(x) for x in found])
-            values = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(values)], ["doc_id", "edge"])
+        for batch in _slices(batches, "hashes"):
+            text = Stored(batch.column("hashes"), batch.column("sizes"))
+            value = blocks.signed(text.value)
+            hit = passed(shared.value, value)
+            ids = batch.column("doc_id").to_numpy()[text.owner[hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(value[hit])], ["doc_id", "edge"])
 
     return table.select("doc_id", "hashes", "sizes").mapInArrow(run, "doc_id bigint, edge bigint")
 
@@ -264,12 +281,12 @@ def _texts_in(table: DataFrame, some: Some) -> DataFrame:
 
 
 def _extended(table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, version, lines, edges) per pair; only texts that are part of a pair are shuffled."""
+    """(doc_id, version, lines, edge_lines, edges) per pair; only texts that are part of a pair are shuffled."""
     texts = _texts_in(table, Some(pairs.select("doc_id").union(pairs.select("source")), "doc_id"))
     sources = texts.select(F.col("doc_id").alias("source"), F.col("hashes").alias("source_hashes"), F.col("sizes").alias("source_sizes"))
     both = pairs.join(sources, "source").join(texts, "doc_id")
     both = both.select("doc_id", "version", "hashes", "sizes", "source_hashes", "source_sizes")
-    return work.written(both.mapInArrow(_extend, "doc_id bigint, version bigint, lines array<int>, edges array<bigint>"), "extended")
+    return work.written(both.mapInArrow(_extend, PAIR), "extended")
 
 
 def _first_pairs(table: DataFrame) -> DataFrame:
@@ -290,8 +307,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     ``version`` is a hash of the text. A fingerprint counts against the least document
     id that has it, so a passage of any number of documents costs one comparison each; the
     comparison extends the match over every gram that the two texts share. Where it ends, another
-    earlier text may go on: the grams that reach one line further are looked up among all grams, and their
-    least texts are compared in turn, until no earlier text goes on anywhere. So a run of ``MIN_WORDS`` words of
+    earlier text may go on: the grams that reach one line further, to a line that no text compared so far covers, are looked up among
+    all grams, and their least texts are compared in turn, until no earlier text goes on anywhere. So a run of ``MIN_WORDS`` words of
     lines in some earlier text, which holds a whole window of grams, is found as far as it goes,
     whatever texts its fingerprints led to.
     """
@@ -301,14 +318,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     found = table.where(F.size("own") > 0).select("doc_id", "version", F.col("own").alias("lines"))
     while not pairs.isEmpty():
         across = _extended(table, pairs)
-        found = found.unionByName(across.select("doc_id", "version", "lines"))
-        edges = work.written(across.select("doc_id", F.explode("edges").alias("edge")).distinct(), "edges")
+        merged = found.unionByName(across.select("doc_id", "version", "lines")).groupBy("doc_id", "version")
+        merged = merged.agg(F.flatten(F.collect_set("lines")).alias("lines"))
+        found = work.written(merged.select("doc_id", "version", F.array_distinct("lines").alias("lines")), "found")
+        ends = across.select("doc_id", "version", F.inline(F.arrays_zip("edge_lines", "edges"))).distinct()
+        ends = ends.groupBy("doc_id", "version").agg(F.collect_list(F.struct("edge_lines", "edges")).alias("ends"))
+        still = F.filter("ends", lambda end: ~F.array_contains("lines", end.edge_lines))  # not covered by another text
+        still = ends.join(found, ["doc_id", "version"]).select("doc_id", F.explode(still).alias("end"))
+        edges = work.written(still.select("doc_id", F.col("end.edges").alias("edge")).distinct(), "edges")
         first = _grams_in(table, Some(edges, "edge")).groupBy("edge").agg(F.min("doc_id").alias("source"))
         more = edges.join(first, "edge").where("doc_id > source").select("doc_id", "source").distinct()
         pairs = work.written(more.join(compared, ["doc_id", "source"], "left_anti"), "pairs")
         compared = compared.unionByName(pairs)
-    merged = found.groupBy("doc_id", "version").agg(F.flatten(F.collect_set("lines")).alias("lines"))
-    return merged.select("doc_id", "version", F.array_distinct("lines").alias("lines"))
+    return found
 
 
 def _cutter(min_words: int):
