@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Stands for a document without an id inside the operators; results show NULL again.
-NO_ID = -(2**63)
-
+from footfall.sources.shared import new_path, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where it is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["NO_ID", "id_or_none", "keyed_texts", "new_path", "shared_folder", "written"]
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+#: Stands for a document without an id inside the operators; results show NULL again.
+NO_ID = -(2**63)
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
