@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,8 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         ids = self.whole.encode_batch(list(MARKS), add_special_tokens=False)
         self.marks = {mark: np.array(own.ids, "<u4").tobytes() for mark, own in zip(MARKS, ids, strict=True)}
+        self.mark_of = np.zeros(256, np.int64)
+        self.mark_of[[ord(mark) for mark in MARKS]] = np.arange(1, len(MARKS) + 1)
 
     @staticmethod
     def plain(chunk: str) -> str | None:
@@ -67,8 +70,18 @@ class Encoder:
                 return low
         return None
 
-    def learn(self, chunks: list[str]) -> None:
-        """Adds chunks; a word with a mark after it is that word and the mark, which the tokenizer parts."""
+    def _words(self, words: list[str]) -> None:
+        """Adds words of letters in lower case, many in one call; a piece that ends a word ends its ids."""
+        joined = [" ".join(words[at : at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+        for at, found in enumerate(self.words.encode_batch_fast(joined)):
+            ids = np.array(found.ids, np.int64)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            coded = ids.astype("<u4").tobytes()
+            some = words[at * TOGETHER : (at + 1) * TOGETHER]
+            self.known.update((word, coded[a:b]) for word, a, b in zip(some, [0, *ends], ends, strict=False))
+
+    def _others(self, chunks: list[str]) -> None:
+        """Adds any chunks; a word with a mark after it is that word and the mark, which the tokenizer parts."""
         rest, plain, words = [], [], {}
         for chunk in chunks:
             mark = chunk[-1:] if chunk[-1:] in self.marks else ""
@@ -78,30 +91,63 @@ class Encoder:
             else:
                 plain.append((chunk, low, mark))
                 if low not in self.known:
-                    words[low] = b""
+                    words[low] = None
         for chunk, coded in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[chunk] = np.array(coded.ids, "<u4").tobytes()
-        new = list(words)
-        for at in range(0, len(new), TOGETHER):
-            some = new[at : at + TOGETHER]
-            ids = np.array(self.words.encode(" ".join(some)).ids, np.int64)
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            coded = ids.astype("<u4").tobytes()
-            for low, a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
-                words[low] = coded[a:b]
+        self._words(list(words))
         for chunk, low, mark in plain:
-            self.known[chunk] = (words.get(low) or self.known[low]) + self.marks.get(mark, b"")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids and the end id as little-endian unsigned 32-bit integers."""
-        chunked = [text.replace("\n", " ").split(" ") for text in texts]
-        new = {chunk for chunks in chunked for chunk in chunks}.difference(self.known)
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-            new = {chunk for chunks in chunked for chunk in chunks}
-        self.learn(sorted(new))
-        end = np.array([END_ID], "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, chunks)) + end for chunks in chunked]
+            self.known[chunk] = self.known[low] + self.marks.get(mark, b"")
+
+    def _coded(self, words: list[str], others: list[str]) -> list[bytes]:
+        """The ids of words and of other chunks, learnt where they are new."""
+        known = self.known
+        new, rest = [w for w in words if w not in known], [c for c in others if c not in known]
+        if len(known) + len(new) + len(rest) > CACHE_ENTRIES:
+            known.clear()
+            new, rest = words, others
+        self._words(new)
+        self._others(rest)
+        return [known[c] for c in words] + [known[c] for c in others]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, one after another, and their number for each text.
+
+        The different chunks of a block are found once. Those of ASCII letters, with or
+        without a mark after them, are split and put in lower case as bytes; ids are then
+        gathered for all places together.
+        """
+        spaced = pc.replace_substring(pc.fill_null(texts, "").cast(pa.large_string()), "\n", " ")
+        chunked = pc.split_pattern(spaced, " ")
+        ends = chunked.offsets.to_numpy() - chunked.offsets[0].as_py()
+        places = chunked.flatten().dictionary_encode()
+        data, offsets = blocks.utf8(places.dictionary)
+        size = np.diff(offsets)
+        low = data | np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
+        mark = np.zeros(len(size), np.int64)
+        some = np.flatnonzero(size)
+        mark[some] = self.mark_of[data[offsets[1:][some] - 1]]
+        letters = np.concatenate(([0], np.cumsum((low >= 97) & (low <= 122))))
+        stem = size - (mark > 0)
+        plain = (stem > 0) & (letters[offsets[1:]] - letters[offsets[:-1]] == stem)
+        inside = np.repeat(plain, size)
+        inside[offsets[1:][plain & (mark > 0)] - 1] = False
+        begins = np.concatenate(([0], np.cumsum(stem[plain])))
+        words = pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(low[inside].tobytes()))
+        words = words.dictionary_encode()
+        names = words.dictionary.to_pylist()
+        others = places.dictionary.filter(pa.array(~plain)).to_pylist()
+        coded = [b"", *self.marks.values(), np.array([END_ID], "<u4").tobytes(), *self._coded(names, others)]
+        last, first = len(self.marks) + 1, len(self.marks) + 2
+        entry = np.empty(len(size), np.int64)
+        entry[plain] = first + words.indices.to_numpy()
+        entry[~plain] = first + len(names) + np.arange(len(others))
+        mark[~plain] = 0
+        chosen = places.indices.to_numpy()
+        items = np.insert(np.stack((entry[chosen], mark[chosen]), axis=1).reshape(-1), 2 * ends[1:], last)
+        length = np.array([len(c) // 4 for c in coded])
+        values = blocks.gathered(np.frombuffer(b"".join(coded), "<u4").astype(np.int32), length, items)
+        until = np.concatenate(([0], np.cumsum(length[items])))[2 * ends[1:] + np.arange(1, len(ends))]
+        return values, np.diff(until, prepend=0)
 
 
 @functools.cache
@@ -114,9 +160,8 @@ def _encoder(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
         for block in blocks.text_blocks(batches):
-            coded = encoder(path).encode(block.column("text").to_pylist())
-            values = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
-            ids = blocks.lists(values, np.array([len(c) // 4 for c in coded]), pa.int32())
+            values, counts = encoder(path).encode(block.column("text"))
+            ids = blocks.lists(values, counts, pa.int32())
             rows = pa.array(np.arange(row, row + block.num_rows))
             row += block.num_rows
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), rows, ids], ["doc_id", "row", "ids"])
