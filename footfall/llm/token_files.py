@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -145,14 +146,16 @@ class Encoder:
         chosen = places.indices.to_numpy()
         items = np.insert(np.stack((entry[chosen], mark[chosen]), axis=1).reshape(-1), 2 * ends[1:], last)
         length = np.array([len(c) // 4 for c in coded])
-        values = blocks.gathered(np.frombuffer(b"".join(coded), "<u4").astype(np.int32), length, items)
+        begin = np.cumsum(length) - length
+        values = blocks.gathered(np.frombuffer(b"".join(coded), "<u4").astype(np.int32), begin[items], length[items])
         until = np.concatenate(([0], np.cumsum(length[items])))[2 * ends[1:] + np.arange(1, len(ends))]
         return values, np.diff(until, prepend=0)
 
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One per worker process, so that the next task finds its chunks."""
+    """One per worker process, so that the next task finds its chunks; a task has one core, so it starts no threads."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(path)
 
 
