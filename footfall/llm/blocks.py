@@ -112,8 +112,6 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def gathered(values: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """The runs of ``values``, which have these ``sizes`` one after another, for each of ``items`` in turn."""
-    count = sizes[items]
-    begin = (np.cumsum(sizes) - sizes)[items]
-    return values[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+def gathered(values: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` of these begins and sizes, one after another."""
+    return values[np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -117,10 +118,22 @@ def test_best_segmentations_are_those_of_all_paths(text):
 
 def test_batched_search_equals_the_plain_one(small):
     model = pieces.load(MODEL)
-    chunks = sorted({c for t in small.values() for c in model.chunk.findall(t) if len(c) <= lattice.LONGEST_CHUNK and model.letters.issuperset(c)})
-    chunks = chunks[::40]
-    for chunk, paths in zip(chunks, lattice.best_paths(model.table, chunks, model.longest, 3), strict=True):
-        assert paths == [(s, np.array(i, "<u4").tobytes()) for s, i in model.best_paths(chunk, 3)]
+    found = {c for t in small.values() for c in re.findall(r" *[^ \n\t\r\v\f]+|[\n\t\r\v\f]| +", t)}
+    chunks = sorted(c for c in found if len(c) <= lattice.LONGEST_CHUNK and model.letters.issuperset(c))[::40]
+    count, score, size, ids = (x.tolist() for x in lattice.best_paths(model.table, chunks, model.longest, 3))
+    for chunk, paths in zip(chunks, count, strict=True):
+        for wanted in model.best_paths(chunk, 3)[:paths] + [None] * (len(model.best_paths(chunk, 3)) - paths):
+            n = size.pop(0)
+            assert (score.pop(0), ids[:n]) == wanted
+            del ids[:n]
+
+
+def test_many_segmentations_of_a_text_of_many_chunks():
+    text = "aa bb aa\tab ba"
+    own = pieces.Segmenter(pieces.load(MODEL), 50)
+    found, wanted = own.segment(text), all_paths(own.pieces, text)
+    assert [score for score, _ in found] == [score for score, _ in wanted[:50]] and len({c for _, c in found}) == len(found)
+    assert all((score, np.frombuffer(coded, "<u4").tolist()) in wanted for score, coded in found)
 
 
 def test_pieces_over_edge_cases(spark, edges):
