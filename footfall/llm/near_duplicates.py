@@ -148,12 +148,17 @@ def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float, registers:
     return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, chosen: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose multisets of shingles overlap by at least ``similarity``."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().join(chosen, "doc_id")
+def _bags_of(wanted: DataFrame, texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, bag) of the documents whose ids are wanted."""
+    wanted = wanted.select("doc_id").distinct().join(chosen, "doc_id")
     needed = texts.withColumn("copy", F.md5("text")).join(wanted, ["doc_id", "copy"], "left_semi")
     needed = needed.dropDuplicates(["doc_id", "copy"]).select("doc_id", "text")
-    bags = work.written(needed.mapInArrow(_bags, "doc_id bigint, bag array<bigint>"), "bags")
+    return work.written(needed.mapInArrow(_bags, "doc_id bigint, bag array<bigint>"), "bags")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, chosen: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose multisets of shingles overlap by at least ``similarity``."""
+    bags = _bags_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), texts, chosen)
     both = pairs.join(bags.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")), "a").join(
         bags.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b")), "b"
     )
@@ -173,8 +178,8 @@ def near_duplicate_classes(
     bucket are still in different components, the signatures of every such pair are
     compared, block by block, inside tasks. So each pair that shares a band is compared
     or already in one class, and a bucket of copies costs one comparison a member.
-    Pairs whose whole signatures agree enough, and no others, become rows and are
-    verified on their shingles. Texts without a word are classes of
+    Pairs whose whole signatures agree enough are verified on their shingles; of those of
+    a block only the ones that join what no other has joined become rows. Texts without a word are classes of
     their own. Rows with the same id count once, by their greatest text; a missing id
     is an id of its own; other columns are ignored.
     """
@@ -186,7 +191,7 @@ def near_duplicate_classes(
     signed = work.written(signed, "signatures")
     ids = signed.groupBy("doc_id").agg(F.max("copy").alias("copy"))
     ids = signed.join(ids, ["doc_id", "copy"], "left_semi").select("doc_id", "copy", "n_shingles").distinct()
-    heads = ids.where("n_shingles > 0").groupBy("copy").agg(F.min("doc_id").alias("head"))
+    heads = ids.where("n_shingles > 0").groupBy("copy").agg(F.min("doc_id").alias("head"), F.count("*").alias("n_rows"))
     heads = work.written(heads, "heads")
     chosen = heads.select(F.col("head").alias("doc_id"), "copy")
     kept = signed.join(chosen, ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id"])
@@ -200,40 +205,61 @@ def near_duplicate_classes(
     likely = work.written(_likely(stars, kept, similarity, registers), "likely")
     links = work.written(_verified(likely, texts, chosen, similarity), "verified")
     labels = components(links)
-    rest = _across(shared, labels, kept, similarity, rows, bands).join(stars, ["a", "b"], "left_anti")
-    more = _verified(work.written(rest, "rest"), texts, chosen, similarity)
-    labels = components(links.union(more))
+    near = work.written(_near(shared, labels, kept, similarity, rows, bands), "near")
+    more = _linked(near, kept, _bags_of(near, texts, chosen), similarity, rows, bands)
+    labels = components(links.union(work.written(more, "more")))
     heads = heads.join(labels, F.col("head") == F.col("node"), "left")
-    heads = heads.select("copy", F.coalesce("component", "head").alias("class"))
-    classes = ids.join(heads, "copy", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class"))
-    sizes = classes.groupBy("class").agg(F.count("*").alias("class_size"))
-    return classes.join(sizes, "class").select(
+    heads = work.written(heads.select("copy", F.coalesce("component", "head").alias("class"), "n_rows"), "heads")
+    ids = work.written(ids.select("doc_id", "copy"), "ids")
+    classes = _looked_up(ids, heads, "copy", "n_rows").select("doc_id", F.coalesce("class", "doc_id").alias("class"))
+    classes = work.written(classes, "classes")
+    sizes = work.written(classes.groupBy("class").agg(F.count("*").alias("class_size")), "sizes")
+    return _looked_up(classes, sizes, "class", "class_size").select(
         work.id_or_none().alias("doc_id"), work.id_or_none("class").alias("class_id"), "class_size"
     )
 
 
-def _compare(similarity: float, rows: int, bands: int):
-    """Pairs within sorted groups (key, low, high): of two parts of a bucket, or of one part with itself.
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` left joined with ``table``, which has a row a key and in ``size`` the rows of that key.
+
+    Keys with more rows than a partition's share are fewer than the partitions: those
+    are broadcast, so no task gets all rows of a key. Both tables are stored ones.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.lit(rows.count() // parts)
+    large = F.broadcast(table.where(F.col(size) > share).withColumn("__large", F.lit(True)))
+    marked = rows.join(large, key, "left")
+    rest = marked.where("__large is null").select(*rows.columns).join(table.where(F.col(size) <= share), key, "left")
+    return marked.where("__large").drop("__large").unionByName(rest)
+
+
+class _Group:
+    """Two parts of a bucket, or one part with itself: its members in turn and their likely partners.
 
     A pair is compared in the first band that it shares and in no other bucket.
     """
-    registers, least = rows * bands, _least(similarity, rows * bands)
-
-    def pairs(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        low, high, band = (group.column(c)[0].as_py() for c in ("low", "high", "band"))
-        ids, size, kind, part = (group.column(c).to_numpy() for c in ("doc_id", "n_shingles", "class", "part"))
-        sketch = _bytes(group.column("sketch"), registers)
-        for i in range(len(ids)):
-            others = np.arange(i + 1, len(ids)) if low == high else np.flatnonzero((part == high) & (part[i] == low))
-            fits = np.minimum(size[i], size[others]) >= similarity * np.maximum(size[i], size[others])
-            others = others[fits & (kind[others] != kind[i])]
-            same = sketch[others] == sketch[i]
-            likely = same.sum(axis=1) >= least
-            first = same[likely].reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == band
-            found = ids[others[likely][first]]
-            if len(found):
-                ends = [pa.array(np.minimum(found, ids[i])), pa.array(np.maximum(found, ids[i]))]
-                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    def __init__(self, group: pa.Table, similarity: float, rows: int, bands: int):
+        self.low, self.high, self.band = (group.column(c)[0].as_py() for c in ("low", "high", "band"))
+        self.ids, self.size, self.part = (group.column(c).to_numpy() for c in ("doc_id", "n_shingles", "part"))
+        _, self.kind = np.unique(group.column("class").to_numpy(), return_inverse=True)
+        self.shape, self.similarity = (bands, rows), similarity
+        self.sketch = _bytes(group.column("sketch"), rows * bands)
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members of another class, in ``kind`` as it is now, that may be linked to the i-th one."""
+        n = len(self.ids)
+        others = np.arange(i + 1, n) if self.low == self.high else np.flatnonzero((self.part == self.high) & (self.part[i] == self.low))
+        least, most = np.minimum(self.size[i], self.size[others]), np.maximum(self.size[i], self.size[others])
+        others = others[(least >= self.similarity * most) & (self.kind[others] != self.kind[i])]
+        same = self.sketch[others] == self.sketch[i]
+        likely = same.sum(axis=1) >= _least(self.similarity, same.shape[1])
+        first = same[likely].reshape(-1, *self.shape).all(axis=2).argmax(axis=1) == self.band
+        return others[likely][first]
+
+
+def _grouped(inside, similarity: float, rows: int, bands: int):
+    """A function of Arrow batches, sorted by (key, low, high), that applies ``inside`` to each whole group."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -245,20 +271,53 @@ def _compare(similarity: float, rows: int, bands: int):
                 new |= np.diff(table.column(c).to_numpy()) != 0
             starts = np.concatenate(([0], np.flatnonzero(new) + 1))
             for start, end in zip(starts[:-1], starts[1:], strict=True):
-                yield from pairs(table.slice(start, end - start))
+                part = table.slice(start, end - start)
+                yield from inside(part, _Group(part, similarity, rows, bands))
             rest = table.slice(starts[-1])
         if rest is not None and rest.num_rows:
-            yield from pairs(rest)
+            yield from inside(rest, _Group(rest, similarity, rows, bands))
 
     return run
 
 
-def _across(shared: DataFrame, labels: DataFrame, kept: DataFrame, similarity: float, rows: int, bands: int) -> DataFrame:
-    """Pairs that share a bucket, are of different components, and whose sizes and signatures allow a link.
+def _members(group: pa.Table, own: _Group) -> Iterator[pa.RecordBatch]:
+    """The members that have a likely partner."""
+    some = np.zeros(len(own.ids), bool)
+    for i in range(len(own.ids)):
+        found = own.partners(i)
+        some[found] = True
+        some[i] |= len(found) > 0
+    if some.any():
+        yield from group.drop_columns("sketch").filter(pa.array(some)).to_batches()
+
+
+def _forest(group: pa.Table, own: _Group) -> Iterator[pa.RecordBatch]:
+    """Verified links, each of which joins two classes of the group that were still apart."""
+    bags, links = group.column("bag").combine_chunks(), []
+    ends, values = bags.offsets.to_numpy(), bags.values.to_numpy()
+    bag = [np.sort(values[low:high]) for low, high in zip(ends[:-1], ends[1:], strict=True)]
+    for i in range(len(bag)):
+        for j in own.partners(i).tolist():
+            if own.kind[i] == own.kind[j]:
+                continue
+            shared = len(np.intersect1d(bag[i], bag[j], assume_unique=True))
+            if shared >= own.similarity * (len(bag[i]) + len(bag[j]) - shared):
+                own.kind[own.kind == own.kind[j]] = own.kind[i]
+                links.append(sorted((int(own.ids[i]), int(own.ids[j]))))
+    if links:
+        a, b = zip(*links, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+GROUP = "key bigint, low int, high int, band int, doc_id bigint, n_shingles bigint, class bigint, part int"
+
+
+def _near(shared: DataFrame, labels: DataFrame, kept: DataFrame, similarity: float, rows: int, bands: int) -> DataFrame:
+    """Members of buckets that have a likely partner of another component, a row for each group of the two.
 
     A bucket of n members is cut into parts of about ``BLOCK`` by a hash of the id, and
     each two parts meet in one group, so that no task holds a bucket and no pair is a
-    row before its signatures are compared.
+    row.
     """
     placed = shared.join(labels, shared.doc_id == labels.node, "left")
     placed = placed.select("key", "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("class"))
@@ -272,8 +331,17 @@ def _across(shared: DataFrame, labels: DataFrame, kept: DataFrame, similarity: f
         "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
         "band", "doc_id", "n_shingles", "class", "part", "sketch",
     )
-    groups = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return groups.mapInArrow(_compare(similarity, rows, bands), "a bigint, b bigint")
+    return _by_group(members).mapInArrow(_grouped(_members, similarity, rows, bands), GROUP)
+
+
+def _by_group(members: DataFrame) -> DataFrame:
+    return members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id")
+
+
+def _linked(near: DataFrame, kept: DataFrame, bags: DataFrame, similarity: float, rows: int, bands: int) -> DataFrame:
+    """Links (a, b) between members of a group, fewer than it has members."""
+    members = near.join(kept.select("doc_id", "sketch"), "doc_id").join(bags, "doc_id")
+    return _by_group(members).mapInArrow(_grouped(_forest, similarity, rows, bands), "a bigint, b bigint")
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -635,3 +635,40 @@ def test_pipeline_passes_on_one_emptied_copy(spark):
 def test_registered():
     names = [n for n in entry_points.queries() if n.startswith("op")]
     assert [n.split("_")[0] for n in names if n[2].isdigit()] == [f"op{i}" for i in range(1, 14)] and "pipeline" in entry_points.queries()
+
+
+def test_links_of_a_block_are_fewer_than_its_members():
+    rng = np.random.default_rng(3)
+    base = rng.choice(10**6, 60, replace=False).astype(np.int64)
+    bags, n = [], 40
+    for i in range(n):  # neighbours differ by one item, so all are linked over chains
+        bag = base.copy()
+        bag[: i % 7] += 10**7 + i
+        bags.append(bag)
+    table = pa.table(
+        {
+            "key": [1] * n, "low": [0] * n, "high": [0] * n, "band": [0] * n, "doc_id": list(range(n)),
+            "n_shingles": [60] * n, "class": list(range(n)), "part": [0] * n, "sketch": [bytes(512)] * n,
+            "bag": [b.tolist() for b in bags],
+        }
+    )
+    run = near_duplicates._grouped(near_duplicates._forest, 0.8, 8, 64)
+    links = [tuple(r.values()) for b in run(table.to_batches(max_chunksize=7)) for r in b.to_pylist()]
+    linked = [(i, j) for i in range(n) for j in range(i) if len({*bags[i]} & {*bags[j]}) >= 0.8 * len({*bags[i]} | {*bags[j]})]
+    assert len(linked) > n and set(links) <= {(j, i) for i, j in linked}
+    label = list(range(n))
+
+    def top(i):
+        return i if label[i] == i else top(label[i])
+
+    for i, j in linked:
+        label[top(i)] = top(j)
+    classes = len({top(i) for i in range(n)})
+    assert len(links) == n - classes
+
+
+def test_rows_of_large_keys_are_looked_up(spark):
+    rows = work.written(spark.range(300).selectExpr("id as doc_id", "if(id < 250, 'a', concat('b', id)) as copy"), "rows")
+    table = rows.where("doc_id <> 299").groupBy("copy").agg(F.count("*").alias("n"), F.min("doc_id").alias("head"))
+    found = near_duplicates._looked_up(rows, work.written(table, "table"), "copy", "n").collect()
+    assert sorted((r["doc_id"], r["head"]) for r in found) == [(i, None if i == 299 else 0 if i < 250 else i) for i in range(300)]
