@@ -146,11 +146,13 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`judged` keeps, whatever their columns; the texts are read twice, not shuffled."""
+    """The rows of ``docs`` that :func:`judged` keeps, whatever their columns.
+
+    Rows are written once with what was found in them, so no text is judged twice; none is shuffled.
+    """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
     texts = docs.select(row, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seen = statistics(texts).withColumn("marks", voting.marks(votes()))
-    # the generator stands between the statistics and the filter, which would else repeat them
-    seen = seen.select("__row", F.inline(F.array(F.struct(*STATS, "marks"))))
+    seen = work.written(seen.select("__row", *STATS, "marks"), "marked")
     odds = estimated(_patterns(seen))
     return seen.where(~base_failed() & (posterior(odds) >= 0.5)).select("__row.*")
