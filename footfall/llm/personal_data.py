@@ -20,7 +20,7 @@ BASE = {
 }
 #: Looser candidates, which only the classifier can turn into spans.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64}+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,24}+){1,4}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,}+)++",
     "ip": r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])",
     "phone": r"(?<![0-9A-Za-z+])(?:\([0-9]{3}\) ?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
 }
@@ -41,6 +41,7 @@ LABELERS = ("pattern", "gazetteer", "context", "border", "shape")
 FEATURES = ("before", "after", "length", "digits", "context", "gazetteer")
 VALUES = 24  # values that a feature can take, at most
 CONTEXT = 40
+BLOCK = 256  # items that a list grows by at a time
 ROUNDS = 15
 #: What a prior vote weighs, in spans of each kind; its shape says that labelers are right more often than not.
 PRIOR = 20.0
@@ -76,10 +77,42 @@ def _passes(kind: str, value: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(items: Column, kind: str, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each item the state before it: ``start`` for the first, then ``step(state, item)`` of the one before.
+
+    Lists grow by ``BLOCK`` items at a time, so the work does not grow with the square of the items.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    first = F.struct(start.cast(kind).alias("state"), none.alias("states"))
+    more = lambda a, x: F.struct(
+        step(a["state"], x).cast(kind).alias("state"), F.concat(a["states"], F.array(a["state"])).alias("states")
+    )
+
+    def block(a: Column, part: Column) -> Column:
+        own = F.aggregate(part, F.struct(a["state"].alias("state"), none.alias("states")), more)
+        return _bound(own, lambda o: F.struct(o["state"].alias("state"), F.concat(a["blocks"], F.array(o["states"])).alias("blocks")))
+
+    def over(all_items: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / BLOCK).cast("int"))
+        begin = F.struct(start.cast(kind).alias("state"), F.array().cast(f"array<array<{kind}>>").alias("blocks"))
+        blocks = F.aggregate(numbers, begin, lambda a, k: block(a, F.slice(all_items, k * BLOCK + 1, BLOCK)))
+        return F.flatten(blocks["blocks"])
+
+    short = lambda i: F.aggregate(i, first, more)["states"]
+    return _bound(items, lambda i: F.when(F.size(i) <= BLOCK, short(i)).otherwise(over(i)))
+
+
 def _with_matches(rows: DataFrame, name: str, pattern: str) -> DataFrame:
-    """A column of (start, value) of the leftmost matches that do not overlap; starts count code points.
+    """A column of (start, value, left, after) of the leftmost matches that do not overlap; starts count code points.
 
     A match starts after the texts between the matches and the matches before it.
+    ``left`` is the ``CONTEXT`` code points before it, ``after`` the one behind it; both come from the texts
+    between the matches and the neighbouring matches, so the whole text is never walked for a match.
     """
     hit = F.col("text").rlike(pattern)
     rows = rows.withColumns(
@@ -89,12 +122,31 @@ def _with_matches(rows: DataFrame, name: str, pattern: str) -> DataFrame:
         }
     )
     gaps, values = F.col(f"{name}_gaps"), F.col(f"{name}_values")
-    added = lambda items, n: F.aggregate(F.slice(items, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    matches = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(values), F.size(gaps) - 1) - 1),
-        lambda i: F.struct((added(gaps, i + 1) + added(values, i)).alias("start"), F.get(values, i).alias("value")),
+    n = F.size(values)
+    last = lambda text: F.right(text, F.lit(CONTEXT))
+    pieces = F.zip_with(
+        F.slice(gaps, 1, n),
+        values,
+        lambda gap, value: F.struct(
+            (F.length(gap) + F.length(value)).alias("size"), last(gap).alias("gap"), last(F.concat(last(gap), value)).alias("tail"), F.length(gap).alias("gap_size")
+        ),
+    )
+    places = F.zip_with(
+        _running(F.transform(pieces, lambda p: p["size"]), "int", F.lit(0), lambda a, x: a + x),
+        _running(F.transform(pieces, lambda p: p["tail"]), "string", F.lit(""), lambda a, x: last(F.concat(a, x))),
+        lambda at, left: F.struct(at.alias("at"), left.alias("left")),
+    )
+    behind = F.zip_with(
+        F.slice(gaps, 2, n),
+        F.concat(F.slice(values, 2, n), F.array(F.lit(""))),
+        lambda gap, value: F.substring(F.when(gap == "", value).otherwise(gap), 1, 1),
+    )
+    matches = F.zip_with(
+        F.zip_with(places, pieces, lambda a, p: F.struct((a["at"] + p["gap_size"]).alias("start"), last(F.concat(a["left"], p["gap"])).alias("left"))),
+        F.zip_with(values, behind, lambda value, after: F.struct(value.alias("value"), after.alias("after"))),
+        lambda a, v: F.struct(a["start"].alias("start"), v["value"].alias("value"), a["left"].alias("left"), v["after"].alias("after")),
     )
-    return rows.withColumn(name, F.when(F.size(values) > 0, matches)).drop(f"{name}_gaps", f"{name}_values")
+    return rows.withColumn(name, F.when(n > 0, matches)).drop(f"{name}_gaps", f"{name}_values")
 
 
 def _character(place: Column) -> Column:
@@ -103,11 +155,9 @@ def _character(place: Column) -> Column:
 
 
 def _span(kind: str, match: Column, base: bool) -> Column:
-    text, start, value = F.col("text"), match["start"], match["value"]
+    start, value, left, after = (match[c] for c in ("start", "value", "left", "after"))
     length, n = F.length(value), F.length(_digits(value))
-    left = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    before = F.when(start == 0, "").otherwise(F.substring(text, start, F.lit(1)))
-    after = F.substring(text, start + length + 1, F.lit(1))
+    before = F.right(left, F.lit(1))
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     known = {
         "email": F.lower(F.regexp_extract(value, r"([A-Za-z]+)$", 1)).isin(*DOMAINS),
@@ -141,8 +191,9 @@ def _spans_of(kind: str, base: bool) -> Callable[[Column], Column]:
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): the candidate spans of each whole text with votes and features; one row per row of ``docs``.
 
-    A base match that fails its test stays a candidate only where it is a number of a
-    card's length; a loose candidate that overlaps a base span is dropped.
+    A base match that fails its test stays a candidate, a number only if it has a
+    card's length; a loose candidate that overlaps a base span is dropped. The work grows
+    with the length of a text, however many matches it holds.
     """
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = []
@@ -151,14 +202,25 @@ def candidates(docs: DataFrame) -> DataFrame:
             column = f"{name}_{kind}"
             rows = _with_matches(rows, column, pattern)
             found.append(F.coalesce(F.transform(column, _spans_of(kind, name == "base")), F.array().cast(SPANS)))
-    rows = rows.select("doc_id", F.concat(*found).alias("spans"))
-    sure = F.filter("spans", lambda s: s["base"])
-    rows = rows.withColumn("sure", sure)
-    free = lambda s: ~F.exists("sure", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    rows = rows.select("doc_id", F.array_sort(F.transform(F.concat(*found), _by_place)).alias("spans"))
+    ends = _running(F.col("spans"), "int", F.lit(0), lambda a, s: F.when(s["base"], F.greatest(a, s["end"])).otherwise(a))
+    starts = _running(F.reverse("spans"), "int", F.lit(2**31 - 1), lambda a, s: F.when(s["base"], s["start"]).otherwise(a))
+    around = F.zip_with(ends, F.reverse(starts), lambda e, s: F.struct(e.alias("end"), s.alias("start")))
+    placed = F.zip_with("spans", around, lambda s, a: F.struct(s.alias("span"), a.alias("sure")))
     number = lambda s: (s["kind"] == KINDS.index("card")) & s["digits"].between(12, 19)
     loose = lambda s: s["pattern"] == 0
-    rest = F.filter("spans", lambda s: ~s["base"] & (loose(s) | number(s)) & free(s))
-    return rows.select("doc_id", F.concat("sure", rest).alias("spans"))
+    free = lambda p: (p["sure"]["end"] <= p["span"]["start"]) & (p["sure"]["start"] >= p["span"]["end"])
+    kept = F.filter(placed, lambda p: p["span"]["base"] | ((loose(p["span"]) | number(p["span"])) & free(p)))
+    spans = F.transform(kept, lambda p: F.struct(*(p["span"][c].alias(c) for c in FIELDS)))
+    return rows.select("doc_id", F.when(F.size("spans") > 0, spans).otherwise(F.array().cast(SPANS)).alias("spans"))
+
+
+FIELDS = ("kind", "start", "end", "base", *LABELERS, *(f for f in FEATURES if f not in LABELERS))
+
+
+def _by_place(span: Column) -> Column:
+    """The span with its place first, so that spans sort by it."""
+    return F.struct(*(span[c].alias(c) for c in sorted(FIELDS, key=lambda c: c not in ("start", "end"))))
 
 
 SPANS = (
@@ -229,7 +291,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     The counts and the digest are of the base spans; ``spans`` lists those that the
     classifier adds as well. Texts are read once and never shuffled: the candidates of
     each row are written, and only counts of vote patterns are. NULL is an empty text,
-    without spans; ids and repeated rows stay as they are; an empty table gives none.
+    without spans; ids and repeated rows stay as they are; an empty table gives none. A very
+    long text is one row of one task; its matches are found and judged in time that grows with its length.
     """
     rows = work.written(candidates(docs), "spans")
     classifier = trained(rows.select(F.inline("spans")))

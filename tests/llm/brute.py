@@ -46,6 +46,24 @@ def base_row(text):
     return (*(counts[k] for k in BASE), hashlib.sha256(listed.encode()).hexdigest())
 
 
+def candidate_rows(text, loose, cues, counter_cues, context):
+    """(kind, start, end, base, vote of the context, character before, character after) of all candidates, by plain loops."""
+    kinds, found = list(BASE), []
+    sure = {(kind, start, end) for kind, start, end in base_spans(text)}
+    for name, pattern in [*((k, BASE[k]) for k in kinds), *((k, re.compile(p)) for k, p in loose.items())]:
+        for m in pattern.finditer(text):
+            base, given = (name, m.start(), m.end()) in sure, pattern is BASE[name]
+            number = name != "card" or 12 <= len(re.sub("[^0-9]", "", m[0])) <= 19
+            if not base and (given and not number or any(a < m.end() and m.start() < b for _, a, b in sure)):
+                continue
+            left = text[max(0, m.start() - context) : m.start()]
+            vote = 1 if re.search(cues[name], left) else -1 if re.search(counter_cues, left) else 0
+            sides = [text[m.start() - 1 : m.start()] if m.start() else "", text[m.end() : m.end() + 1]]
+            classes = [0 if not c or c.isspace() else 1 if c.isalnum() or c == "_" else 2 for c in sides]
+            found.append((kinds.index(name), m.start(), m.end(), base and given, vote, *classes))
+    return sorted(found)
+
+
 def quality_row(text):
     text = text or ""
     words = WORD.findall(text)

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -449,6 +450,29 @@ def test_classifier_adds_what_the_patterns_miss(spark):
     assert rows[60]["spans"] == "phone:12:24" and rows[61]["spans"] == "email:8:34" and rows[62]["spans"] == ""
 
 
+def test_candidates_equal_plain_loops(spark):
+    draw = random.Random(5)
+    parts = ["a@b.co", " ", "x", "1.2.3.4", "4111 1111 1111 1111", "+49 (0) 1234 56789", ",", "\n", "bob [at] site dot com", "bob (at) site (dot) com"]
+    parts += ["555-123-4567", "1:2:3:4:5:6:7:8", " phone ", " order ", "\U0001f600", "999999999999", " \u00e9 ", "y" * 70 + "@" + "z" * 80 + ".museum"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.choice([0, 3, 10, 60]))) for _ in range(300)]
+    texts += ["".join(draw.choice(parts) for _ in range(6000)), "w" * 90 + " (at) " + "v" * 70 + " (dot) " + "u" * 30, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    columns = ("kind", "start", "end", "base", "context", "before", "after")
+    rows = {r["doc_id"]: sorted(tuple(x[c] for c in columns) for x in r["spans"]) for r in personal_data.candidates(docs).collect()}
+    for i, text in enumerate(texts):
+        want = brute.candidate_rows(text, personal_data.LOOSE, personal_data.CUES, personal_data.COUNTER_CUES, personal_data.CONTEXT)
+        assert rows[i] == want, (i, [x for x in zip(rows[i], want) if x[0] != x[1]][:3])
+
+
+def test_a_text_of_very_many_addresses(spark):
+    n = 60_000
+    text = " ".join(f"name{i}@site{i}.com" for i in range(n))
+    begun = time.monotonic()
+    row = personal_data.personal_data(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert (row["n_email"], row["n_added"]) == (n, 0) and row["base_sha256"] == brute.base_row(text)[-1]
+    assert time.monotonic() - begun < 120
+
+
 # --- syncmers -----------------------------------------------------------------
 
 
