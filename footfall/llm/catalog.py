@@ -77,7 +77,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.sampled(documents(spark, sf_dir), all_rows=True)
+    return mixing.sampled(documents(spark, sf_dir), all_rows=True, share=mixing.SHARE)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

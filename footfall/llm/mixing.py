@@ -19,6 +19,8 @@ TOPICS = (
     ("list", r" \| "),
     ("figures", r"[0-9]"),
 )
+#: The share of all tokens that the query and the pipeline draw.
+SHARE = 0.5
 TOLERANCE, SWEEPS, MOST_SWEEPS = 1e-6, 4, 60
 
 
@@ -77,42 +79,50 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
     return state.select(*DIMENSIONS, "tokens", "weight")
 
 
-def sampling_rates(features: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
-    """(source, lang, topic, probability) per cell; the most sought cell is kept whole, so no probability passes 1."""
+def sampling_rates(
+    features: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, share: float | None = None
+) -> DataFrame:
+    """(source, lang, topic, probability) per cell: how often a document of the cell is drawn on average.
+
+    With ``share`` the draws hold that share of all tokens, however rare a cell is, and a cell
+    that is sought more than it has passes 1. Without, the most sought cell is kept whole and none passes 1.
+    """
     cells = features.where("tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     wanted = raked(work.written(cells, "cells"), targets).withColumn("rate", F.col("weight") / F.col("tokens"))
-    most = wanted.agg(F.max("rate")).first()[0] or 1.0
-    return work.written(wanted.select(*DIMENSIONS, (F.col("rate") / F.lit(most)).alias("probability")), "rates")
-
-
-def _with_features(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    plain = {d: F.coalesce(F.col(d).cast("string"), F.lit("")) for d in ("source", "lang")}
-    return docs.withColumns(
-        {f"__{d}": c for d, c in plain.items()} | {"__topic": topic_of(text), "__tokens": token_count(text)}
-    )
+    most, total, met = wanted.agg(F.max("rate"), F.sum("tokens"), F.sum("weight")).first()
+    scale = share * total / (met or 1.0) if share is not None and total else 1 / (most or 1.0)
+    return work.written(wanted.select(*DIMENSIONS, (F.col("rate") * F.lit(scale)).alias("probability")), "rates")
 
 
 def sampled(
-    docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, all_rows: bool = False
+    docs: DataFrame,
+    targets: Mapping[str, Mapping[str, float]] | None = None,
+    all_rows: bool = False,
+    share: float | None = None,
 ) -> DataFrame:
     """The documents drawn so that expected tokens meet the target shares; with ``all_rows``, every row with its decision.
 
-    A document is drawn if a number hashed from its id lies under the probability of its
-    cell, so repeated rows share their fate and reruns agree. A missing source or language is the value '',
+    A document comes as often as the whole part of its cell's rate says, and once more if a
+    number hashed from its id lies under the rest, so repeated rows share their fate and reruns agree.
+    ``share`` is the part of all tokens to draw; without it the most sought cell is drawn whole and every
+    other one in proportion, each document once at most. A missing source or language is the value '',
     one without a target in ``targets`` is not drawn, a text without words has
-    probability 1 (it weighs nothing), an empty table stays empty. Tokens are summed
-    per cell before any shuffle, and documents meet their cell in a join by its size: a
+    probability 1 (it weighs nothing), an empty table stays empty; columns of any name are kept as they are.
+    Tokens are summed per cell before any shuffle, and documents meet their cell in a join by its size: a
     source with a third of all rows is one row of the small side.
     """
-    rows = _with_features(docs)
-    features = rows.select(*(F.col(f"__{d}").alias(d) for d in DIMENSIONS), F.col("__tokens").alias("tokens"))
-    rates = sampling_rates(features, targets)
-    rates = rates.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.col("probability").alias("__probability"))
-    joined = rows.join(rates, [f"__{d}" for d in DIMENSIONS], "left")
-    chance = F.when(F.col("__tokens") == 0, 1.0).otherwise(F.coalesce("__probability", F.lit(0.0)))
-    drawn = uniform(F.col("doc_id")) < chance
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    if not all_rows:
-        return joined.where(drawn).select(*own)
-    return joined.select("doc_id", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), chance.alias("probability"), drawn.alias("drawn"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), text.alias("text"), *(
+        F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in ("source", "lang")
+    ))
+    rows = own.select("row", "doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), token_count(F.col("text")).alias("tokens"))
+    rates = sampling_rates(rows.select(*DIMENSIONS, "tokens"), targets, share)
+    joined = rows.join(rates, [*DIMENSIONS], "left")
+    chance = F.when(F.col("tokens") == 0, 1.0).otherwise(F.coalesce("probability", F.lit(0.0)))
+    joined = joined.withColumn("probability", chance)
+    draws = F.floor("probability") + (uniform(F.col("doc_id")) < F.col("probability") - F.floor("probability")).cast("bigint")
+    joined = joined.withColumn("draws", draws)
+    if all_rows:
+        return joined.select("doc_id", "topic", "tokens", "probability", (F.col("draws") > 0).alias("drawn"), "draws")
+    each = F.explode(F.sequence(F.lit(1), F.col("draws").cast("int"))).alias("draw")
+    return joined.where("draws > 0").select("row", each).select("row.*")

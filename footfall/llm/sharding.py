@@ -60,13 +60,19 @@ def place(
     spark = docs.sparkSession
     table = lookup_table(shards, slots)
     rows = [(slot, shards[i]) for slot, i in enumerate(table)]
-    lookup = spark.createDataFrame(rows, "__slot bigint, __shard string")
-    keyed = docs.withColumn("__slot", slot_of(F.col(key), slots))
-    placed = keyed.join(F.broadcast(lookup), "__slot")
-    return placed.select(*(F.col(f"`{c}`") for c in docs.columns if c != name), F.col("__shard").alias(name))
+    lookup = spark.createDataFrame(rows, "slot bigint, shard string")
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != name)).alias("row")
+    placed = docs.select(own, slot_of(F.col(key), slots).alias("slot")).join(F.broadcast(lookup), "slot")
+    return placed.select("row.*", F.col("shard").alias(name))
 
 
 def write_shards(docs: DataFrame, path: str, shards: Sequence[str] = SHARDS, salt: int = 8) -> None:
-    """One folder per shard; a shard's rows come from up to ``salt`` tasks, so a hot key is not one task's work."""
+    """One folder per shard; a shard's rows come from up to ``salt`` tasks, so a hot key is not one task's work.
+
+    The task follows from the row and its partition, so a stage that is run again after a lost executor deals rows
+    as before, and repeated rows are spread as well. Columns that hold maps are left out of the hash.
+    """
     placed = place(docs, shards=shards)
-    placed.repartition("shard", F.floor(F.rand(7) * salt)).write.partitionBy("shard").parquet(path)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    part = F.pmod(F.xxhash64(*hashed, F.spark_partition_id()), F.lit(salt))
+    placed.repartition("shard", part).write.partitionBy("shard").parquet(path)

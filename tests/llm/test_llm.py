@@ -581,6 +581,38 @@ def test_mixing_decisions(spark, edges):
     assert mixing.sampled(empty(spark)).count() == 0
 
 
+def test_mixing_draws_a_share_of_all_tokens(spark):
+    """The share is met at every size and by every cell's goal, and a rare cell that is much sought comes several times."""
+    for sf in ("sf0.01", "sf0.1"):
+        rows = mixing.sampled(catalog.documents(spark, f"/root/testdata/{sf}"), all_rows=True, share=0.5)
+        rest = F.col("probability") - F.floor("probability")
+        kept, hoped, tokens, variance = rows.where("tokens > 0").agg(
+            F.sum(F.col("tokens") * F.col("draws")), F.sum(F.col("tokens") * F.col("probability")),
+            F.sum("tokens"), F.sum(F.col("tokens") * F.col("tokens") * rest * (1 - rest)),
+        ).first()
+        assert abs(hoped / tokens - 0.5) < 1e-6 and abs(kept - hoped) < 3 * variance**0.5, (sf, kept, hoped, variance**0.5)
+    cells = [(i, "word " * 20, "en", "common", 5) for i in range(900)] + [(i, "word " * 20, "de", "rare", 5) for i in range(900, 1000)]
+    docs = spark.createDataFrame(cells, SCHEMA)
+    even = {"source": {"common": 1, "rare": 1}, "lang": {"en": 1, "de": 1}, "topic": {"prose": 1}}
+    drawn = mixing.sampled(docs, even, share=0.5).groupBy("source", "doc_id").count().collect()
+    times = {s: [r["count"] for r in drawn if r["source"] == s] for s in ("common", "rare")}
+    assert {*times["rare"]} == {2, 3} and {*times["common"]} == {1} and len(times["rare"]) == 100
+    assert abs(sum(times["rare"]) / 250 - 1) < 0.1 and abs(sum(times["common"]) / 250 - 1) < 0.15
+
+
+def test_mixing_and_placement_keep_columns_of_any_name(spark, edges, tmp_path):
+    extra = {c: F.lit(c) for c in ("topic", "tokens", "probability", "draws", "draw", "row", "slot", "__topic", "__slot", "__shard", "a.b")}
+    docs = edges.withColumns(extra | {"kept": F.create_map(F.lit("k"), F.lit(1))})
+    assert mixing.sampled(docs, share=1.0).columns == docs.columns
+    plain = {(r["doc_id"], r["draws"]) for r in mixing.sampled(edges, all_rows=True, share=1.0).collect()}
+    assert {(r["doc_id"], r["draws"]) for r in mixing.sampled(docs, all_rows=True, share=1.0).collect()} == plain
+    assert mixing.sampled(empty(spark), share=1.0).count() == 0
+    placed = sharding.place(docs)
+    assert placed.columns == [*(c for c in docs.columns if c != "shard"), "shard"] and placed.where("slot = 'slot'").count() == edges.count()
+    sharding.write_shards(docs, str(tmp_path / "shards"))
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == edges.count()
+
+
 def test_lookup_table_is_even_and_stable():
     table = sharding.lookup_table(sharding.SHARDS)
     counts = np.bincount(table)
