@@ -80,18 +80,43 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
 
 
 def sampling_rates(
-    features: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, share: float | None = None
+    features: DataFrame,
+    targets: Mapping[str, Mapping[str, float]] | None = None,
+    share: float | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """(source, lang, topic, probability) per cell: how often a document of the cell is drawn on average.
 
     With ``share`` the draws hold that share of all tokens, however rare a cell is, and a cell
-    that is sought more than it has passes 1. Without, the most sought cell is kept whole and none passes 1.
+    that is sought more than it has passes 1; with ``once`` it stays at 1, and the others share what it lacks
+    in proportion. Without ``share``, the most sought cell is kept whole and none passes 1.
     """
     cells = features.where("tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     wanted = raked(work.written(cells, "cells"), targets).withColumn("rate", F.col("weight") / F.col("tokens"))
     most, total, met = wanted.agg(F.max("rate"), F.sum("tokens"), F.sum("weight")).first()
     scale = share * total / (met or 1.0) if share is not None and total else 1 / (most or 1.0)
-    return work.written(wanted.select(*DIMENSIONS, (F.col("rate") * F.lit(scale)).alias("probability")), "rates")
+    if once and share is not None:
+        scale = _capped_scale(wanted, share * (total or 0), scale)
+    rate = F.col("rate") * F.lit(scale)
+    rate = F.least(rate, F.lit(1.0)) if once else rate
+    return work.written(wanted.select(*DIMENSIONS, rate.alias("probability")), "rates")
+
+
+def _capped_scale(wanted: DataFrame, tokens: float, scale: float) -> float:
+    """The scale at which rates, held at 1, draw that many tokens.
+
+    What is drawn is a concave function of the scale, made of straight pieces, so the steps
+    rise to the answer and end after as many of them as there are pieces, most often a few.
+    """
+    while True:
+        whole = F.col("rate") * F.lit(scale) >= 1
+        held = F.coalesce(F.sum(F.when(whole, F.col("tokens"))), F.lit(0)).alias("held")
+        rest = F.coalesce(F.sum(F.when(~whole, F.col("weight"))), F.lit(0.0)).alias("rest")
+        held, rest = wanted.agg(held, rest).first()
+        better = (tokens - held) / rest if rest > 0 else scale
+        if better <= scale * (1 + 1e-9):
+            return scale
+        scale = better
 
 
 def sampled(
@@ -99,12 +124,14 @@ def sampled(
     targets: Mapping[str, Mapping[str, float]] | None = None,
     all_rows: bool = False,
     share: float | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """The documents drawn so that expected tokens meet the target shares; with ``all_rows``, every row with its decision.
 
     A document comes as often as the whole part of its cell's rate says, and once more if a
     number hashed from its id lies under the rest, so repeated rows share their fate and reruns agree.
-    ``share`` is the part of all tokens to draw; without it the most sought cell is drawn whole and every
+    ``share`` is the part of all tokens to draw; with ``once`` no document comes twice, and cells that are
+    sought more than they have come whole; without ``share`` the most sought cell is drawn whole and every
     other one in proportion, each document once at most. A missing source or language is the value '',
     one without a target in ``targets`` is not drawn, a text without words has
     probability 1 (it weighs nothing), an empty table stays empty; columns of any name are kept as they are.
@@ -116,7 +143,7 @@ def sampled(
         F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in ("source", "lang")
     ))
     rows = own.select("row", "doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), token_count(F.col("text")).alias("tokens"))
-    rates = sampling_rates(rows.select(*DIMENSIONS, "tokens"), targets, share)
+    rates = sampling_rates(rows.select(*DIMENSIONS, "tokens"), targets, share, once)
     joined = rows.join(rates, [*DIMENSIONS], "left")
     chance = F.when(F.col("tokens") == 0, 1.0).otherwise(F.coalesce("probability", F.lit(0.0)))
     joined = joined.withColumn("probability", chance)

@@ -600,6 +600,18 @@ def test_mixing_draws_a_share_of_all_tokens(spark):
     assert abs(sum(times["rare"]) / 250 - 1) < 0.1 and abs(sum(times["common"]) / 250 - 1) < 0.15
 
 
+def test_mixing_draws_a_share_with_no_document_twice(spark):
+    cells = [("a", "en", "t", 100, 0.5), ("b", "en", "t", 300, 0.3), ("c", "en", "t", 1000, 0.15), ("d", "en", "t", 3000, 0.05)]
+    wanted = spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint, weight double").withColumn("rate", F.expr("weight / tokens"))
+    for tokens in (50.0, 400.0, 1500.0, 4300.0):
+        scale = mixing._capped_scale(wanted, tokens, tokens)
+        assert abs(sum(n * min(1, scale * w / n) for *_, n, w in cells) - tokens) < 1e-6 * tokens
+    docs = catalog.documents(spark, "/root/testdata/sf0.01")
+    rows = mixing.sampled(docs, all_rows=True, share=0.5, once=True).where("tokens > 0")
+    hoped, tokens, most = rows.agg(F.sum(F.col("tokens") * F.col("probability")), F.sum("tokens"), F.max("draws")).first()
+    assert abs(hoped / tokens - 0.5) < 1e-6 and most == 1
+
+
 def test_mixing_and_placement_keep_columns_of_any_name(spark, edges, tmp_path):
     extra = {c: F.lit(c) for c in ("topic", "tokens", "probability", "draws", "draw", "row", "slot", "__topic", "__slot", "__shard", "a.b")}
     docs = edges.withColumns(extra | {"kept": F.create_map(F.lit("k"), F.lit(1))})
