@@ -29,11 +29,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn so that sources, languages and topics meet their target shares of tokens.
+    """Documents are drawn so that sources, languages and topics meet their target shares of a share of all tokens.
 
+    No document comes twice; cells that are sought more than they have come whole.
     Texts without a word are all drawn, so of equal ones (copies that ``line_dedup`` emptied) one is let through.
     """
-    return mixing.sampled(near_duplicates.one_wordless_of_each(docs))
+    return mixing.sampled(near_duplicates.one_wordless_of_each(docs), share=mixing.SHARE, once=True)
 
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
