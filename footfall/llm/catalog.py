@@ -41,7 +41,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.encode_and_decode(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
-    return rows.select("doc_id", "n_tokens", "ids", "best", "round_trip")
+    return rows.select("doc_id", "n_tokens", "ids", "best", "decoded", "round_trip")
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

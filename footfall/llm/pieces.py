@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -267,13 +268,17 @@ def _encoder(path: str, best: int):
             values, counts, found = own.segment_all(block.column("text"))
             ids = blocks.lists(values, counts, pa.int32())
             flat = [path for paths in found for path in paths]
+            sizes = np.array([sum(map(len, parts)) // 4 for _, parts in flat], np.int64)
+            coded = memoryview(b"".join([part for _, parts in flat for part in parts]))
+            cuts = np.concatenate(([0], np.cumsum(sizes * 4))).tolist()
             segmentations = pa.StructArray.from_arrays(
                 [
                     pa.array([score for score, _ in flat], pa.int64()),
-                    pa.array([sum(map(len, parts)) // 4 for _, parts in flat], pa.int64()),
-                    pa.array([functools.reduce(lambda crc, part: zlib.crc32(part, crc), parts, 0) for _, parts in flat], pa.int64()),
+                    pa.array(sizes),
+                    pa.array([zlib.crc32(coded[a:b]) for a, b in itertools.pairwise(cuts)], pa.int64()),
+                    blocks.lists(np.frombuffer(coded, "<u4").astype(np.int32), sizes, pa.int32()),
                 ],
-                ["score", "n_tokens", "ids_crc32"],
+                ["score", "n_tokens", "ids_crc32", "ids"],
             )
             ends = np.concatenate(([0], np.cumsum([len(paths) for paths in found]))).astype(np.int32)
             ranked = pa.ListArray.from_arrays(pa.array(ends), segmentations)
@@ -282,11 +287,13 @@ def _encoder(path: str, best: int):
     return run
 
 
-ENCODED = "doc_id bigint, text string, ids array<int>, best array<struct<score: bigint, n_tokens: bigint, ids_crc32: bigint>>"
+RANKED = "best array<struct<score: bigint, n_tokens: bigint, ids_crc32: bigint, ids: array<int>>>"
+ENCODED = f"doc_id bigint, text string, ids array<int>, {RANKED}"
+CHECKED = f"doc_id bigint, {RANKED}, decoded string, round_trip boolean"
 
 
 def encode(docs: DataFrame, model: str, best: int = BEST) -> DataFrame:
-    """(doc_id, text, ids, best): the best segmentation of every whole text, and a digest of each of the ``best`` best.
+    """(doc_id, text, ids, best): the best segmentation of every whole text, and the ``best`` best ones with their ids.
 
     No shuffle. A text has fewer segmentations where its lattice has fewer paths; NULL and
     empty texts have one, empty, of score 0. Ids and rows pass through as they are,
@@ -314,25 +321,30 @@ def _checked(model: str, best: int):
     encoded = _encoder(model, best)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = load(model).bytes_of
-        size = np.array([len(piece) for piece in table])
-        begin, data = np.cumsum(size) - size, np.frombuffer(b"".join(table), np.uint8)
+        table = pa.array(load(model).bytes_of, pa.large_binary())
         for batch in encoded(batches):
-            ids = batch.column("ids").values.to_numpy()
-            until = np.concatenate(([0], np.cumsum(size[ids])))[batch.column("ids").offsets.to_numpy()]
-            decoded = blocks.gathered(data, begin[ids], size[ids])
-            text, offsets = blocks.utf8(batch.column("text"))
-            same = [
-                np.array_equal(decoded[a:b], text[c:d])
-                for a, b, c, d in zip(until[:-1], until[1:], offsets[:-1], offsets[1:], strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), batch.column("best"), pa.array(same)], ["doc_id", "ids", "best", "same"])
+            paths = batch.column("best")
+            ids = paths.values.field("ids")
+            taken = table.take(ids.values)  # the bytes of all segmentations, one after another
+            cuts = np.frombuffer(taken.buffers()[1], np.int64)[ids.offsets.to_numpy()]
+            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts), taken.buffers()[2]])
+            first = paths.offsets.to_numpy()
+            row = np.repeat(np.arange(len(paths)), np.diff(first))
+            text = pc.fill_null(batch.column("text"), "").cast(pa.large_binary())
+            right = pc.equal(decoded, text.take(pa.array(row))).to_numpy(zero_copy_only=False)
+            same = np.logical_and.reduceat(right, first[:-1])  # a text has a segmentation at least
+            again = decoded.take(pa.array(first[:-1])).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), paths, again, pa.array(same)], ["doc_id", "best", "decoded", "round_trip"])
 
     return run
 
 
 def encode_and_decode(docs: DataFrame, model: str, best: int = BEST) -> DataFrame:
-    """(doc_id, n_tokens, ids, best, round_trip): as :func:`encode`, with each text decoded again from its ids and compared."""
+    """(doc_id, n_tokens, ids, best, decoded, round_trip): as :func:`encode`, with all segmentations decoded again from their ids.
+
+    ``decoded`` is the text that the best one gives; ``round_trip`` says whether every one of them gives the text back.
+    """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(_checked(model, best), ENCODED.replace(" text string,", "") + ", same boolean")
-    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "best", F.col("same").alias("round_trip"))
+    rows = texts.mapInArrow(_checked(model, best), CHECKED)
+    first = F.col("best")[0]
+    return rows.select("doc_id", first["n_tokens"].alias("n_tokens"), first["ids"].alias("ids"), "best", "decoded", "round_trip")

@@ -149,6 +149,32 @@ def test_pieces_over_edge_cases(spark, edges):
     assert all((r["text"] or "") == r["again"] for r in back)
 
 
+def test_every_best_segmentation_is_given_and_decoded(spark, edges, monkeypatch):
+    own = pieces.Segmenter(pieces.load(MODEL), pieces.BEST)
+    rows = pieces.encode_and_decode(edges, MODEL).collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in edges.select("doc_id", "text").collect()}
+    assert max(len(r["best"]) for r in rows) == pieces.BEST
+    for r in rows:
+        assert r["decoded"] in [t for i, t in texts.items() if i == r["doc_id"]] or r["doc_id"] is None
+        wanted = [(score, np.frombuffer(coded, "<u4").tolist()) for score, coded in own.segment(r["decoded"])]
+        assert [(b["score"], b["ids"]) for b in r["best"]] == wanted and r["ids"] == r["best"][0]["ids"]
+        for b in r["best"]:
+            assert own.pieces.decode(b["ids"]) == r["decoded"] and b["n_tokens"] == len(b["ids"])
+            assert b["ids_crc32"] == zlib.crc32(np.array(b["ids"], "<u4").tobytes())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["the cat sat", None]})
+    right = pieces.Segmenter.segment_all
+
+    def wrong(self, texts):  # the last segmentation of the first text loses an id
+        ids, counts, found = right(self, texts)
+        score, parts = found[0][-1]
+        found[0][-1] = (score, [b"".join(parts)[4:]])
+        return ids, counts, found
+
+    monkeypatch.setattr(pieces.Segmenter, "segment_all", wrong)
+    (out,) = pieces._checked(MODEL, 3)([batch])
+    assert out.column("round_trip").to_pylist() == [False, True] and out.column("decoded").to_pylist() == ["the cat sat", ""]
+
+
 # --- near duplicates ----------------------------------------------------------
 
 
