@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +21,13 @@ GRAM_WORDS = 8  # words that a hashed gram of lines holds at least
 WINDOW = 4  # consecutive grams of which one is a fingerprint
 BREAK_WINDOW = 4  # any so many consecutive words of a line break or sentence have a break after one of them
 MIN_WORDS = 30  # shorter repeats stay
-STORED_LINES = 1 << 19  # of stored texts that are held at once
+STORED_LINES = 1 << 16  # of stored texts that are held at once; their arrays fit into a core's cache
+FEW = 16  # of so many texts one at most is in a pair: those texts are stored for a round, not scanned twice
 FILTER_BITS = 26  # of a broadcast filter of hashes: 8 MB, whatever their number
 SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
-TABLE = "doc_id bigint, version bigint, hashes array<int>, sizes array<int>, prints array<bigint>, own array<int>"
+TABLE = "doc_id bigint, version bigint, hashes binary, sizes binary, prints array<bigint>, own array<int>"
 PAIR = "doc_id bigint, version bigint, lines array<int>, edge_lines array<int>, edges array<bigint>"
-TEXT = "doc_id bigint, version bigint, hashes array<int>, sizes array<int>"
+TEXT = "doc_id bigint, version bigint, hashes binary, sizes binary"
 
 
 def gram_spans(sizes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -36,11 +38,12 @@ def gram_spans(sizes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """
     ends = np.cumsum(sizes)
     begins, line = ends - sizes, np.arange(len(sizes))
-    until = np.searchsorted(ends, begins + GRAM_WORDS)
+    of_word = np.append(np.repeat(line, sizes), len(sizes))  # the line of each word, and one past the last
+    until = of_word[np.minimum(begins + (GRAM_WORDS - 1), len(of_word) - 1)]
     ok = until < len(sizes)
     ok[ok] = doc[until[ok]] == doc[ok]
-    since = np.searchsorted(begins, ends - GRAM_WORDS, side="right") - 1
-    back = since >= 0
+    since = of_word[np.maximum(ends - GRAM_WORDS, 0)]
+    back = ends >= GRAM_WORDS
     back[back] = doc[since[back]] == doc[back]
     return np.concatenate((line[ok], since[back])), np.concatenate((until[ok], line[back])) + 1, int(ok.sum())
 
@@ -105,7 +108,9 @@ class Lines:
             other = np.minimum(np.arange(forward) + step, forward - 1)
             better = (owner[other] == owner) & (value[other] < value[least])
             least = np.where(better, other, least)
-        least = np.unique(least)
+        chosen = np.zeros(forward, bool)
+        chosen[least] = True
+        least = np.flatnonzero(chosen)
         value, owner = value[least], owner[least]
         order = np.lexsort((value, owner))
         value, owner = value[order], owner[order]
@@ -124,21 +129,38 @@ def least_of(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 def covered(lines: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which lines lie in some of the spans."""
-    change = np.zeros(lines + 1, np.int64)
-    np.add.at(change, start, 1)
-    np.add.at(change, end, -1)
+    change = np.bincount(start, minlength=lines + 1) - np.bincount(end, minlength=lines + 1)
     return np.cumsum(change[:-1]) > 0
 
 
 def _later(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which grams, given in order of their place, repeat an earlier one of the same text."""
-    order = np.lexsort((np.arange(len(value)), value, doc))
+    key = value + blocks.mix(doc.astype(np.uint64))  # equal for equal grams of a text, and hardly ever else
+    ranked = np.sort(key)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    some = np.flatnonzero(pc.is_in(pa.array(key), pa.array(twice)).to_numpy(zero_copy_only=False))
+    order = some[np.lexsort((some, value[some], doc[some]))]
     later = np.zeros(len(value), bool)
     v, d = value[order], doc[order]
     later[order[1:]] = (v[1:] == v[:-1]) & (d[1:] == d[:-1])
     return later
 
 
+def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The values of each text as bytes, which pass between tasks and files as they are."""
+    cuts = np.concatenate(([0], np.cumsum(counts * values.itemsize))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(packed: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values, and how many each text has."""
+    _, cuts, data = packed.buffers()
+    cuts = np.frombuffer(cuts, np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    size = np.dtype(kind).itemsize
+    values = np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]].view(kind) if data is not None else np.zeros(0, kind)
+    return values, np.diff(cuts) // size
+
+
 def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks.text_blocks(batches):
         lines = Lines(block.column("text"))
@@ -152,8 +174,8 @@ def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 block.column("doc_id"),
                 block.column("version"),
-                blocks.lists(lines.hashes.astype(np.uint32).view(np.int32), lines.counts, pa.int32()),
-                blocks.lists(lines.sizes.astype(np.int32), lines.counts, pa.int32()),
+                _packed(lines.hashes.astype(np.uint32), lines.counts),
+                _packed(lines.sizes.astype(np.uint8), lines.counts),
                 blocks.lists(blocks.signed(prints), count(print_doc), pa.int64()),
                 blocks.lists((own - first[lines.doc[own]]).astype(np.int32), count(lines.doc[own]), pa.int32()),
             ],
@@ -164,11 +186,10 @@ def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Stored:
     """The lines of many stored texts, one after another, and their grams."""
 
-    def __init__(self, hashes: pa.ListArray, sizes: pa.ListArray):
-        self.counts = np.diff(hashes.offsets.to_numpy())
+    def __init__(self, hashes: pa.BinaryArray, sizes: pa.BinaryArray):
+        flat, self.counts = _unpacked(hashes, np.uint32)
+        flat, words = flat.astype(np.uint64), _unpacked(sizes, np.uint8)[0].astype(np.int64)
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
-        flat = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
-        words = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         self.start, self.end, self.forward = gram_spans(words, self.row)
         self.value = blocks.Hasher(flat)(self.start, self.end)
         self.owner = self.row[self.start]
@@ -177,7 +198,7 @@ class Stored:
 def _slices(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about ``STORED_LINES`` lines, so that memory stays bounded."""
     for batch in batches:
-        lines = sum(np.diff(batch.column(c).offsets.to_numpy()) for c in names)
+        lines = sum(pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) for c in names) // 4
         block = np.cumsum(lines) // STORED_LINES
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
@@ -192,7 +213,7 @@ def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Stored(batch.column("hashes"), batch.column("sizes"))
         source = Stored(batch.column("source_hashes"), batch.column("source_sizes"))
         of_pair = lambda text: text.value + blocks.mix(text.owner.astype(np.uint64))
-        shared = np.isin(of_pair(own), of_pair(source))
+        shared = pc.is_in(pa.array(of_pair(own)), pa.array(of_pair(source))).to_numpy(zero_copy_only=False)
         inside = covered(len(own.row), own.start[shared], own.end[shared])
         start, end, n = own.start, own.end, own.forward
         before = np.flatnonzero(~inside[start[:n]] & inside[start[:n] + 1])  # a gram has two lines at least
@@ -282,7 +303,10 @@ def _texts_in(table: DataFrame, some: Some) -> DataFrame:
 
 def _extended(table: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_id, version, lines, edge_lines, edges) per pair; only texts that are part of a pair are shuffled."""
-    texts = _texts_in(table, Some(pairs.select("doc_id").union(pairs.select("source")), "doc_id"))
+    wanted = pairs.select("doc_id").union(pairs.select("source"))
+    texts = _texts_in(table, Some(wanted, "doc_id"))
+    if pairs.count() * 2 * FEW <= table.count():
+        texts = work.written(texts, "texts")
     sources = texts.select(F.col("doc_id").alias("source"), F.col("hashes").alias("source_hashes"), F.col("sizes").alias("source_sizes"))
     both = pairs.join(sources, "source").join(texts, "doc_id")
     both = both.select("doc_id", "version", "hashes", "sizes", "source_hashes", "source_sizes")

@@ -335,6 +335,19 @@ def test_every_repeated_run_of_two_grams_is_found(spark, small):
     assert sum(cut[i] != small[i] for i in cut) > 0
 
 
+def test_lines_of_stored_texts_are_held_a_slice_at_a_time():
+    texts = pa.array([prose(i, 300) for i in range(900)] + ["", "short"])
+    block = pa.RecordBatch.from_arrays([pa.array(range(902)), pa.array(range(902)), texts], ["doc_id", "version", "text"])
+    (rows,) = pa.Table.from_batches(repeated_runs._survey([block])).combine_chunks().to_batches()
+    lines = repeated_runs.Lines(texts)
+    parts = [repeated_runs.Stored(x.column("hashes"), x.column("sizes")) for x in repeated_runs._slices([rows], "hashes")]
+    assert sum(len(part.counts) for part in parts) == 902 and np.array_equal(np.concatenate([part.counts for part in parts]), lines.counts)
+    assert max(len(part.row) for part in parts) < 80_000 < len(lines.sizes)
+    start, _, value, forward = lines.grams()
+    stored = {(i, v) for part, base in zip(parts, np.cumsum([0] + [len(x.counts) for x in parts]), strict=False) for i, v in zip((part.owner + base).tolist(), part.value.tolist(), strict=True)}
+    assert stored == {(i, v) for i, v in zip(lines.doc[start].tolist(), value.tolist(), strict=True)}
+
+
 def test_fingerprints_hold_the_least_gram_of_each_window():
     lines = repeated_runs.Lines(pa.array([prose(9, 300), "", prose(10, 17), "short"]))
     start, end, value, forward = lines.grams()
