@@ -135,6 +135,7 @@ def sampled(
     other one in proportion, each document once at most. A missing source or language is the value '',
     one without a target in ``targets`` is not drawn, a text without words has
     probability 1 (it weighs nothing), an empty table stays empty; columns of any name are kept as they are.
+    With ``all_rows`` a text is looked at once, and its topic and tokens are stored; else twice, as the drawn rows come whole.
     Tokens are summed per cell before any shuffle, and documents meet their cell in a join by its size: a
     source with a third of all rows is one row of the small side.
     """
@@ -143,6 +144,8 @@ def sampled(
         F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d) for d in ("source", "lang")
     ))
     rows = own.select("row", "doc_id", "source", "lang", topic_of(F.col("text")).alias("topic"), token_count(F.col("text")).alias("tokens"))
+    if all_rows:  # nothing of the documents is needed any more, so their topics and tokens are found once
+        rows = work.written(rows.drop("row"), "features")
     rates = sampling_rates(rows.select(*DIMENSIONS, "tokens"), targets, share, once)
     joined = rows.join(rates, [*DIMENSIONS], "left")
     chance = F.when(F.col("tokens") == 0, 1.0).otherwise(F.coalesce("probability", F.lit(0.0)))

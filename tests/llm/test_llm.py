@@ -651,6 +651,12 @@ def test_mixing_draws_a_share_with_no_document_twice(spark):
     assert abs(hoped / tokens - 0.5) < 1e-6 and most == 1
 
 
+def test_mixing_decisions_look_at_each_text_once(spark):
+    """Topics and tokens come from what the first pass stored; the documents are not read again."""
+    rows = mixing.sampled(catalog.documents(spark, SF), all_rows=True, share=0.5)
+    assert rows.inputFiles() and not any("documents.parquet" in f for f in rows.inputFiles())
+
+
 def test_mixing_and_placement_keep_columns_of_any_name(spark, edges, tmp_path):
     extra = {c: F.lit(c) for c in ("topic", "tokens", "probability", "draws", "draw", "row", "slot", "__topic", "__slot", "__shard", "a.b")}
     docs = edges.withColumns(extra | {"kept": F.create_map(F.lit("k"), F.lit(1))})
