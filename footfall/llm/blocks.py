@@ -53,15 +53,20 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def text_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in slices of about ``BLOCK_BYTES`` of text; a longer text is a slice of its own."""
+def text_blocks(batches: Iterable[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``size`` bytes of text; a longer text is a slice of its own.
+
+    After the last one, memory that Arrow keeps for later use goes back to the system: a worker that waits
+    for its next task, of whatever operator, holds no more than its caches.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(sizes) // BLOCK_BYTES
+        block = np.cumsum(sizes) // size
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), batch.num_rows]
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             if high > low:
                 yield batch.slice(low, high - low)
+    pa.default_memory_pool().release_unused()
 
 
 def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,12 +21,13 @@ GRAM_WORDS = 8  # words that a hashed gram of lines holds at least
 WINDOW = 4  # consecutive grams of which one is a fingerprint
 BREAK_WINDOW = 4  # any so many consecutive words of a line break or sentence have a break after one of them
 MIN_WORDS = 30  # shorter repeats stay
+TEXT_BYTES = 1 << 19  # of texts that are cut into lines at once, for the same reason as the next
 STORED_LINES = 1 << 16  # of stored texts that are held at once; their arrays fit into a core's cache
 FEW = 16  # of so many texts one at most is in a pair: those texts are stored for a round, not scanned twice
 FILTER_BITS = 26  # of a broadcast filter of hashes: 8 MB, whatever their number
 SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 TABLE = "doc_id bigint, version bigint, hashes binary, sizes binary, prints array<bigint>, own array<int>"
-PAIR = "doc_id bigint, version bigint, lines array<int>, edge_lines array<int>, edges array<bigint>"
+PAIR = "doc_id bigint, version bigint, sizes binary, lines array<int>, edge_lines array<int>, edges array<bigint>"
 TEXT = "doc_id bigint, version bigint, hashes binary, sizes binary"
 
 
@@ -48,6 +49,9 @@ def gram_spans(sizes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate((line[ok], since[back])), np.concatenate((until[ok], line[back])) + 1, int(ok.sum())
 
 
+Grams = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
 class Lines:
     """The lines of the texts of a block: short runs of words that the content alone cuts off.
 
@@ -91,17 +95,18 @@ class Lines:
         after[least_of(hashes, at, BREAK_WINDOW)] = True
         return after
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    def grams(self) -> Grams:
         """:func:`gram_spans` and, in third place, the hash of each gram."""
         start, end, forward = gram_spans(self.sizes, self.doc)
         return start, end, blocks.Hasher(self.hashes)(start, end), forward
 
-    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
+    def fingerprints(self, grams: Grams | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The distinct fingerprints of each text, and its number: the least forward gram of each window.
 
-        The last windows of a text are shorter, so a text with any gram has a fingerprint.
+        The last windows of a text are shorter, so a text with any gram has a fingerprint. ``grams`` are those of
+        :meth:`grams`, if they are there already.
         """
-        start, _, value, forward = self.grams()
+        start, _, value, forward = grams or self.grams()
         value, owner = value[:forward], self.doc[start[:forward]]
         least = np.arange(forward)
         for step in range(1, WINDOW):
@@ -112,10 +117,7 @@ class Lines:
         chosen[least] = True
         least = np.flatnonzero(chosen)
         value, owner = value[least], owner[least]
-        order = np.lexsort((value, owner))
-        value, owner = value[order], owner[order]
-        new = np.ones(len(value), bool)
-        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        new = ~_later(value, owner)
         return value[new], owner[new]
 
 
@@ -161,26 +163,30 @@ def _unpacked(packed: pa.BinaryArray, kind: type) -> tuple[np.ndarray, np.ndarra
     return values, np.diff(cuts) // size
 
 
+def _surveyed(block: pa.RecordBatch) -> pa.RecordBatch:
+    lines = Lines(block.column("text"))
+    start, end, value, forward = grams = lines.grams()
+    prints, print_doc = lines.fingerprints(grams)
+    again = np.concatenate([_later(value[part], lines.doc[start[part]]) for part in (slice(0, forward), slice(forward, None))])
+    own = np.flatnonzero(covered(len(lines.sizes), start[again], end[again]))
+    first = np.cumsum(lines.counts) - lines.counts
+    count = lambda doc: np.bincount(doc, minlength=lines.n)
+    return pa.RecordBatch.from_arrays(
+        [
+            block.column("doc_id"),
+            block.column("version"),
+            _packed(lines.hashes.astype(np.uint32), lines.counts),
+            _packed(lines.sizes.astype(np.uint8), lines.counts),
+            blocks.lists(blocks.signed(prints), count(print_doc), pa.int64()),
+            blocks.lists((own - first[lines.doc[own]]).astype(np.int32), count(lines.doc[own]), pa.int32()),
+        ],
+        ["doc_id", "version", "hashes", "sizes", "prints", "own"],
+    )
+
+
 def _survey(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks.text_blocks(batches):
-        lines = Lines(block.column("text"))
-        prints, print_doc = lines.fingerprints()
-        start, end, value, forward = lines.grams()
-        again = np.concatenate([_later(value[part], lines.doc[start[part]]) for part in (slice(0, forward), slice(forward, None))])
-        own = np.flatnonzero(covered(len(lines.sizes), start[again], end[again]))
-        first = np.cumsum(lines.counts) - lines.counts
-        count = lambda doc: np.bincount(doc, minlength=lines.n)
-        yield pa.RecordBatch.from_arrays(
-            [
-                block.column("doc_id"),
-                block.column("version"),
-                _packed(lines.hashes.astype(np.uint32), lines.counts),
-                _packed(lines.sizes.astype(np.uint8), lines.counts),
-                blocks.lists(blocks.signed(prints), count(print_doc), pa.int64()),
-                blocks.lists((own - first[lines.doc[own]]).astype(np.int32), count(lines.doc[own]), pa.int32()),
-            ],
-            ["doc_id", "version", "hashes", "sizes", "prints", "own"],
-        )
+    for block in blocks.text_blocks(batches, TEXT_BYTES):
+        yield _surveyed(block)  # its arrays are gone before the next block
 
 
 class Stored:
@@ -229,11 +235,12 @@ def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column("doc_id"),
                 batch.column("version"),
+                batch.column("sizes"),
                 blocks.lists((hit - first[own.row[hit]]).astype(np.int32), count(own.row[hit]), pa.int32()),
                 blocks.lists((line - first[own.row[line]]).astype(np.int32), count(own.owner[gram]), pa.int32()),
                 blocks.lists(blocks.signed(own.value[gram]), count(own.owner[gram]), pa.int64()),
             ],
-            ["doc_id", "version", "lines", "edge_lines", "edges"],
+            ["doc_id", "version", "sizes", "lines", "edge_lines", "edges"],
         )
 
 
@@ -302,7 +309,7 @@ def _texts_in(table: DataFrame, some: Some) -> DataFrame:
 
 
 def _extended(table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, version, lines, edge_lines, edges) per pair; only texts that are part of a pair are shuffled."""
+    """(doc_id, version, sizes, lines, edge_lines, edges) per pair; only texts that are part of a pair are shuffled."""
     wanted = pairs.select("doc_id").union(pairs.select("source"))
     texts = _texts_in(table, Some(wanted, "doc_id"))
     if pairs.count() * 2 * FEW <= table.count():
@@ -326,9 +333,9 @@ def _first_pairs(table: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, lines): per text the numbers of its lines in repeated grams; texts without any are absent.
+    """(doc_id, version, lines, sizes): per text the numbers of its lines in repeated grams; texts without any are absent.
 
-    ``version`` is a hash of the text. A fingerprint counts against the least document
+    ``version`` is a hash of the text, ``sizes`` has the words of each of its lines. A fingerprint counts against the least document
     id that has it, so a passage of any number of documents costs one comparison each; the
     comparison extends the match over every gram that the two texts share. Where it ends, another
     earlier text may go on: the grams that reach one line further, to a line that no text compared so far covers, are looked up among
@@ -339,16 +346,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     texts = work.keyed_texts(docs).withColumn("version", F.xxhash64("text"))
     table = work.written(texts.mapInArrow(_survey, TABLE), "lines")
     pairs = compared = _first_pairs(table)
-    found = table.where(F.size("own") > 0).select("doc_id", "version", F.col("own").alias("lines"))
+    found = table.where(F.size("own") > 0).select("doc_id", "version", F.col("own").alias("lines"), "sizes")
     while not pairs.isEmpty():
         across = _extended(table, pairs)
-        merged = found.unionByName(across.select("doc_id", "version", "lines")).groupBy("doc_id", "version")
-        merged = merged.agg(F.flatten(F.collect_set("lines")).alias("lines"))
-        found = work.written(merged.select("doc_id", "version", F.array_distinct("lines").alias("lines")), "found")
+        merged = found.unionByName(across.select("doc_id", "version", "lines", "sizes")).groupBy("doc_id", "version")
+        merged = merged.agg(F.flatten(F.collect_set("lines")).alias("lines"), F.any_value("sizes").alias("sizes"))
+        found = work.written(merged.select("doc_id", "version", F.array_distinct("lines").alias("lines"), "sizes"), "found")
         ends = across.select("doc_id", "version", F.inline(F.arrays_zip("edge_lines", "edges"))).distinct()
         ends = ends.groupBy("doc_id", "version").agg(F.collect_list(F.struct("edge_lines", "edges")).alias("ends"))
         still = F.filter("ends", lambda end: ~F.array_contains("lines", end.edge_lines))  # not covered by another text
-        still = ends.join(found, ["doc_id", "version"]).select("doc_id", F.explode(still).alias("end"))
+        still = ends.join(found.drop("sizes"), ["doc_id", "version"]).select("doc_id", F.explode(still).alias("end"))
         edges = work.written(still.select("doc_id", F.col("end.edges").alias("edge")).distinct(), "edges")
         first = _grams_in(table, Some(edges, "edge")).groupBy("edge").agg(F.min("doc_id").alias("source"))
         more = edges.join(first, "edge").where("doc_id > source").select("doc_id", "source").distinct()
@@ -357,36 +364,43 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return found
 
 
+def _cut(block: pa.RecordBatch, min_words: int) -> pa.RecordBatch:
+    marks = block.column("__lines")
+    hit = np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False))
+    texts, removed = block.column("text").to_pylist(), np.zeros(block.num_rows, np.int64)
+    if len(hit):
+        data, offsets = blocks.utf8(block.column("text").take(pa.array(hit)))
+        starts, _, _ = blocks.words(data, offsets)
+        sizes, counts = _unpacked(block.column("__sizes").take(pa.array(hit)), np.uint8)
+        last = np.cumsum(sizes, dtype=np.int64)  # the first word after each line
+        first = last - sizes
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        own = marks.take(pa.array(hit))
+        marked = np.zeros(len(sizes), bool)
+        marked[own.flatten().to_numpy() + np.repeat(bounds[:-1], pc.list_value_length(own).to_numpy())] = True
+        cut = np.zeros(len(data), bool)
+        for low, high, doc in zip(*blocks.spans_of(marked, bounds), strict=True):
+            words = last[high - 1] - first[low]
+            if words < min_words:
+                continue
+            word = last[high - 1]  # the first word after the run
+            same = word < len(starts) and starts[word] < offsets[doc + 1]
+            cut[starts[first[low]] : starts[word] if same else offsets[doc + 1]] = True
+            removed[hit[doc]] += words
+        for k, row in enumerate(hit):
+            a, b = offsets[k], offsets[k + 1]
+            if removed[row]:
+                rest = data[a:b][~cut[a:b]].tobytes().decode("utf-8")
+                texts[row] = rest if rest.strip(" \t\n\v\f\r") else ""
+    names = [c for c in block.schema.names if c not in ("__lines", "__sizes")]
+    columns = [pa.array(texts, pa.string()) if c == "text" else block.column(c) for c in names]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(removed)], [*names, "__removed"])
+
+
 def _cutter(min_words: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks.text_blocks(batches):
-            marks = block.column("__lines")
-            hit = np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False))
-            texts, removed = block.column("text").to_pylist(), np.zeros(block.num_rows, np.int64)
-            if len(hit):
-                lines = Lines(block.column("text").take(pa.array(hit)))
-                base = np.cumsum(lines.counts) - lines.counts
-                marked = np.zeros(len(lines.first), bool)
-                for k, row in enumerate(hit):
-                    marked[base[k] + marks[row].values.to_numpy()] = True
-                bounds = np.concatenate(([0], np.cumsum(lines.counts)))
-                for low, high, _ in zip(*blocks.spans_of(marked, bounds), strict=True):
-                    if lines.sizes[low:high].sum() < min_words:
-                        marked[low:high] = False
-                cut = np.zeros(len(lines.data), bool)
-                for low, high, doc in zip(*blocks.spans_of(marked, bounds), strict=True):
-                    word = lines.last[high - 1]  # the first word after the run
-                    same = word < len(lines.starts) and lines.starts[word] < lines.offsets[doc + 1]
-                    cut[lines.starts[lines.first[low]] : lines.starts[word] if same else lines.offsets[doc + 1]] = True
-                    removed[hit[doc]] += lines.sizes[low:high].sum()
-                for k, row in enumerate(hit):
-                    a, b = lines.offsets[k], lines.offsets[k + 1]
-                    if removed[row]:
-                        rest = lines.data[a:b][~cut[a:b]].tobytes().decode("utf-8")
-                        texts[row] = rest if rest.strip(" \t\n\v\f\r") else ""
-            columns = [pa.array(texts, pa.string()) if c == "text" else block.column(c) for c in block.schema.names if c != "__lines"]
-            names = [c for c in block.schema.names if c != "__lines"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], [*names, "__removed"])
+        for block in blocks.text_blocks(batches, TEXT_BYTES):
+            yield _cut(block, min_words)
 
     return run
 
@@ -405,8 +419,8 @@ def remove_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, removed: s
     keys = docs.withColumns(
         {"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(work.NO_ID)), "__version": F.xxhash64(F.coalesce("text", F.lit("")))}
     )
-    found = found.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("lines").alias("__lines"))
-    joined = keys.join(found, ["__id", "__version"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__lines")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("lines").alias("__lines"), F.col("sizes").alias("__sizes"))
+    joined = keys.join(found, ["__id", "__version"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__lines", "__sizes")
     schema = docs.withColumn("__removed", F.lit(0).cast("bigint")).schema
     cut = joined.mapInArrow(_cutter(min_words), schema)
     count = [F.col("__removed").alias(removed)] if removed else []

@@ -348,6 +348,20 @@ def test_lines_of_stored_texts_are_held_a_slice_at_a_time():
     assert stored == {(i, v) for i, v in zip(lines.doc[start].tolist(), value.tolist(), strict=True)}
 
 
+def test_lines_are_found_once(monkeypatch):
+    """A block's grams are hashed once, and the cutter takes the lines that the survey stored."""
+    calls, grams = [], repeated_runs.Lines.grams
+    monkeypatch.setattr(repeated_runs.Lines, "grams", lambda self: calls.append(1) or grams(self))
+    text = PASSAGE + " and\nmore words. " + PASSAGE
+    block = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "x y"]), pa.array([0, 0])], ["doc_id", "text", "version"])
+    (found,) = repeated_runs._survey([block])
+    assert len(calls) == 1
+    monkeypatch.setattr(repeated_runs, "Lines", None)
+    marks = [pa.array([found.column("own")[0].as_py(), None], pa.list_(pa.int32())), found.column("sizes")]
+    (cut,) = repeated_runs._cutter(30)([pa.RecordBatch.from_arrays([*block.columns, *marks], [*block.schema.names, "__lines", "__sizes"])])
+    assert cut.column("text").to_pylist() == [PASSAGE + " and\nmore words. ", "x y"] and cut.column("__removed").to_pylist() == [66, 0]
+
+
 def test_fingerprints_hold_the_least_gram_of_each_window():
     lines = repeated_runs.Lines(pa.array([prose(9, 300), "", prose(10, 17), "short"]))
     start, end, value, forward = lines.grams()
