@@ -261,28 +261,32 @@ def segmenter(path: str, best: int) -> Segmenter:
     return _segmenters[path, best]
 
 
+def _encoded(own: Segmenter, block: pa.RecordBatch) -> pa.RecordBatch:
+    values, counts, found = own.segment_all(block.column("text"))
+    ids = blocks.lists(values, counts, pa.int32())
+    flat = [path for paths in found for path in paths]
+    sizes = np.array([sum(map(len, parts)) // 4 for _, parts in flat], np.int64)
+    coded = memoryview(b"".join([part for _, parts in flat for part in parts]))
+    cuts = np.concatenate(([0], np.cumsum(sizes * 4))).tolist()
+    segmentations = pa.StructArray.from_arrays(
+        [
+            pa.array([score for score, _ in flat], pa.int64()),
+            pa.array(sizes),
+            pa.array([zlib.crc32(coded[a:b]) for a, b in itertools.pairwise(cuts)], pa.int64()),
+            blocks.lists(np.frombuffer(coded, "<u4").astype(np.int32), sizes, pa.int32()),
+        ],
+        ["score", "n_tokens", "ids_crc32", "ids"],
+    )
+    ends = np.concatenate(([0], np.cumsum([len(paths) for paths in found]))).astype(np.int32)
+    ranked = pa.ListArray.from_arrays(pa.array(ends), segmentations)
+    return pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text"), ids, ranked], ["doc_id", "text", "ids", "best"])
+
+
 def _encoder(path: str, best: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = segmenter(path, best)
         for block in blocks.text_blocks(batches):
-            values, counts, found = own.segment_all(block.column("text"))
-            ids = blocks.lists(values, counts, pa.int32())
-            flat = [path for paths in found for path in paths]
-            sizes = np.array([sum(map(len, parts)) // 4 for _, parts in flat], np.int64)
-            coded = memoryview(b"".join([part for _, parts in flat for part in parts]))
-            cuts = np.concatenate(([0], np.cumsum(sizes * 4))).tolist()
-            segmentations = pa.StructArray.from_arrays(
-                [
-                    pa.array([score for score, _ in flat], pa.int64()),
-                    pa.array(sizes),
-                    pa.array([zlib.crc32(coded[a:b]) for a, b in itertools.pairwise(cuts)], pa.int64()),
-                    blocks.lists(np.frombuffer(coded, "<u4").astype(np.int32), sizes, pa.int32()),
-                ],
-                ["score", "n_tokens", "ids_crc32", "ids"],
-            )
-            ends = np.concatenate(([0], np.cumsum([len(paths) for paths in found]))).astype(np.int32)
-            ranked = pa.ListArray.from_arrays(pa.array(ends), segmentations)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text"), ids, ranked], ["doc_id", "text", "ids", "best"])
+            yield _encoded(own, block)  # what a block needed on the way is gone before the next one
 
     return run
 
@@ -317,24 +321,26 @@ def decoder(model: str):
     return of
 
 
-def _checked(model: str, best: int):
-    encoded = _encoder(model, best)
+def _decoded(table: pa.Array, batch: pa.RecordBatch) -> pa.RecordBatch:
+    paths = batch.column("best")
+    ids = paths.values.field("ids")
+    taken = table.take(ids.values)  # the bytes of all segmentations, one after another
+    cuts = np.frombuffer(taken.buffers()[1], np.int64)[ids.offsets.to_numpy()]
+    decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts), taken.buffers()[2]])
+    first = paths.offsets.to_numpy()
+    row = np.repeat(np.arange(len(paths)), np.diff(first))
+    text = pc.fill_null(batch.column("text"), "").cast(pa.large_binary())
+    right = pc.equal(decoded, text.take(pa.array(row))).to_numpy(zero_copy_only=False)
+    same = np.logical_and.reduceat(right, first[:-1])  # a text has a segmentation at least
+    again = decoded.take(pa.array(first[:-1])).cast(pa.string())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), paths, again, pa.array(same)], ["doc_id", "best", "decoded", "round_trip"])
 
+
+def _checked(model: str, best: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(load(model).bytes_of, pa.large_binary())
-        for batch in encoded(batches):
-            paths = batch.column("best")
-            ids = paths.values.field("ids")
-            taken = table.take(ids.values)  # the bytes of all segmentations, one after another
-            cuts = np.frombuffer(taken.buffers()[1], np.int64)[ids.offsets.to_numpy()]
-            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts), taken.buffers()[2]])
-            first = paths.offsets.to_numpy()
-            row = np.repeat(np.arange(len(paths)), np.diff(first))
-            text = pc.fill_null(batch.column("text"), "").cast(pa.large_binary())
-            right = pc.equal(decoded, text.take(pa.array(row))).to_numpy(zero_copy_only=False)
-            same = np.logical_and.reduceat(right, first[:-1])  # a text has a segmentation at least
-            again = decoded.take(pa.array(first[:-1])).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), paths, again, pa.array(same)], ["doc_id", "best", "decoded", "round_trip"])
+        own, table = segmenter(model, best), pa.array(load(model).bytes_of, pa.large_binary())
+        for block in blocks.text_blocks(batches):
+            yield _decoded(table, _encoded(own, block))
 
     return run
 

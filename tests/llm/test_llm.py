@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -348,6 +349,28 @@ def test_lines_of_stored_texts_are_held_a_slice_at_a_time():
     assert stored == {(i, v) for i, v in zip(lines.doc[start].tolist(), value.tolist(), strict=True)}
 
 
+def test_blocks_leave_nothing_behind():
+    """When a block of texts is done, a worker holds its caches and no array of that block any more."""
+    texts = [prose(200 + i, 9000) for i in range(8)]
+    columns = [pa.array(range(8)), pa.array(texts), pa.array([0] * 8)]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "version"])
+    for run in (repeated_runs._survey, pieces._checked(MODEL, 3)):
+        for _ in range(2):  # the first time fills caches
+            held = []
+
+            def given(held=held):
+                for _ in range(2):
+                    held.append(tracemalloc.get_traced_memory()[0])
+                    yield batch
+
+            tracemalloc.start()
+            rows = run(given())
+            while next(rows, None) is not None:
+                pass
+            tracemalloc.stop()
+        assert held[1] - held[0] < 0.1 * batch.nbytes, held
+
+
 def test_lines_are_found_once(monkeypatch):
     """A block's grams are hashed once, and the cutter takes the lines that the survey stored."""
     calls, grams = [], repeated_runs.Lines.grams
