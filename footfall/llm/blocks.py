@@ -6,6 +6,7 @@ whatever the number of rows in an Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,9 +35,9 @@ BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next block."""
+    """base**0 .. base**(n-1) modulo 2**64, kept for the next block of a batch."""
     if len(_powers.get(base, ())) < n:
-        steps = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
+        steps = np.full(1 << (n - 1).bit_length(), base, np.uint64)
         steps[0] = 1
         _powers[base] = np.multiply.accumulate(steps)
     return _powers[base][:n]
@@ -53,11 +54,19 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives memory back to the system that Arrow and the C library keep for later use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about ``size`` bytes of text; a longer text is a slice of its own.
 
-    After the last one, memory that Arrow keeps for later use goes back to the system: a worker that waits
-    for its next task, of whatever operator, holds no more than its caches.
+    The powers go after each batch, and after the last one free memory goes back to the system: a worker
+    that waits for its next task, of whatever operator, holds no more than its caches.
     """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
@@ -66,7 +75,8 @@ def text_blocks(batches: Iterable[pa.RecordBatch], size: int = BLOCK_BYTES) -> I
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             if high > low:
                 yield batch.slice(low, high - low)
-    pa.default_memory_pool().release_unused()
+        _powers.clear()
+    release()
 
 
 def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -19,6 +19,7 @@ from footfall.llm import blocks, lattice
 BEST = 3
 CACHE_ENTRIES = 500_000
 BATCH = 2000  # chunks searched at once
+TEXT_BYTES = 1 << 20  # of texts whose segmentations are held at once
 NO_LOSS = 1 << 62
 SPACE_MARK = "▁"
 #: What a byte of a character outside the vocabulary costs more than the least piece.
@@ -125,27 +126,33 @@ def load(path: str) -> Pieces:
 
 
 class Segmenter:
-    """Segmentations of whole texts; chunks between spaces are segmented once while they are kept."""
+    """Segmentations of whole texts; chunks between spaces are segmented once while they are kept.
+
+    They are kept in arrays without an object for each, as every worker that waits for a task holds its own.
+    """
 
     def __init__(self, pieces: Pieces, best: int):
         self.pieces, self.best = pieces, best
         self._clear()
 
     def _clear(self) -> None:
-        self.code: dict[str, int] = {}
+        #: Chunk c is ``known[c]``; ``keys`` are hashes of the chunks in rising order, ``place`` says whose.
+        self.known, self.keys, self.place = pa.array([], pa.large_string()), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         #: The paths of chunk c are ``first[c]`` to ``first[c + 1]``, the ids of path p ``begin[p]`` to ``begin[p + 1]``.
         self.first, self.begin = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.score, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def learn(self, chunks: list[str]) -> None:
-        """Segments new chunks: short ones of known characters many at a time, the others one by one."""
+    def learn(self, new: pa.Array, keys: np.ndarray) -> np.ndarray:
+        """Segments new chunks, short ones of known characters many at a time, the others one by one; gives their numbers."""
         short, others, pieces = [], [], self.pieces
-        for chunk in chunks:
+        for i, chunk in enumerate(new.to_pylist()):
             if len(chunk) <= lattice.LONGEST_CHUNK and pieces.letters.issuperset(chunk):
-                short.append(chunk)
+                short.append((len(chunk), i, chunk))
             else:
-                others.append(chunk)
-        short.sort(key=len)
+                others.append((i, chunk))
+        short.sort()
+        order = np.array([i for _, i, _ in short] + [i for i, _ in others], np.int64)
+        short, others = [chunk for _, _, chunk in short], [chunk for _, chunk in others]
         found = [
             lattice.best_paths(pieces.table, short[low : low + BATCH], pieces.longest, self.best)
             for low in range(0, len(short), BATCH)
@@ -154,13 +161,29 @@ class Segmenter:
             paths = pieces.best_paths(chunk, self.best)
             sizes = [len(ids) for _, ids in paths]
             found.append(([len(paths)], [score for score, _ in paths], sizes, [i for _, ids in paths for i in ids]))
-        self.code.update(zip(short + others, range(len(self.code), len(self.code) + len(chunks)), strict=True))
+        code = np.empty(len(new), np.int64)
+        code[order] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(order))])
+        rising = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[rising])
+        self.keys, self.place = np.insert(self.keys, at, keys[rising]), np.insert(self.place, at, code[rising])
         if found:
             count, score, size, ids = (np.concatenate([f[k] for f in found]) for k in range(4))
             self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(count)))
             self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(size)))
             self.score = np.concatenate((self.score, score))
             self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+        return code
+
+    def look_up(self, chunks: pa.Array, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the chunks that are kept, -1 for the others; of an equal key, the chunk itself decides."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        same = np.flatnonzero(self.keys[at] == keys) if len(self.keys) else np.zeros(0, np.int64)
+        code, place = np.full(len(chunks), -1, np.int64), self.place[at[same]]
+        equal = pc.equal(self.known.take(pa.array(place)), chunks.take(pa.array(same))).to_numpy(zero_copy_only=False)
+        code[same[equal]] = place[equal]
+        return code
 
     def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the chunks of all texts, all of them learnt, and where those of each text end.
@@ -177,16 +200,16 @@ class Segmenter:
         cuts = np.append(starts, len(data))
         chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data)))
         places = chunks.dictionary_encode()
-        different = places.dictionary.to_pylist()
-        code = [self.code.get(chunk, -1) for chunk in different]
-        new = [i for i, known in enumerate(code) if known < 0]
-        if len(self.code) + len(new) > CACHE_ENTRIES:
+        different = places.dictionary
+        text, ends = blocks.utf8(different)
+        keys = blocks.Hasher(text)(ends[:-1], ends[1:])
+        code = self.look_up(different, keys)
+        new = np.flatnonzero(code < 0)
+        if len(self.known) + len(new) > CACHE_ENTRIES:
             self._clear()
-            new = range(len(different))
-        self.learn([different[i] for i in new])
-        for i in new:
-            code[i] = self.code[different[i]]
-        code = np.array(code, np.int64)
+            new = np.arange(len(different))
+        if len(new):
+            code[new] = self.learn(different.take(pa.array(new)), keys[new])
         return code[places.indices.to_numpy()], np.searchsorted(starts, offsets)
 
     def segment(self, text: str) -> list[tuple[int, bytes]]:
@@ -285,8 +308,9 @@ def _encoded(own: Segmenter, block: pa.RecordBatch) -> pa.RecordBatch:
 def _encoder(path: str, best: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = segmenter(path, best)
-        for block in blocks.text_blocks(batches):
+        for block in blocks.text_blocks(batches, TEXT_BYTES):
             yield _encoded(own, block)  # what a block needed on the way is gone before the next one
+            blocks.release()
 
     return run
 
@@ -339,8 +363,9 @@ def _decoded(table: pa.Array, batch: pa.RecordBatch) -> pa.RecordBatch:
 def _checked(model: str, best: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = segmenter(model, best), pa.array(load(model).bytes_of, pa.large_binary())
-        for block in blocks.text_blocks(batches):
+        for block in blocks.text_blocks(batches, TEXT_BYTES):
             yield _decoded(table, _encoded(own, block))
+            blocks.release()
 
     return run
 

@@ -371,6 +371,32 @@ def test_blocks_leave_nothing_behind():
         assert held[1] - held[0] < 0.1 * batch.nbytes, held
 
 
+def test_a_waiting_worker_holds_little():
+    """Kept chunks are arrays without an object for each, and powers go with their batch."""
+    words = [f"{random.Random(i).getrandbits(60):x}" for i in range(20_000)]
+    own = pieces.Segmenter(pieces.load(MODEL), 3)
+    own.segment("some words before")
+    tracemalloc.start()
+    texts = pa.RecordBatch.from_arrays([pa.array([" ".join(words)])], ["text"])
+    arrow = pa.total_allocated_bytes()
+    for block in blocks.text_blocks([texts]):
+        own.segment_all(block.column("text"))
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert not blocks._powers
+    assert held < 300 * len(words), held / len(words)
+
+
+def test_chunks_with_equal_keys_are_not_mixed_up():
+    own = pieces.Segmenter(pieces.load(MODEL), 3)
+    chunks = pa.array(["some", "other", "words"], pa.large_string())
+    assert sorted(own.learn(chunks, np.array([7, 5, 7], np.uint64)).tolist()) == [0, 1, 2]
+    asked = pa.array(["other", "else", "words", "some"], pa.large_string())
+    found = own.look_up(asked, np.array([5, 5, 9, 7], np.uint64)).tolist()
+    assert own.known[found[0]].as_py() == "other" and found[1:3] == [-1, -1]
+    assert found[3] == -1 or own.known[found[3]].as_py() == "some"
+
+
 def test_lines_are_found_once(monkeypatch):
     """A block's grams are hashed once, and the cutter takes the lines that the survey stored."""
     calls, grams = [], repeated_runs.Lines.grams
