@@ -308,6 +308,18 @@ def _texts_in(table: DataFrame, some: Some) -> DataFrame:
     return table.select("doc_id", "version", "hashes", "sizes").mapInArrow(run, TEXT)
 
 
+def _parted(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ids a filter of those in ``found`` lets through, and the others, none of which is there."""
+    shared = Some(found, "doc_id").bits
+
+    @F.arrow_udf("boolean")
+    def held(ids):
+        return pa.array(passed(shared.value, ids.to_numpy()))
+
+    some = held(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(work.NO_ID)))
+    return docs.where(some), docs.where(~some)
+
+
 def _extended(table: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_id, version, sizes, lines, edge_lines, edges) per pair; only texts that are part of a pair are shuffled."""
     wanted = pairs.select("doc_id").union(pairs.select("source"))
@@ -413,15 +425,17 @@ def remove_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, removed: s
     ``min_words`` words stay. White space between words does not count. Every row stays: a text that
     is repeated as a whole becomes empty; of a passage inside a longer sentence up to 2 * ``BREAK_WINDOW`` - 1 words at its ends may stay; NULL stays NULL, a missing id counts as the
     least, texts with one id are not compared with each other, and repeated rows get
-    the same result. Columns other than ``doc_id`` and ``text`` pass through.
+    the same result. Columns other than ``doc_id`` and ``text`` pass through. Only texts with such lines are
+    shuffled and cut, and the few others that a filter takes for them.
     """
     found = repeated_lines(docs)
-    keys = docs.withColumns(
+    some, rest = _parted(docs, found)
+    keys = some.withColumns(
         {"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(work.NO_ID)), "__version": F.xxhash64(F.coalesce("text", F.lit("")))}
     )
     found = found.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("lines").alias("__lines"), F.col("sizes").alias("__sizes"))
     joined = keys.join(found, ["__id", "__version"], "left").select(*(F.col(f"`{c}`") for c in docs.columns), "__lines", "__sizes")
     schema = docs.withColumn("__removed", F.lit(0).cast("bigint")).schema
-    cut = joined.mapInArrow(_cutter(min_words), schema)
+    cut = joined.mapInArrow(_cutter(min_words), schema).unionByName(rest.withColumn("__removed", F.lit(0).cast("bigint")))
     count = [F.col("__removed").alias(removed)] if removed else []
     return cut.select(*(F.col(f"`{c}`") for c in docs.columns if c != removed), *count)

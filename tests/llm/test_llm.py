@@ -397,6 +397,16 @@ def test_chunks_with_equal_keys_are_not_mixed_up():
     assert found[3] == -1 or own.known[found[3]].as_py() == "some"
 
 
+def test_texts_without_repeats_are_not_shuffled(spark):
+    rows = [(i, prose(400 + i, 60)) for i in range(1, 41)] + [(None, prose(401, 60)), (50, None), (51, prose(402, 60))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    some, rest = repeated_runs._parted(docs, repeated_runs.repeated_lines(docs))
+    assert {r["doc_id"] for r in some.collect()} == {1, 51}  # a missing id is the least
+    assert rest.count() == len(rows) - 2
+    cut = {r["doc_id"]: r["text"] for r in repeated_runs.remove_repeated_runs(docs).collect()}
+    assert cut == dict(rows) | {1: "", 51: ""}
+
+
 def test_lines_are_found_once(monkeypatch):
     """A block's grams are hashed once, and the cutter takes the lines that the survey stored."""
     calls, grams = [], repeated_runs.Lines.grams
