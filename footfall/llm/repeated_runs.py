@@ -23,12 +23,12 @@ BREAK_WINDOW = 4  # any so many consecutive words of a line break or sentence ha
 MIN_WORDS = 30  # shorter repeats stay
 TEXT_BYTES = 1 << 19  # of texts that are cut into lines at once, for the same reason as the next
 STORED_LINES = 1 << 16  # of stored texts that are held at once; their arrays fit into a core's cache
-FEW = 16  # of so many texts one at most is in a pair: those texts are stored for a round, not scanned twice
 FILTER_BITS = 26  # of a broadcast filter of hashes: 8 MB, whatever their number
 SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 TABLE = "doc_id bigint, version bigint, hashes binary, sizes binary, prints array<bigint>, own array<int>"
-PAIR = "doc_id bigint, version bigint, sizes binary, lines array<int>, edge_lines array<int>, edges array<bigint>"
-TEXT = "doc_id bigint, version bigint, hashes binary, sizes binary"
+END = pa.struct([("line", pa.int32()), ("edge", pa.int64()), ("pair", pa.int64())])
+ENDS = "array<struct<line: int, edge: bigint, pair: bigint>>"
+FOUND = f"doc_id bigint, version bigint, sizes binary, lines array<int>, ends {ENDS}"
 
 
 def gram_spans(sizes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -194,13 +194,32 @@ class Stored:
 
     def __init__(self, hashes: pa.BinaryArray, sizes: pa.BinaryArray):
         flat, self.counts = _unpacked(hashes, np.uint32)
-        flat, words = flat.astype(np.uint64), _unpacked(sizes, np.uint8)[0].astype(np.int64)
+        self.flat, words = flat.astype(np.uint64), _unpacked(sizes, np.uint8)[0].astype(np.int64)
         self.row = np.repeat(np.arange(len(self.counts)), self.counts)
         self.start, self.end, self.forward = gram_spans(words, self.row)
-        self.value = blocks.Hasher(flat)(self.start, self.end)
+        self.value = blocks.Hasher(self.flat)(self.start, self.end)
         self.owner = self.row[self.start]
 
 
+def line_pairs(hashes: np.ndarray) -> np.ndarray:
+    """A value of each two consecutive lines, whose lower bits serve a filter."""
+    return hashes[:-1] * np.uint64(blocks.BASE) + hashes[1:]
+
+
+def _of_rows(values: pa.Array, row: np.ndarray, rows: int) -> pa.ListArray:
+    """The values as a list for each row; they stand in order of their rows."""
+    counts = np.bincount(row, minlength=rows)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), values)
+
+
+def _found(batch: pa.RecordBatch, line: np.ndarray, row: np.ndarray, ends: list[np.ndarray], end_row: np.ndarray) -> pa.RecordBatch:
+    """A row of ``FOUND`` for each row of a batch: its lines, and its ends by line, gram and pair."""
+    ends = pa.StructArray.from_arrays([pa.array(x, kind.type) for x, kind in zip(ends, END, strict=True)], fields=list(END))
+    lists = [_of_rows(pa.array(line, pa.int32()), row, batch.num_rows), _of_rows(ends, end_row, batch.num_rows)]
+    keys = ["doc_id", "version", "sizes"]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *lists], [*keys, "lines", "ends"])
+
+
 def _slices(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about ``STORED_LINES`` lines, so that memory stays bounded."""
     for batch in batches:
@@ -214,7 +233,8 @@ def _slices(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[pa.Recor
 
 def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per pair of a text and an earlier one: the lines of the text in grams that the earlier one has too,
-    and the grams that go one line on from those lines, at either end, with that line."""
+    and the grams that go one line on from those lines, at either end, with that line
+    and the pair of lines that such a gram has at its own outer end."""
     for batch in _slices(batches, "hashes", "source_hashes"):
         own = Stored(batch.column("hashes"), batch.column("sizes"))
         source = Stored(batch.column("source_hashes"), batch.column("source_sizes"))
@@ -226,22 +246,42 @@ def _extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after = np.flatnonzero(~inside[end[n:] - 1] & inside[end[n:] - 2]) + n
         gram = np.concatenate((before, after))
         line = np.concatenate((start[before], end[after] - 1))
-        order = np.argsort(own.owner[gram], kind="stable")
-        gram, line = gram[order], line[order]
         first = np.cumsum(own.counts) - own.counts
+        pair = line_pairs(own.flat)[np.concatenate((start[before], end[after] - 2))]
+        order = np.argsort(own.owner[gram], kind="stable")
+        gram, line, pair = gram[order], line[order], pair[order]
         hit = np.flatnonzero(inside)
-        count = lambda rows: np.bincount(rows, minlength=len(own.counts))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("version"),
-                batch.column("sizes"),
-                blocks.lists((hit - first[own.row[hit]]).astype(np.int32), count(own.row[hit]), pa.int32()),
-                blocks.lists((line - first[own.row[line]]).astype(np.int32), count(own.owner[gram]), pa.int32()),
-                blocks.lists(blocks.signed(own.value[gram]), count(own.owner[gram]), pa.int64()),
-            ],
-            ["doc_id", "version", "sizes", "lines", "edge_lines", "edges"],
-        )
+        ends = [line - first[own.row[line]], blocks.signed(own.value[gram]), blocks.signed(pair)]
+        yield _found(batch, hit - first[own.row[hit]], own.row[hit], ends, own.owner[gram])
+
+
+def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text each of its lines once, and the ends, each once, whose line is not one of them."""
+    for batch in batches:
+        counts = pc.binary_length(batch.column("sizes")).to_numpy().astype(np.int64)
+        first, rows = np.cumsum(counts) - counts, np.arange(batch.num_rows)
+        row_of = lambda name: np.repeat(rows, pc.list_value_length(batch.column(name)).to_numpy())
+        inside = np.zeros(counts.sum(), bool)
+        inside[batch.column("lines").flatten().to_numpy() + first[row_of("lines")]] = True
+        ends, row = batch.column("ends").flatten(), row_of("ends")
+        line, edge, pair = (ends.field(k).to_numpy() for k in range(len(END)))
+        order = np.flatnonzero(~inside[line + first[row]])
+        order = order[np.lexsort((pair[order], edge[order], line[order], row[order]))]
+        keys = np.stack([x[order] for x in (row, line, edge, pair)])
+        new = np.ones(len(order), bool)
+        new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+        order = order[new]
+        hit = np.flatnonzero(inside)
+        hit_row = np.repeat(rows, counts)[hit]
+        yield _found(batch, hit - first[hit_row], hit_row, [line[order], edge[order], pair[order]], row[order])
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row of ``FOUND`` for each text, stored."""
+    texts = rows.groupBy("doc_id", "version").agg(
+        F.any_value("sizes").alias("sizes"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("lines", "ends"))
+    )
+    return work.written(texts.mapInArrow(_merge, FOUND), "found")
 
 
 class Some:
@@ -282,30 +322,46 @@ def _prints_in(table: DataFrame, some: Some) -> DataFrame:
     return table.select("doc_id", "prints").mapInArrow(run, "doc_id bigint, print bigint")
 
 
-def _grams_in(table: DataFrame, some: Some) -> DataFrame:
-    """(doc_id, edge) of all grams of all texts that the filter lets through."""
-    shared = some.bits
+def _grams_in(table: DataFrame, edges: Some, pairs: Some) -> DataFrame:
+    """(doc_id, edge) of the grams of all texts that the filters let through.
+
+    Grams are made only at pairs of lines that begin or end a sought one. A sought gram that runs forward in its text
+    runs forward in every text that has its lines, and so does one that runs backward, so the pair at its own end is enough.
+    """
+    shared_edges, shared_pairs = edges.bits, pairs.bits
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, "hashes"):
-            text = Stored(batch.column("hashes"), batch.column("sizes"))
-            value = blocks.signed(text.value)
-            hit = passed(shared.value, value)
-            ids = batch.column("doc_id").to_numpy()[text.owner[hit]]
+            value, row = grams_at(batch.column("hashes"), batch.column("sizes"), shared_pairs.value)
+            hit = passed(shared_edges.value, value)
+            ids = batch.column("doc_id").to_numpy()[row[hit]]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(value[hit])], ["doc_id", "edge"])
 
     return table.select("doc_id", "hashes", "sizes").mapInArrow(run, "doc_id bigint, edge bigint")
 
 
-def _texts_in(table: DataFrame, some: Some) -> DataFrame:
-    """The stored lines of the texts that the filter lets through."""
-    shared = some.bits
+def grams_at(hashes: pa.BinaryArray, sizes: pa.BinaryArray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of the grams of stored texts whose outer two lines a filter of pairs lets through.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(passed(shared.value, batch.column("doc_id").to_numpy())))
-
-    return table.select("doc_id", "version", "hashes", "sizes").mapInArrow(run, TEXT)
+    They are those of :func:`gram_spans`, forward from the first line of such a pair and backward from the second one.
+    """
+    flat, counts = _unpacked(hashes, np.uint32)
+    flat = flat.astype(np.uint64)
+    at = np.flatnonzero(passed(pairs, line_pairs(flat)))
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends, texts = np.cumsum(_unpacked(sizes, np.uint8)[0], dtype=np.int64), np.cumsum(counts)
+    line_of = lambda word: np.searchsorted(ends, word, side="right")
+    row_of = lambda line: np.searchsorted(texts, line, side="right")
+    until = line_of(np.append(0, ends)[at] + (GRAM_WORDS - 1))
+    row, ok = row_of(at), until < len(flat)
+    ok &= row_of(until) == row
+    last = at + 1
+    since = line_of(np.maximum(ends[last] - GRAM_WORDS, 0))
+    last_row = row_of(last)
+    back = (ends[last] >= GRAM_WORDS) & (row_of(since) == last_row)
+    value = blocks.Hasher(flat)(np.concatenate((at[ok], since[back])), np.concatenate((until[ok], last[back])) + 1)
+    return blocks.signed(value), np.concatenate((row[ok], last_row[back]))
 
 
 def _parted(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -321,15 +377,15 @@ def _parted(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _extended(table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, version, sizes, lines, edge_lines, edges) per pair; only texts that are part of a pair are shuffled."""
+    """A row of ``FOUND`` per pair; only texts that are part of a pair are shuffled, once for both sides."""
     wanted = pairs.select("doc_id").union(pairs.select("source"))
-    texts = _texts_in(table, Some(wanted, "doc_id"))
-    if pairs.count() * 2 * FEW <= table.count():
-        texts = work.written(texts, "texts")
-    sources = texts.select(F.col("doc_id").alias("source"), F.col("hashes").alias("source_hashes"), F.col("sizes").alias("source_sizes"))
-    both = pairs.join(sources, "source").join(texts, "doc_id")
-    both = both.select("doc_id", "version", "hashes", "sizes", "source_hashes", "source_sizes")
-    return work.written(both.mapInArrow(_extend, PAIR), "extended")
+    columns = ["doc_id", "version", "hashes", "sizes"]
+    texts, _ = _parted(table.select(columns), wanted)
+    both = pairs.select(F.col("doc_id").alias("later"), "source").hint("merge")  # few pairs would else go to all texts, unshuffled
+    both = both.join(texts.alias("a"), F.col("source") == F.col("a.doc_id")).join(texts.alias("b"), F.col("later") == F.col("b.doc_id"))
+    # all columns of both, so that Spark finds their shuffles equal
+    both = both.select(*(F.col(f"b.{c}") for c in columns), *(F.col(f"a.{c}").alias(f"source_{c}") for c in columns))
+    return work.written(both.mapInArrow(_extend, FOUND), "extended")
 
 
 def _first_pairs(table: DataFrame) -> DataFrame:
@@ -357,23 +413,29 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     texts = work.keyed_texts(docs).withColumn("version", F.xxhash64("text"))
     table = work.written(texts.mapInArrow(_survey, TABLE), "lines")
+    no_ends = F.array().cast(ENDS).alias("ends")
+    own = table.where(F.size("own") > 0).select("doc_id", "version", "sizes", F.col("own").alias("lines"), no_ends)
     pairs = compared = _first_pairs(table)
-    found = table.where(F.size("own") > 0).select("doc_id", "version", F.col("own").alias("lines"), "sizes")
-    while not pairs.isEmpty():
-        across = _extended(table, pairs)
-        merged = found.unionByName(across.select("doc_id", "version", "lines", "sizes")).groupBy("doc_id", "version")
-        merged = merged.agg(F.flatten(F.collect_set("lines")).alias("lines"), F.any_value("sizes").alias("sizes"))
-        found = work.written(merged.select("doc_id", "version", F.array_distinct("lines").alias("lines"), "sizes"), "found")
-        ends = across.select("doc_id", "version", F.inline(F.arrays_zip("edge_lines", "edges"))).distinct()
-        ends = ends.groupBy("doc_id", "version").agg(F.collect_list(F.struct("edge_lines", "edges")).alias("ends"))
-        still = F.filter("ends", lambda end: ~F.array_contains("lines", end.edge_lines))  # not covered by another text
-        still = ends.join(found.drop("sizes"), ["doc_id", "version"]).select("doc_id", F.explode(still).alias("end"))
-        edges = work.written(still.select("doc_id", F.col("end.edges").alias("edge")).distinct(), "edges")
-        first = _grams_in(table, Some(edges, "edge")).groupBy("edge").agg(F.min("doc_id").alias("source"))
-        more = edges.join(first, "edge").where("doc_id > source").select("doc_id", "source").distinct()
-        pairs = work.written(more.join(compared, ["doc_id", "source"], "left_anti"), "pairs")
+    early = late = _merged(own if pairs.isEmpty() else own.unionByName(_extended(table, pairs)))
+    keys = ["doc_id", "version"]
+    while not (pairs := _further_pairs(table, late, compared)).isEmpty():
         compared = compared.unionByName(pairs)
-    return found
+        across = _extended(table, pairs)
+        before, _ = _parted(early, across)  # few texts go on: only they are merged again
+        before = before if late is early else before.unionByName(late)
+        late = _merged(across.unionByName(before.withColumn("ends", no_ends)))
+    if late is not early:
+        some, rest = _parted(early, late)
+        early = rest.unionByName(some.join(late.select(keys), keys, "left_anti")).unionByName(late)
+    return early.select("doc_id", "version", "lines", "sizes")
+
+
+def _further_pairs(table: DataFrame, found: DataFrame, compared: DataFrame) -> DataFrame:
+    """(doc_id, source): texts with an end that an earlier text has, and the least id that has it, if not compared yet."""
+    ends = found.select("doc_id", F.inline("ends"))
+    first = _grams_in(table, Some(ends, "edge"), Some(ends, "pair")).groupBy("edge").agg(F.min("doc_id").alias("source"))
+    more = ends.select("doc_id", "edge").join(first, "edge").where("doc_id > source").select("doc_id", "source").distinct()
+    return work.written(more.join(compared, ["doc_id", "source"], "left_anti"), "pairs")
 
 
 def _cut(block: pa.RecordBatch, min_words: int) -> pa.RecordBatch:

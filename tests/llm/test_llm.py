@@ -421,6 +421,58 @@ def test_lines_are_found_once(monkeypatch):
     assert cut.column("text").to_pylist() == [PASSAGE + " and\nmore words. ", "x y"] and cut.column("__removed").to_pylist() == [66, 0]
 
 
+def test_later_rounds_merge_only_texts_that_go_on(spark, monkeypatch):
+    """Texts with a repeat of their own are merged once, whatever number of rounds others take."""
+    stored, written = [], repeated_runs.work.written
+
+    def spy(frame, name):
+        out = written(frame, name)
+        stored.extend([out.count()] if name == "found" else [])
+        return out
+
+    monkeypatch.setattr(repeated_runs.work, "written", spy)
+    draw = random.Random(3)
+    words = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(9)) for _ in range(n)) + " "
+    rows = [(i, prose(500 + i, 40) + ". " + prose(500 + i, 40)) for i in range(60)]
+    for k in range(100, 200, 10):  # a passage in the last two, parts of it in those before
+        parts = [words(14) for _ in range(5)]
+        rows += [(k + j, words(9) + part + words(9)) for j, part in enumerate(parts)]
+        rows += [(k + j, words(20) + "".join(parts) + words(20)) for j in (5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    cut = {r["doc_id"]: r["text"] for r in repeated_runs.remove_repeated_runs(docs).collect()}
+    assert len(stored) > 1 and stored[0] >= 60 and max(stored[1:]) <= 20, stored
+    assert all(len(cut[i].split(" ")) < 60 for i in range(60)) and all(cut[k + 5] == dict(rows)[k + 5] for k in range(100, 200, 10))
+    assert all(len(cut[k + 6].split(" ")) < 56 for k in range(100, 200, 10))
+
+
+def test_equal_rows_with_a_repeat_of_their_own_stay_as_many(spark):
+    text = PASSAGE + ". " + PASSAGE
+    docs = spark.createDataFrame([(1, text), (1, text), (2, prose(12, 50))], "doc_id bigint, text string")
+    cut = repeated_runs.remove_repeated_runs(docs).collect()
+    assert sorted(r["doc_id"] for r in cut) == [1, 1, 2]
+    (left,) = {r["text"] for r in cut if r["doc_id"] == 1}
+    assert len(left) < len(text) * 0.6
+
+
+def test_grams_are_made_at_the_pairs_of_lines_sought():
+    texts = pa.array([prose(i, n) for i, n in enumerate((200, 0, 5, 9, 40, 1, 300))] + ["a. " * 30, ""])
+    block = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts, pa.array([0] * len(texts))], ["doc_id", "text", "version"])
+    (rows,) = repeated_runs._survey([block])
+    whole = repeated_runs.Stored(rows.column("hashes"), rows.column("sizes"))
+    wanted = sorted(zip(blocks.signed(whole.value).tolist(), whole.owner.tolist(), strict=True))
+    every = np.full(2 ** (repeated_runs.FILTER_BITS - 6), 2**64 - 1, np.uint64)
+    value, row = repeated_runs.grams_at(rows.column("hashes"), rows.column("sizes"), every)
+    assert sorted(zip(value.tolist(), row.tolist(), strict=True)) == wanted and len(wanted) > 100
+    pairs = repeated_runs.line_pairs(whole.flat)
+    for gram in (0, whole.forward // 2, whole.forward, len(whole.value) - 1):  # the first two forward, the others backward
+        pair = int(pairs[whole.start[gram] if gram < whole.forward else whole.end[gram] - 2]) & (2**repeated_runs.FILTER_BITS - 1)
+        some = np.zeros_like(every)
+        some[pair >> 6] = np.uint64(1) << np.uint64(pair & 63)
+        value, row = repeated_runs.grams_at(rows.column("hashes"), rows.column("sizes"), some)
+        assert (blocks.signed(whole.value)[gram], whole.owner[gram]) in set(zip(value.tolist(), row.tolist(), strict=True))
+        assert len(value) < len(wanted) / 4
+
+
 def test_fingerprints_hold_the_least_gram_of_each_window():
     lines = repeated_runs.Lines(pa.array([prose(9, 300), "", prose(10, 17), "short"]))
     start, end, value, forward = lines.grams()
