@@ -23,7 +23,7 @@ BREAK_WINDOW = 4  # any so many consecutive words of a line break or sentence ha
 MIN_WORDS = 30  # shorter repeats stay
 TEXT_BYTES = 1 << 19  # of texts that are cut into lines at once, for the same reason as the next
 STORED_LINES = 1 << 16  # of stored texts that are held at once; their arrays fit into a core's cache
-FILTER_BITS = 26  # of a broadcast filter of hashes: 8 MB, whatever their number
+FILTER_BITS = 26  # of a broadcast filter of hashes at most: 8 MB, whatever their number
 SENTENCE_END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 TABLE = "doc_id bigint, version bigint, hashes binary, sizes binary, prints array<bigint>, own array<int>"
 END = pa.struct([("line", pa.int32()), ("edge", pa.int64()), ("pair", pa.int64())])
@@ -285,10 +285,11 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 
 class Some:
-    """A filter of 64-bit values of fixed size: lets all of them through, and few others.
+    """A filter of 64-bit values of bounded size: lets all of them through, and few others.
 
-    Its bits are made by an aggregate and are 8 MB for any number of values; with more values it
-    only lets more rows through, which the joins behind it drop.
+    Its bits are made by an aggregate and are 8 MB at most for any number of values; with more values it
+    only lets more rows through, which the joins behind it drop. For few values it is folded, to 256 bits or more
+    for each, as every executor keeps a copy on its disk.
     """
 
     def __init__(self, values: DataFrame, column: str):
@@ -296,14 +297,15 @@ class Some:
         one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(F.lit(63)).cast("int"))
         words = values.select(F.shiftright(bit, 6).alias("word"), one.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
         rows = words.toArrow()
-        bits = np.zeros(2 ** (FILTER_BITS - 6), np.uint64)
-        bits[rows.column("word").to_numpy()] = rows.column("mask").to_numpy().view(np.uint64)
+        size = 1 << min(FILTER_BITS - 6, (4 * rows.num_rows).bit_length())
+        bits = np.zeros(size, np.uint64)
+        np.bitwise_or.at(bits, rows.column("word").to_numpy() % size, rows.column("mask").to_numpy().view(np.uint64))
         self.any = rows.num_rows > 0
         self.bits = values.sparkSession.sparkContext.broadcast(bits)
 
 
 def passed(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    bit = values.view(np.uint64) & np.uint64(2**FILTER_BITS - 1)
+    bit = values.view(np.uint64) & np.uint64(64 * len(bits) - 1)
     return bits[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1) == 1
 
 

@@ -454,6 +454,15 @@ def test_equal_rows_with_a_repeat_of_their_own_stay_as_many(spark):
     assert len(left) < len(text) * 0.6
 
 
+def test_a_filter_of_few_values_is_small_and_lets_all_of_them_through(spark):
+    draw = np.random.default_rng(5)
+    for n in (0, 1, 300):
+        values = draw.integers(-(2**63), 2**63, n)
+        bits = repeated_runs.Some(spark.createDataFrame([(int(x),) for x in values], "value bigint"), "value").bits.value
+        assert bits.nbytes <= 64 * n + 64 and repeated_runs.passed(bits, values).all()
+        assert repeated_runs.passed(bits, draw.integers(-(2**63), 2**63, 10_000)).mean() < 0.02
+
+
 def test_grams_are_made_at_the_pairs_of_lines_sought():
     texts = pa.array([prose(i, n) for i, n in enumerate((200, 0, 5, 9, 40, 1, 300))] + ["a. " * 30, ""])
     block = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts, pa.array([0] * len(texts))], ["doc_id", "text", "version"])
